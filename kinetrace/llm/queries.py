@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, table
 from .exact import equal_texts
+from .media import media_report
+from .minhash import near_duplicates
 from .packing import pack_documents
+from .pii import personal_data_report
 from .token_file import read_token_file, write_token_file
 
 
@@ -17,6 +20,18 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
+def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_report(table(spark, sf_dir, "documents"))
+
+
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data_report(table(spark, sf_dir, "documents")).drop("scores")
+
+
 def op8_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = Workspace(spark, "token-file").path("ids")
     write_token_file(table(spark, sf_dir, "documents"), folder, vocabulary("word_bpe_49k.json"))
@@ -32,12 +47,25 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op8_token_file, op9_best_fit_packing, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op5_media_columns, op6_personal_data, op8_token_file, op9_best_fit_packing, op10_exact_dedup)}
 
 
 _NORMAL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE = {
+    "op1_minhash_near_dedup": f"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(string_split_regex({_NORMAL}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        s AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM w),
+        e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+        pairs AS (
+            SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+        reach AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON r.b = p.a),
+        c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+        SELECT s.doc_id, len(s.s) AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept FROM s JOIN c ON s.doc_id = c.a""",
     "op10_exact_dedup": f"""
         WITH n AS (SELECT doc_id, {_NORMAL} AS t FROM documents),
         g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
