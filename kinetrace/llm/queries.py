@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat import chat_report, chat_windows
 from .common import Workspace, table
 from .exact import equal_texts
+from .html_extract import extract_pages
 from .media import media_report
 from .minhash import near_duplicates
 from .packing import pack_documents
@@ -24,6 +26,11 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extract_pages(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_report(table(spark, sf_dir, "documents"))
 
@@ -32,6 +39,13 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data_report(table(spark, sf_dir, "documents")).drop("scores")
 
 
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    spoken = "'</s>[INST] ok [/INST]' AS text"
+    extra = spark.sql(f"SELECT -7L AS conv_id, 0L AS turn, 'user' AS role, {spoken} UNION ALL SELECT -7L, 1L, 'assistant', {spoken}")
+    return chat_report(chat_windows(turns.unionByName(extra)))
+
+
 def op8_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = Workspace(spark, "token-file").path("ids")
     write_token_file(table(spark, sf_dir, "documents"), folder, vocabulary("word_bpe_49k.json"))
@@ -47,7 +61,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op5_media_columns, op6_personal_data, op8_token_file, op9_best_fit_packing, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op4_html_extraction, op5_media_columns, op6_personal_data, op7_chat_formatting, op8_token_file, op9_best_fit_packing, op10_exact_dedup)}
 
 
 _NORMAL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -66,6 +80,29 @@ ORACLE = {
         reach AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON r.b = p.a),
         c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
         SELECT s.doc_id, len(s.s) AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept FROM s JOIN c ON s.doc_id = c.a""",
+    "op7_chat_formatting": r"""
+        WITH t AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        p AS (
+            SELECT *, 4 + ceil(strlen(text) / 4.0)::BIGINT AS cost,
+                CASE role WHEN 'system' THEN 11 WHEN 'user' THEN 13 WHEN 'assistant' THEN 11 ELSE 14 + length(role) END
+                + length(text) + 4 * (length(text) - length(replace(text, '&', ''))) + 3 * len(regexp_extract_all(text, '</?s>'))
+                + 4 * len(regexp_extract_all(text, '\[/?(?:SYS|INST|OUT|ROLE)')) AS size,
+                row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM t),
+        u AS (SELECT *, sum(cost) OVER (PARTITION BY conv_id ORDER BY i) AS upto FROM p),
+        c AS (SELECT *, (upto - 1)::BIGINT // 512 AS cell FROM u),
+        k AS (SELECT *, dense_rank() OVER (PARTITION BY conv_id ORDER BY cell) AS own, max(upto) OVER (PARTITION BY conv_id, cell) AS reached FROM c),
+        l AS (SELECT *, max(own) OVER (PARTITION BY conv_id) AS last FROM k),
+        n AS (
+            SELECT *, CASE WHEN own < last AND i = 1 AND role = 'system' THEN 1 + last - own
+                WHEN own < last AND reached - upto + cost <= 256 THEN 2 ELSE 1 END AS times FROM l)
+        SELECT conv_id, count(*) AS n_turns,
+            sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+            coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+            sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
+            (sum(size * times) + 7 * max(last))::BIGINT AS formatted_chars
+        FROM n GROUP BY conv_id""",
     "op10_exact_dedup": f"""
         WITH n AS (SELECT doc_id, {_NORMAL} AS t FROM documents),
         g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
