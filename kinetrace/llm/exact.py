@@ -7,7 +7,8 @@ grow, so a text of n bytes needs about log(n) levels.  Equality is decided on th
 bytes themselves; no digest takes part.
 
 Splitting is a count per (group, bytes) with map-side partial sums, then an
-equi-join back, so no group is ever gathered in one task.
+equi-join back, so no group is ever gathered in one task.  The join is a merge join at
+every size: the repeated keys have no size bound, so they are never broadcast.
 
 Defined results: a null text counts as empty; empty texts are equal; among rows of
 equal text and equal doc_id one row stays; a null doc_id sorts below every other;
@@ -39,7 +40,7 @@ def equal_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fir
     repeated = work.write(repeated, "level-0-keys")
     level = (
         rows.withColumn("text_sha256", F.sha2("body", 256))
-        .join(repeated, "lead", "left")
+        .join(repeated.hint("merge"), "lead", "left")
         .select(
             "doc_id",
             "text_sha256",
@@ -66,7 +67,7 @@ def equal_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fir
         keys = work.write(keys, f"level-{k}-keys")
         going = F.col("n").isNotNull() & ~F.col("ended")
         closed = F.col("n").isNotNull() & F.col("ended")
-        level = open_rows.join(keys, ["group", "lead"], "left").select(
+        level = open_rows.join(keys.hint("merge"), ["group", "lead"], "left").select(
             "doc_id",
             "text_sha256",
             F.when(going, F.col("next")).alias("group"),
