@@ -12,6 +12,7 @@ from .html_extract import extract_pages
 from .media import media_report
 from .minhash import near_duplicates
 from .packing import pack_documents
+from .pieces import piece_report
 from .pii import personal_data_report
 from .token_file import read_token_file, write_token_file
 from .toxicity import toxicity_report
@@ -31,6 +32,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_report(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return extract_pages(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
@@ -66,7 +71,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_toxicity, op4_html_extraction, op5_media_columns, op6_personal_data, op7_chat_formatting, op8_token_file, op9_best_fit_packing, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_toxicity, op3_sentencepiece, op4_html_extraction, op5_media_columns, op6_personal_data, op7_chat_formatting, op8_token_file, op9_best_fit_packing, op10_exact_dedup)}
 
 
 _NORMAL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
