@@ -1 +1,7 @@
+"""Query plans of the engine, by subject."""
 
+
+def registries() -> list:
+    from kinetrace.plans import gym
+
+    return [gym.query]
