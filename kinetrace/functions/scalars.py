@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def half_up(x: Column, digits: int = 0) -> Column:
@@ -70,7 +71,7 @@ def html_escaped(text: Column) -> Column:
     return text
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decomposed(text: pd.Series) -> pd.Series:
     """Compatibility decomposition without combining marks; Spark has no built-in for it."""
     return text.map(lambda s: None if s is None else "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c)))

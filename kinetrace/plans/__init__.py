@@ -1,7 +1,9 @@
 """Query plans of the engine, by subject."""
 
+from importlib import import_module
+
+SUBJECTS = ("gym", "waitlist")
 
-def registries() -> list:
-    from kinetrace.plans import gym
 
-    return [gym.query]
+def registries() -> list:
+    return [import_module(f"{__name__}.{s}").query for s in SUBJECTS]
