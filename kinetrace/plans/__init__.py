@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-SUBJECTS = ("gym", "waitlist")
+SUBJECTS = ("gym", "waitlist", "members")
 
 
 def registries() -> list:
