@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-SUBJECTS = ("gym", "waitlist", "members")
+SUBJECTS = ("gym", "waitlist", "members", "sequences", "world")
 
 
 def registries() -> list:
