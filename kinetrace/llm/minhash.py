@@ -8,10 +8,11 @@
 3. In each bucket the node that shares most buckets is the hub.  Every other node is
    compared with its hub on full sets; links make components.
 4. Buckets that still hold several components are searched for further links.  A pair
-   is compared on full sets unless a bound rules a link out: the size ratio, the
-   triangle inequality of the Jaccard distance over the hub, the shingles that no
-   other open node has, or a signature that agrees in far too few values (more than
-   six standard deviations below the threshold).
+   is compared on full sets, once, unless a bound rules a link out: the size ratio, the
+   triangle inequality of the Jaccard distance over the hub, the most shingles the two
+   can have in common (inside the hub no more than the lesser of what each shares with
+   it; outside it none that no other open node has), or a signature that agrees in far
+   too few values (more than six standard deviations below the threshold).
 So copies are never expanded into all their pairs, but no link between different
 texts is given up other than by the stated chances.
 
@@ -198,27 +199,31 @@ def _missed_links(unsettled: DataFrame, spokes: DataFrame, sets: DataFrame, node
     shared = holders.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.max("node").alias("node")).where("n = 1")
     alone = shared.groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
     able = (
-        open_nodes.join(nodes.select("node", "n", "signature"), "node")
+        open_nodes.join(nodes.select("node", "n", "signature", "bands"), "node")
         .join(alone, "node", "left")
-        .select("node", "n", "signature", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("most"))
+        .select("node", "n", "signature", "bands", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("most"))
         .where(f"100 * most >= {percent} * n")
     )
-    to_hub = spokes.select(F.col("a").alias("node"), F.col("b").alias("hub"), (1 - F.col("common") / F.col("total")).alias("distance"))
-    rows = unsettled.join(able, "node").join(to_hub, ["node", "hub"], "left").select("key", "node", "root", "n", "most", "signature", F.coalesce("distance", F.lit(0.0)).alias("distance"))
+    to_hub = spokes.select(F.col("a").alias("node"), F.col("b").alias("hub"), "common", (1 - F.col("common") / F.col("total")).alias("distance"))
+    inside = F.coalesce("common", "n")  # the hub is inside itself
+    rows = unsettled.join(able, "node").join(to_hub, ["node", "hub"], "left")
+    rows = rows.select("key", "node", "root", "n", "signature", "bands", inside.alias("inside"), (F.col("most") - inside).alias("outside"), F.coalesce("distance", F.lit(0.0)).alias("distance"))
     several = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
     rows = work.write(rows.join(several, "key"), "open")
-    x, y = (rows.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "root", "n", "most", "signature", "distance")]) for s in "ab")
-    most = F.least("most_a", "most_b")
+    x, y = (rows.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "root", "n", "inside", "outside", "signature", "bands", "distance")]) for s in "ab")
+    most = F.least("inside_a", "inside_b") + F.greatest(F.lit(0), F.least("outside_a", "outside_b"))
+    first_shared = F.try_element_at(F.filter(F.zip_with("bands_a", "bands_b", lambda p, q: F.when(p == q, p)), lambda p: p.isNotNull()), F.lit(1))
     may = (
         (F.col("node_a") < F.col("node_b"))
         & (F.col("root_a") != F.col("root_b"))
         & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
         & (F.abs(F.col("distance_a") - F.col("distance_b")) <= 1 - percent / 100 + 1e-9)
         & (100 * most >= percent * (F.col("n_a") + F.col("n_b") - most))
+        & (first_shared == F.col("key"))
     )
     pairs = x.join(y, "key").where(may).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "signature_a", "signature_b")
     share = percent / 100
-    close = _agreement(pairs, share - 6 * math.sqrt(share * (1 - share) / values)).distinct()
+    close = _agreement(pairs, share - 6 * math.sqrt(share * (1 - share) / values))
     found = work.write(_compared(close, sets), "pairs")
     return found.where(f"100 * common >= {percent} * total").select("a", "b")
 
