@@ -64,5 +64,6 @@ def session_document(sets: DataFrame) -> DataFrame:
     totals = by_exercise.groupBy("video", "person").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("exercise", "n")))).alias("exercises"))
     people = sets.groupBy("video", "person").agg(F.sum("reps").alias("total_reps"), F.min("start_s").alias("first_s"), F.array_sort(F.collect_list(one)).alias("sets"))
     rows = people.join(totals, ["video", "person"])
-    person = F.struct("person", "total_reps", "exercises", "sets")
-    return rows.groupBy("video").agg(F.to_json(F.struct(F.array_sort(F.collect_list(person)).alias("people"))).alias("document"))
+    person = F.struct("person", "total_reps", F.map_entries("exercises").alias("exercises"), "sets")  # maps have no order
+    people = F.transform(F.array_sort(F.collect_list(person)), lambda p: F.struct(p["person"].alias("person"), p["total_reps"].alias("total_reps"), F.map_from_entries(p["exercises"]).alias("exercises"), p["sets"].alias("sets")))
+    return rows.groupBy("video").agg(F.to_json(F.struct(people.alias("people"))).alias("document"))
