@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-SUBJECTS = ("gym", "waitlist", "members", "sequences", "world", "reps", "streams")
+SUBJECTS = ("gym", "waitlist", "members", "sequences", "world", "views", "reps", "streams")
 
 
 def registries() -> list:
