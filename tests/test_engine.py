@@ -1,6 +1,7 @@
 """Queries against their SQL twins on the smallest tables; helpers against brute force; sources and streams."""
 
 import json
+import numbers
 import os
 import random
 
@@ -30,8 +31,14 @@ def duck():
     return c
 
 
+def plain(x):
+    if pd.isna(x):
+        return None
+    return float(x) if isinstance(x, numbers.Number) and not isinstance(x, bool) else str(x)
+
+
 def rows(df: pd.DataFrame) -> list[str]:
-    return sorted(str(tuple(None if pd.isna(x) else float(x) if isinstance(x, (int, float)) else str(x) for x in row)) for row in df[sorted(df.columns)].itertuples(index=False))
+    return sorted(str(tuple(map(plain, row))) for row in df[sorted(df.columns)].itertuples(index=False))
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
