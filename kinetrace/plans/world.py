@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from kinetrace.functions import geometry as g
 from kinetrace.functions.scalars import clock, half_up, ramp
 from kinetrace.operators import kernels
+from kinetrace.operators.identity import Resolver
 from kinetrace.operators.relational import mutual, nearest
 from kinetrace.plans.registry import Registry
 from kinetrace.sources.tables import load
@@ -311,3 +312,23 @@ def camera_alignment(spark, sf_dir):
         return pd.DataFrame({"part": [rows.part.iloc[0]], "theta": [round(theta, 6)], "dx": [round(float(shift[0]), 6)], "dy": [round(float(shift[1]), 6)], "inliers": [n]})
 
     return pairs.groupBy("part").applyInPandas(align, "part long, theta double, dx double, dy double, inliers long")
+
+
+@query()
+def identity_world(spark, sf_dir):
+    """People of each tick of a site, resolved with a lag; a group is one site's short recording."""
+    rows = _floor(spark, sf_dir).where("tick < 473450 and track < 12").groupBy("tick", "camera", "track").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.min("sigma").alias("sigma"), F.bool_and("edge").alias("edge"))
+    rows = rows.select(F.lit("site").alias("site"), "tick", F.concat_ws(":", "camera", F.col("track").cast("string")).alias("key"), "camera", "x", "y", "sigma", "edge")
+    return rows.groupBy("site").applyInPandas(resolve_site, PEOPLE)
+
+
+PEOPLE = "site string, tick long, person long, x double, y double, cameras string, state string, confidence double, shown string"
+
+
+def resolve_site(rows: pd.DataFrame) -> pd.DataFrame:
+    """All people of one site's rows (site, tick, key, camera, x, y, sigma, edge)."""
+    resolver, people = Resolver(), []
+    for tick, at in rows.sort_values(["tick", "key"]).groupby("tick"):
+        people += resolver.step(int(tick), list(at[["key", "camera", "x", "y", "sigma", "edge"]].itertuples(index=False, name=None)))
+    people += resolver.finish()
+    return pd.DataFrame(people, columns=["tick", "person", "x", "y", "cameras", "state", "confidence", "shown"]).assign(site=rows.site.iloc[0])[["site", "tick", "person", "x", "y", "cameras", "state", "confidence", "shown"]]

@@ -5,6 +5,7 @@ Each has a batch twin on the same rows, which the tests compare.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from kinetrace.operators.identity import Resolver
+
 
 def tick_counts(events: DataFrame, ts: str, tick: str, lag: str, keys: list[str]) -> DataFrame:
     """Rows by tumbling tick, emitted when the watermark has passed ``lag`` beyond it."""
@@ -69,3 +72,26 @@ def lifecycle(observed: DataFrame, now: Column, occluded_s: float = 5.0, exited_
     state = F.when(unseen <= 0, "active").when(unseen <= occluded_s, "occluded").when(unseen <= occluded_s + exited_s, "exited")
     faded = F.round(F.when(unseen <= 0, F.col("confidence")).otherwise(F.col("confidence") * F.exp(-unseen / 5)), 6)
     return observed.withColumn("state", state).withColumn("confidence", faded).where("state is not null")
+
+
+PEOPLE = "site string, tick long, person long, x double, y double, cameras string, state string, confidence double, shown string"
+
+
+def resolve_identities(observations: DataFrame) -> DataFrame:
+    """People of a stream of observations (site, tick, key, camera, x, y, sigma, edge), with the resolver's fixed lag.
+
+    A site is the unit of state; ticks must arrive in order for each site, rows of a tick in one batch.
+    """
+
+    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        resolver = pickle.loads(bytes(state.get[0])) if state.exists else Resolver()
+        people = []
+        for tick, at in pd.concat(list(batches)).sort_values(["tick", "key"]).groupby("tick"):
+            people += resolver.step(int(tick), list(at[["key", "camera", "x", "y", "sigma", "edge"]].itertuples(index=False, name=None)))
+        resolver.events.clear()
+        state.update((pickle.dumps(resolver),))
+        out = pd.DataFrame(people, columns=["tick", "person", "x", "y", "cameras", "state", "confidence", "shown"])
+        out.insert(0, "site", key[0])
+        yield out
+
+    return observations.groupBy("site").applyInPandasWithState(step, PEOPLE, "resolver binary", "append", GroupStateTimeout.NoTimeout)

@@ -124,3 +124,20 @@ def test_stream_counts_as_the_table(spark, tmp_path):
     got = {x.key: x.reps for x in spark.table("reps").groupBy("key").agg(F.max("reps").alias("reps")).collect()}
     twin = {x.key: x.reps for x in count_repetitions_batch(spark.createDataFrame(data, schema), 60.0, 120.0).collect()}
     assert got == twin == {k: hysteresis((False, 0), (a for q, _, a in data if q == k), 60, 120)[1] for k in range(3)}
+
+
+def test_stream_of_identities_as_the_table(spark, tmp_path):
+    from kinetrace.plans.world import resolve_site
+    from kinetrace.streaming.stateful import resolve_identities
+
+    rows = [("s", t, f"cam{c}:{k}", f"cam{c}", 1 + 0.1 * t + k * 5, 2.0, 0.2, False) for t in range(80) for c in (1, 2) for k in range(2)]
+    schema = "site string, tick long, key string, camera string, x double, y double, sigma double, edge boolean"
+    for part in range(4):
+        spark.createDataFrame([r_ for r_ in rows if r_[1] // 20 == part], schema).coalesce(1).write.parquet(str(tmp_path / f"in{part}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(str(tmp_path / "in*"))
+    running = resolve_identities(stream).writeStream.format("memory").queryName("people").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).start()
+    running.processAllAvailable()
+    running.stop()
+    got = {(x.tick, x.person, x.cameras) for x in spark.table("people").collect()}
+    want = resolve_site(pd.DataFrame(rows, columns=schema.replace(" string", "").replace(" long", "").replace(" double", "").replace(" boolean", "").split(", ")))
+    assert got == {(x.tick, x.person, x.cameras) for x in want.itertuples() if x.tick <= 79 - 15}
