@@ -10,7 +10,7 @@ A page becomes a sequence of text nodes, each with its root-to-leaf path of tags
 The fused scores are smoothed along the page (Gaussian weights) and nodes whose
 smoothed score reaches ``LEAST`` standard deviations are content.  The article is
 the innermost section that holds ``SHARE`` of the content score, or the article or
-main element around it; all its text counts, short paragraphs too, except what
+main element around it, or the section around it that holds the heading too; all its text counts, short paragraphs too, except what
 stands in boilerplate elements (menus, headers, footers, sidebars, notices, adverts,
 forms, scripts, styles, reader comments), which are told by tag, role, class and id.
 
@@ -49,8 +49,11 @@ _CLOSES_P = _BLOCK - frozenset("body head html".split())
 _BOILERPLATE_TAGS = frozenset("aside button dialog footer form head header menu nav search".split())
 _BOILERPLATE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 _BOILERPLATE_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disclaimer disqus footer form gdpr header masthead menu modal nav navbar navigation newsletter notice notices notification pagination popup promo promoted related respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
+    "ad ads adv alert advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disclaimer disqus footer form gdpr header masthead menu modal nav navbar navigation newsletter notice notices notification pagination popup promo promoted related respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Names of an article's own parts; with one of them, header and banner name its heading.
+_ARTICLE_NAMES = frozenset("article content entry post story".split())
+_HEADING_NAMES = frozenset("banner header masthead".split())
 LEAST, SHARE, RADIUS = 0.3, 0.6, 2
 
 
@@ -77,6 +80,8 @@ def _opened(tag: str, attributes: str, parent: _Element, inside: bool) -> _Eleme
             else:
                 hidden |= name == "hidden" or (name == "aria-hidden" and value == "true") or "display:none" in value.replace(" ", "")
     words = set(re.split(r"[^a-z]+", names))
+    if inside or not words.isdisjoint(_ARTICLE_NAMES):
+        words -= _HEADING_NAMES
     told = tag in _BOILERPLATE_TAGS and not (inside and tag == "header")
     # the body and the article itself are never boilerplate, whatever they are called
     bad = told or hidden or role in _BOILERPLATE_ROLES or (tag not in ("body", "html", "article", "main") and not words.isdisjoint(_BOILERPLATE_NAMES))
@@ -128,6 +133,14 @@ def _nodes(page: str) -> list[tuple[str, _Element, int]]:
     return nodes
 
 
+def _ancestors(e: _Element | None) -> list[_Element]:
+    found = []
+    while e is not None:
+        found.append(e)
+        e = e.parent
+    return found
+
+
 def _smooth(values: np.ndarray) -> np.ndarray:
     weights = np.exp(-(np.arange(-RADIUS, RADIUS + 1) ** 2) / 2)
     around = np.convolve(np.ones(len(values)), weights, "full")[RADIUS : RADIUS + len(values)]
@@ -153,11 +166,7 @@ def main_text(page: str) -> str:
     depth: dict[_Element, int] = {}
     for (i, length, _), good in zip(full, content.tolist()):
         if good:
-            chain, e = [], nodes[i][1]
-            while e is not None:
-                chain.append(e)
-                e = e.parent
-            for d, e in enumerate(reversed(chain)):
+            for d, e in enumerate(reversed(_ancestors(nodes[i][1]))):
                 if e.section or e.parent is None:
                     score[e] += length
                     depth[e] = d
@@ -168,6 +177,14 @@ def main_text(page: str) -> str:
         if around.tag in ("article", "main"):
             article = around
         around = around.parent
+    if article.tag not in ("article", "main"):  # a heading beside the text belongs to it, short of the whole page
+        headed = {e for _, e, _ in nodes if "/h1" in e.path}
+        above = {a for h in headed for a in _ancestors(h)}
+        around = article
+        while around is not None and around.tag not in ("", "html", "body") and around not in above:
+            around = around.parent
+        if around is not None and around.tag not in ("", "html", "body"):
+            article = around
     within: dict[_Element, bool] = {}
 
     def inside(e: _Element | None) -> bool:

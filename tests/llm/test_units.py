@@ -124,6 +124,8 @@ PAGE = """<!DOCTYPE html><html><head><title>no</title><style>p{}</style><script>
 
 def test_main_text():
     assert html_extract.main_text(PAGE) == "Title & more\nFirst boldtext, with a stop. And more words here.\nOk.\none\ntwo"
+    divs = "<div id='header'>Site name</div><div class='post'><div class='post-header'><h1>Title</h1></div><div class='post-body'><p>Long text, with words, and more words.</p><p>Short.</p></div></div><div class='sidebar'>Links, many.</div>"
+    assert html_extract.main_text(divs) == "Title\nLong text, with words, and more words.\nShort."
     assert html_extract.main_text("") == ""
     assert html_extract.main_text("just a text, no mark up") == "just a text, no mark up"
     assert html_extract.main_text("<p>cut off <b") == "cut off"
