@@ -136,7 +136,7 @@ _VEC = "WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embedding
 
 
 def similar(spark, sf_dir) -> DataFrame:
-    """Cosine similarity of every twentieth vector (the stated queries, broadcast in one block of that bound) with all others."""
+    """Cosine similarity of every twentieth vector, the stated queries, with all others: exact search, so all rows meet all queries."""
     v = load(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
     queries = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("a"), F.col("label").alias("la"), F.col("e").alias("qe"))
     pairs = v.join(queries, F.col("vec_id") != F.col("a"))
