@@ -353,3 +353,75 @@ def world_between(frames: DataFrame, t0: float, t1: float, step: int = 1, tick:
     inside = frames.where((F.col("tick") * tick >= t0 - 1e-9) & (F.col("tick") * tick <= t1 + 1e-9))
     order = inside.select("tick").distinct().withColumn("i", F.row_number().over(Window.orderBy("tick")) - 1).where(F.col("i") % step == 0)
     return inside.join(order.select("tick"), "tick", "left_semi")
+
+
+@query(
+    """WITH p AS (SELECT (epoch_us(ts) // 3600000000) AS tick, user_id AS pid, round(value, 1) AS x, event_type AS state, event_id FROM events WHERE event_id < 3000)
+    SELECT tick, count(*) AS people, string_agg(pid || ':' || floor(x)::BIGINT, ',' ORDER BY pid, event_id) FILTER (state <> 'error') AS shown, string_agg(DISTINCT state, ',' ORDER BY state) AS states FROM p GROUP BY tick"""
+)
+def compact_frames(spark, sf_dir):
+    """World frames with their people as an array of structs, reduced to what a map shows."""
+    e = load(spark, sf_dir, "events").where("event_id < 3000")
+    person = F.struct(F.col("user_id").alias("pid"), "event_id", F.floor(F.round("value", 1)).alias("x"), F.col("event_type").alias("state"))
+    frames = e.groupBy(F.floor(F.unix_micros("ts") / 3_600_000_000).alias("tick")).agg(F.array_sort(F.collect_list(person)).alias("people"))
+    shown = F.transform(F.filter("people", lambda p: p["state"] != "error"), lambda p: F.concat(p["pid"].cast("string"), F.lit(":"), p["x"].cast("string")))
+    states = F.array_sort(F.array_distinct(F.transform("people", lambda p: p["state"])))
+    return frames.select("tick", F.size("people").cast("long").alias("people"), F.nullif(F.array_join(shown, ","), F.lit("")).alias("shown"), F.array_join(states, ",").alias("states"))
+
+
+@query(
+    """SELECT event_id, event_type AS type, CASE WHEN event_type IN ('signup', 'purchase') THEN 'Person ' || lpad((user_id % 100)::VARCHAR, 2, '0') END AS label,
+        CASE WHEN event_type = 'error' THEN 'link ' || user_id || ' lost' WHEN value > 400 THEN 'strong' END AS reason FROM events WHERE event_type IN ('signup', 'purchase', 'error') AND (user_id = 7 OR event_id % 50 = 0)"""
+)
+def public_events(spark, sf_dir):
+    """Published audit events: types kept, identity filtered, optional fields formed from others."""
+    e = load(spark, sf_dir, "events").where(F.col("event_type").isin("signup", "purchase", "error") & ((F.col("user_id") == 7) | (F.col("event_id") % 50 == 0)))
+    label = F.when(F.col("event_type").isin("signup", "purchase"), F.format_string("Person %02d", F.col("user_id") % 100))
+    reason = F.when(F.col("event_type") == "error", F.concat(F.lit("link "), F.col("user_id").cast("string"), F.lit(" lost"))).when(F.col("value") > 400, "strong")
+    return e.select("event_id", F.col("event_type").alias("type"), label.alias("label"), reason.alias("reason"))
+
+
+@query(
+    _DET
+    + """, c AS (SELECT a.id AS a, b.id AS b, greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS i, (a.x2 - a.x1) * (a.y2 - a.y1) AS sa, (b.x2 - b.x1) * (b.y2 - b.y1) AS sb
+        FROM d a JOIN d b ON a.x1 = b.x1 AND a.id <> b.id AND a.id % 3 = 0), s AS (SELECT a, b, i / (sa + sb - i) AS iou FROM c)
+    SELECT a, arg_max(b, floor(iou * 1e6 + 0.5) * 1e6 - b) AS b, floor(max(iou) * 1e6 + 0.5) / 1e6 AS iou FROM s WHERE iou > 0.3 GROUP BY a"""
+)
+def iou_match(spark, sf_dir):
+    """Best overlapping box of the same column, above the least overlap."""
+    d = detections(spark, sf_dir)
+    a, b = (d.select("x1", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "y1", "x2", "y2")]) for s in "ab")
+    pairs = a.where("id_a % 3 = 0").join(b, "x1").where("id_a <> id_b")
+    score = g.iou([F.col("x1"), F.col("y1_a"), F.col("x2_a"), F.col("y2_a")], [F.col("x1"), F.col("y1_b"), F.col("x2_b"), F.col("y2_b")])
+    best = pairs.withColumn("iou", score).where("iou > 0.3").groupBy("id_a")
+    return best.agg(F.max_by("id_b", F.struct(half_up(F.col("iou"), 6).alias("v"), -F.col("id_b"))).alias("b"), half_up(F.max("iou"), 6).alias("iou")).withColumnRenamed("id_a", "a")
+
+
+@query(
+    f"""WITH {VISITS_SQL}, s AS (SELECT member, day, list({{'zone': zone, 'sets': sets}} ORDER BY t, visit) AS l, min(t) AS first, max(t + duration) AS last FROM visits WHERE day < 6 GROUP BY member, day)
+    SELECT member, day, l[1].zone AS main, greatest(1, coalesce(nullif(floor((last - first) * 60 + 0.5)::BIGINT, 0), 24 * 60)) AS minutes, list_sum(list_transform(l, lambda x: x.sets))::BIGINT AS reps, floor((first + last) / 2 * 1e6 + 0.5) / 1e6 AS spotlight FROM s"""
+)
+def workout_summary(spark, sf_dir):
+    """A session as a member sees it: first exercise, minutes (at least one), repetitions, the moment to show."""
+    one = F.struct("t", "visit", "zone", "sets")
+    s = visits(spark, sf_dir).where("day < 6").groupBy("member", "day").agg(F.array_sort(F.collect_list(one)).alias("l"), F.min("t").alias("first"), F.max(F.col("t") + F.col("duration")).alias("last"))
+    minutes = F.greatest(F.lit(1), F.coalesce(F.nullif(half_up((F.col("last") - F.col("first")) * 60), F.lit(0)), F.lit(24 * 60)))
+    reps = F.aggregate("l", F.lit(0).cast("long"), lambda a, x: a + x["sets"])
+    return s.select("member", "day", F.try_element_at("l", F.lit(1))["zone"].alias("main"), minutes.alias("minutes"), reps.alias("reps"), half_up((F.col("first") + F.col("last")) / 2, 6).alias("spotlight"))
+
+
+@query(
+    """WITH o AS (SELECT event_id AS id, 'cam' || (1 + event_id % 2) AS camera, user_id AS track, epoch_us(ts) // 3600000000 AS tick FROM events WHERE event_id < 1500),
+    k AS (SELECT camera, track, min(tick) AS a, max(tick) AS b FROM o GROUP BY camera, track)
+    SELECT n.camera, n.track, r.camera AS ref_camera, r.track AS ref, CASE WHEN r.b < n.a THEN 'lost' ELSE 'seen_by_other_camera' END AS kind FROM k n JOIN k r ON n.track % 15 = r.track % 15 AND (n.camera, n.track) <> (r.camera, r.track)
+    WHERE n.track % 15 = 3 AND (r.b < n.a OR (r.camera <> n.camera AND r.a <= n.a AND n.a <= r.b))"""
+)
+def reference_candidates(spark, sf_dir):
+    """What a new track may continue: a track that ended before, or one the other camera sees."""
+    o = load(spark, sf_dir, "events").where("event_id < 1500")
+    k = o.groupBy(F.concat(F.lit("cam"), (1 + F.col("event_id") % 2).cast("string")).alias("camera"), F.col("user_id").alias("track"))
+    k = k.agg(F.min(F.floor(F.unix_micros("ts") / 3_600_000_000)).alias("a"), F.max(F.floor(F.unix_micros("ts") / 3_600_000_000)).alias("b")).withColumn("cell", F.col("track") % 15).where("cell = 3")
+    r = k.select("cell", *[F.col(c).alias(f"r_{c}") for c in ("camera", "track", "a", "b")])
+    pairs = k.join(r, "cell").where("not (camera = r_camera and track = r_track)")
+    lost, live = F.col("r_b") < F.col("a"), (F.col("r_camera") != F.col("camera")) & F.col("a").between(F.col("r_a"), F.col("r_b"))
+    return pairs.where(lost | live).select("camera", "track", F.col("r_camera").alias("ref_camera"), F.col("r_track").alias("ref"), F.when(lost, "lost").otherwise("seen_by_other_camera").alias("kind"))

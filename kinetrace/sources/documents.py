@@ -67,3 +67,47 @@ def session_document(sets: DataFrame) -> DataFrame:
     person = F.struct("person", "total_reps", F.map_entries("exercises").alias("exercises"), "sets")  # maps have no order
     people = F.transform(F.array_sort(F.collect_list(person)), lambda p: F.struct(p["person"].alias("person"), p["total_reps"].alias("total_reps"), F.map_from_entries(p["exercises"]).alias("exercises"), p["sets"].alias("sets")))
     return rows.groupBy("video").agg(F.to_json(F.struct(people.alias("people"))).alias("document"))
+
+
+def run_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """One document per camera: model, stride, frames a second, counts."""
+    schema = "camera_id string, model string, stride int, fps double, width int, height int, n_frames long, n_detections long"
+    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+
+
+def homographies(calibrations: DataFrame) -> DataFrame:
+    """camera_id, time_offset_s and the matrix as columns h0 to h8, row by row: the small side of a projection join."""
+    flat = F.flatten("homography")
+    return calibrations.select("camera_id", "time_offset_s", *[F.get(flat, i).alias(f"h{i}") for i in range(9)])
+
+
+def camera_homography(calibrations: DataFrame, camera_id: str) -> list[list[float]]:
+    row = calibrations.where(F.col("camera_id") == camera_id).select("homography").first()
+    if row is None:
+        raise KeyError(camera_id)
+    return row.homography
+
+
+def landmark_pairs(clicks: DataFrame, floor_landmarks: DataFrame) -> DataFrame:
+    """Clicked landmarks (landmark_id, pixel) with their floor positions (id, world); unknown ones drop out."""
+    return clicks.join(floor_landmarks, F.col("landmark_id") == F.col("id")).select("landmark_id", "pixel", "world")
+
+
+def frame_subset(frames: DataFrame, stride: int, end_s: float | None = None) -> DataFrame:
+    """Every stride-th frame up to a time."""
+    kept = frames.where(F.col("frame") % stride == 0)
+    return kept if end_s is None else kept.where(F.col("t_local") <= end_s)
+
+
+def export_segments(frames: DataFrame, segments: dict[str, tuple[float, float]], folder: str, tick: float = 0.2) -> None:
+    """Closed ranges of frames as JSON files, a folder for each of a few named segments."""
+    for name, (t0, t1) in segments.items():
+        frames.where((F.col("tick") * tick).between(t0 - 1e-9, t1 + 1e-9)).write.mode("overwrite").json(f"{folder}/{name}")
+
+
+def overlay_rows(detections: DataFrame, confidence: float = 0.3) -> DataFrame:
+    """Packed integer rows [person, x1, y1, x2, y2, x and y of each keypoint], -1 for what is missing."""
+    box = F.transform("box", lambda v: F.round(v).cast("int"))
+    seen = lambda p, i: F.when(p[2] >= confidence, F.round(p[i]).cast("int")).otherwise(-1)
+    points = F.flatten(F.transform("kp", lambda p: F.array(seen(p, 0), seen(p, 1))))
+    return detections.select("video", "t", F.concat(F.array(F.col("track").cast("int")), box, points).alias("row"))

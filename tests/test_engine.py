@@ -94,6 +94,19 @@ def test_sources(spark, tmp_path):
     assert documents.calibrations(spark, str(tmp_path / "c1.json")).first().camera_id == "cam1"
     with pytest.raises(Exception, match="unsupported schema_version"):
         documents.calibrations(spark, str(tmp_path / "c2.json")).collect()
+    known = documents.calibrations(spark, str(tmp_path / "c1.json"))
+    assert documents.homographies(known).first().h4 == 1.0 and documents.camera_homography(known, "cam1")[0] == [1.0, 0.0, 0.0]
+    with pytest.raises(KeyError):
+        documents.camera_homography(known, "cam9")
+    document = {"video": "v", "fps": 30.0, "frames": [{"i": 0, "t": 0.0, "people": [{"id": 4, "box": [1, 2, 3.6, 4], "score": 0.9, "kp": [[5, 6, 0.9], [7, 8, 0.1]]}]}, {"i": 1, "t": 0.1, "people": []}]}
+    (tmp_path / "tracks.json").write_text(json.dumps(document))
+    poses = documents.pose_tracks(spark, str(tmp_path / "tracks.json"))
+    assert [x.track for x in poses.collect()] == [4]
+    assert documents.overlay_rows(poses).first().row == [4, 1, 2, 4, 4, 5, 6, -1, -1]
+    frames = spark.createDataFrame([(i, i / 10) for i in range(10)], "frame long, t_local double")
+    assert [x.frame for x in documents.frame_subset(frames, 3, 0.6).collect()] == [0, 3, 6]
+    documents.export_segments(spark.createDataFrame([(i, 1) for i in range(20)], "tick long, x int"), {"a": (0.4, 1.0)}, str(tmp_path / "seg"))
+    assert sorted(x.tick for x in spark.read.json(str(tmp_path / "seg/a")).collect()) == [2, 3, 4, 5]
     for name in ("a.mov", "b.mp4", "c.txt"):
         (tmp_path / name).write_bytes(b"x")
     found = documents.first_videos(spark, str(tmp_path), {"cam1": "*.m*"}).first()
