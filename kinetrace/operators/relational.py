@@ -39,25 +39,35 @@ def overlapping(left: DataFrame, right: DataFrame, start: str, end: str, width:
     return l.join(r, same).drop("lcell", "rcell")
 
 
-def nearest(left: DataFrame, right: DataFrame, keys: list[str], at: str, carry: list[str], later_on_tie: bool = True, within: float | None = None) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, keys: list[str], at: str, carry: list[str], later_on_tie: bool = True, within: float | None = None, cell: float | None = None) -> DataFrame:
     """Left rows with the columns ``carry`` of the right row nearest in ``at`` (null beyond ``within``).
 
     One sort of the union: the last right row before and the first after are found by window functions.
-    Right rows must differ in (keys, at).
+    With ``cell`` the sort is per key and cell of that width, and each cell learns from a row per cell what lies
+    before and after it; so a key with very many rows is no single task's load.  Right rows must differ in (keys, at).
     """
     row = F.struct(F.col(at).alias("at"), *[F.col(c).alias(c) for c in carry])
     r = right.select(*keys, F.col(at).alias("_at"), row.alias("_r"))
     l = left.withColumn("_at", F.col(at)).withColumn("_left", F.lit(True))
     both = l.unionByName(r, allowMissingColumns=True)
-    before = Window.partitionBy(*keys).orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    after = Window.partitionBy(*keys).orderBy("_at").rangeBetween(Window.currentRow, Window.unboundedFollowing)
-    both = both.withColumn("_b", F.last("_r", True).over(before)).withColumn("_a", F.first("_r", True).over(after)).where("_left")
+    groups = [*keys, "_cell"] if cell else keys
+    if cell:
+        both = both.withColumn("_cell", F.floor(F.col("_at") / cell))
+    before = Window.partitionBy(*groups).orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    after = Window.partitionBy(*groups).orderBy("_at").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    found = both.withColumn("_b", F.last("_r", True).over(before)).withColumn("_a", F.first("_r", True).over(after)).where("_left")
+    if cell:
+        there = F.when(F.col("_r").isNotNull(), F.col("_at"))
+        ends = both.groupBy(*groups).agg(F.max_by("_r", there).alias("_last"), F.min_by("_r", there).alias("_first"))
+        w = Window.partitionBy(*keys).orderBy("_cell")  # a row per cell
+        ends = ends.select(*groups, F.last("_last", True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_back"), F.first("_first", True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("_ahead"))
+        found = found.join(ends, groups).withColumn("_b", F.coalesce("_b", "_back")).withColumn("_a", F.coalesce("_a", "_ahead"))
     back, ahead = F.col("_at") - F.col("_b.at"), F.col("_a.at") - F.col("_at")
     use_after = F.col("_b").isNull() | (F.col("_a").isNotNull() & ((ahead <= back) if later_on_tie else (ahead < back)))
     chosen = F.when(use_after, F.col("_a")).otherwise(F.col("_b"))
     if within is not None:
         chosen = F.when(F.least(back, ahead) <= within, chosen)
-    out = both.withColumn("_c", chosen)
+    out = found.withColumn("_c", chosen)
     return out.select(*left.columns, *[F.col(f"_c.{c}").alias(c) for c in carry])
 
 

@@ -381,4 +381,4 @@ def asof_nearest_visit(spark, sf_dir):
     v = visits(spark, sf_dir)
     right = v.where("zone = 'purchase'").groupBy("t").agg(F.max("visit").alias("ref")).withColumn("site", F.lit(1))
     left = v.where("zone = 'signup'").select("visit", "t", F.lit(1).alias("site"))
-    return nearest(left, right, ["site"], "t", ["ref"]).select("visit", "ref")
+    return nearest(left, right, ["site"], "t", ["ref"], cell=6.0).select("visit", "ref")

@@ -76,8 +76,8 @@ def test_overlapping_and_nearest(spark):
     assert got == {(x[0], y[0]) for x in a for y in b if x[1] < y[2] and y[1] < x[2]}
     right = sorted({float(rng.randint(0, 100)) for _ in range(20)})
     left = [(i, rng.randint(0, 200) / 2) for i in range(60)]
-    for later in (True, False):
-        out = r.nearest(spark.createDataFrame([(1, i, t) for i, t in left], "k int, i int, t double"), spark.createDataFrame([(1, t, t) for t in right], "k int, t double, v double"), ["k"], "t", ["v"], later, 4.0)
+    for later, cell in ((True, None), (False, None), (True, 7.0), (False, 0.5)):
+        out = r.nearest(spark.createDataFrame([(1, i, t) for i, t in left], "k int, i int, t double"), spark.createDataFrame([(1, t, t) for t in right], "k int, t double, v double"), ["k"], "t", ["v"], later, 4.0, cell)
         for x in out.collect():
             best = min(right, key=lambda v: (abs(v - x.t), -v if later else v))
             assert x.v == (best if abs(best - x.t) <= 4 else None)
