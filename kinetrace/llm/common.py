@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -24,7 +26,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder shared by the cluster, from ``spark.checkpoint.dir``.
 
-    Only a local session may go without the setting; it then gets a temporary folder.
+    Only a local session may go without the setting; it then gets a temporary folder that goes with the process.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
@@ -33,7 +35,9 @@ def shared_dir(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_DIRS:
-        _LOCAL_DIRS[app] = "file://" + tempfile.mkdtemp(prefix="kinetrace-")
+        folder = tempfile.mkdtemp(prefix="kinetrace-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _LOCAL_DIRS[app] = f"file://{folder}"
     return _LOCAL_DIRS[app]
 
 
