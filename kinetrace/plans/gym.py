@@ -17,6 +17,7 @@ NOW_DAY, NOW_HOUR = 29, 10.75
 NOW = NOW_DAY * 24 + NOW_HOUR
 OPEN, CLOSE, WEEKS = 5, 23, 4
 WEEK_HOURS = 168
+PAST = (NOW_DAY - 7 * WEEKS, NOW_DAY - 1)
 #: Zones: places and units (machines) for each.
 UNITS = {"click": 14, "error": 6, "purchase": 10, "signup": 8, "view": 20}
 #: Price tiers: least members, monthly price; one-off dues of a member.
@@ -59,7 +60,7 @@ def _grid(spark) -> DataFrame:
 )
 def peak_hours(spark, sf_dir):
     """Hour-of-week occupancy, zero-filled."""
-    found = filled(_grid(spark), slots(visits(spark, sf_dir), []), ["weekday", "hour"], ["people"])
+    found = filled(_grid(spark), slots(visits(spark, sf_dir, PAST), []), ["weekday", "hour"], ["people"])
     return found.select("weekday", "hour", half_up(F.col("people")).alias("people"))
 
 
@@ -78,7 +79,7 @@ def kpis_now_vs_previous(spark, sf_dir):
     """Counts of this week and the week before, in one pass."""
     now, before = in_window(NOW - WEEK_HOURS, NOW), in_window(NOW - 2 * WEEK_HOURS, NOW - WEEK_HOURS)
     inside = (F.col("t") <= NOW) & (F.lit(NOW) < F.col("t") + F.col("duration")) & (F.col("day") == NOW_DAY)
-    found = visits(spark, sf_dir).agg(
+    found = visits(spark, sf_dir, (NOW_DAY - 14, NOW_DAY)).agg(
         F.count_if(inside).alias("in_gym_now"),
         F.count_if(now).alias("visits"),
         F.count_if(before).alias("visits_before"),
@@ -92,7 +93,7 @@ def kpis_now_vs_previous(spark, sf_dir):
 @query(f"{_WITH} SELECT h.hour::INT AS hour, count(v.visit) AS people FROM (SELECT unnest(range(24)) AS hour) h LEFT JOIN visits v ON v.day = 14 AND v.start <= h.hour AND h.hour < v.start + v.duration GROUP BY h.hour")
 def occupancy_at_instant(spark, sf_dir):
     """People inside at each full hour of one day: start <= hour < end."""
-    day = visits(spark, sf_dir).where("day = 14")
+    day = visits(spark, sf_dir, (14, 14))
     touched = F.sequence(F.ceil("start").cast("int"), F.ceil(F.col("start") + F.col("duration")).cast("int") - 1)
     full = F.ceil("start") <= F.ceil(F.col("start") + F.col("duration")) - 1
     hours = day.where(full).withColumn("hour", F.explode(touched)).where("hour < 24").groupBy("hour").agg(F.count(F.lit(1)).alias("people"))
@@ -108,7 +109,7 @@ def occupancy_at_instant(spark, sf_dir):
 def visits_per_established_member(spark, sf_dir):
     """Visits by members who had joined before the window, for each of them."""
     old = members(spark, sf_dir).where(F.col("join_day") <= NOW_DAY - 14).select("member")
-    made = visits(spark, sf_dir).where(in_window(NOW - 336, NOW)).join(old, "member", "left_semi").agg(F.count(F.lit(1)).alias("visits"))
+    made = visits(spark, sf_dir, (NOW_DAY - 14, NOW_DAY)).where(in_window(NOW - 336, NOW)).join(old, "member", "left_semi").agg(F.count(F.lit(1)).alias("visits"))
     both = made.crossJoin(F.broadcast(old.agg(F.count(F.lit(1)).alias("members"))))  # one row each
     return both.withColumn("per_member", half_up(F.try_divide(F.col("visits"), F.col("members")), 6))
 
@@ -119,7 +120,7 @@ def visits_per_established_member(spark, sf_dir):
 )
 def weekly_visits(spark, sf_dir):
     """Twelve trailing weeks that end at NOW, start inclusive; empty ones are 0."""
-    recent = visits(spark, sf_dir).where(in_window(NOW - 12 * WEEK_HOURS, NOW))
+    recent = visits(spark, sf_dir, (NOW_DAY - 84, NOW_DAY)).where(in_window(NOW - 12 * WEEK_HOURS, NOW))
     weeks = recent.groupBy((F.ceil((NOW - F.col("t")) / WEEK_HOURS).cast("int") - 1).alias("weeks_ago")).agg(F.count(F.lit(1)).alias("visits"))
     return filled(numbers(spark, 12, "weeks_ago"), weeks, ["weeks_ago"], ["visits"])
 
@@ -135,7 +136,7 @@ _DEMAND_SQL = f"""{_SLOTS}, {_UNITS_SQL},
 
 
 def _demand(spark, sf_dir) -> DataFrame:
-    people = slots(visits(spark, sf_dir), ["zone"]).join(F.broadcast(_units(spark)), "zone")  # a row for each zone
+    people = slots(visits(spark, sf_dir, PAST), ["zone"]).join(F.broadcast(_units(spark)), "zone")  # a row for each zone
     return people.select("zone", "weekday", "hour", "units", F.col("people").alias("demand"), F.least(F.lit(1.0), F.col("people") / F.col("units")).alias("occupancy"))
 
 
@@ -186,7 +187,7 @@ _RATE = f"""rates AS (SELECT m.member, count(v.visit) FILTER (v.t >= {NOW - 4 *
 
 
 def _buckets(spark, sf_dir) -> DataFrame:
-    made = visits(spark, sf_dir).where(in_window(NOW - 4 * WEEK_HOURS, NOW)).groupBy("member").agg((F.count(F.lit(1)) / 4.0).alias("rate"))
+    made = visits(spark, sf_dir, (NOW_DAY - 28, NOW_DAY)).where(in_window(NOW - 4 * WEEK_HOURS, NOW)).groupBy("member").agg((F.count(F.lit(1)) / 4.0).alias("rate"))
     rate = F.coalesce("rate", F.lit(0.0))
     ladder = F.when(rate == 0, 0).when(rate < 1, 1).when(rate < 2, 2).when(rate < 3, 3).when(rate < 4, 4).otherwise(5)
     return members(spark, sf_dir).join(made, "member", "left").withColumn("bucket", ladder)
@@ -366,7 +367,7 @@ def member_zone_list(spark, sf_dir):
 )
 def visits_by_member(spark, sf_dir):
     """Each member's visits in order of time."""
-    some = visits(spark, sf_dir).where(F.col("day").between(3, 9))
+    some = visits(spark, sf_dir, (3, 9))
     lists = some.groupBy("member").agg(F.count(F.lit(1)).alias("visits"), F.array_sort(F.collect_list(F.struct("t", "visit"))).alias("v"))
     return lists.select("member", "visits", F.array_join(F.transform("v", lambda x: x["visit"].cast("string")), ",").alias("ids"))
 

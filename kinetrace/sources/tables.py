@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,16 +13,26 @@ EPOCH = "2024-01-01"
 HOUR_US = 3_600_000_000
 
 
-def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{folder}/{name}.parquet")
+def utc(df: DataFrame) -> DataFrame:
     zoneless = [f.name for f in df.schema.fields if isinstance(f.dataType, T.TimestampNTZType)]
     return df.withColumns({c: F.col(c).cast("timestamp") for c in zoneless})
 
 
-def visits(spark: SparkSession, folder: str) -> DataFrame:
-    """Visits from events: visit, member, zone, t (hours since EPOCH), day, start (hour of day), duration (hours), sets."""
+def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return utc(spark.read.parquet(f"{folder}/{name}.parquet"))
+
+
+def visits(spark: SparkSession, folder: str, days: tuple[int, int] | None = None) -> DataFrame:
+    """Visits from events: visit, member, zone, t (hours since EPOCH), day, start (hour of day), duration (hours), sets.
+
+    ``days``, both ends included, is a filter on the stored timestamp, so it reaches the scan.
+    """
     epoch = F.unix_micros(F.lit(EPOCH).cast("timestamp"))
-    e = load(spark, folder, "events").withColumn("us", F.unix_micros("ts") - epoch)
+    events = spark.read.parquet(f"{folder}/events.parquet")
+    if days:
+        first, after = (F.lit(str(date.fromisoformat(EPOCH) + timedelta(days=d))).cast(events.schema["ts"].dataType) for d in (days[0], days[1] + 1))
+        events = events.where((F.col("ts") >= first) & (F.col("ts") < after))
+    e = utc(events).withColumn("us", F.unix_micros("ts") - epoch)
     return e.select(
         F.col("event_id").alias("visit"),
         F.col("user_id").alias("member"),
