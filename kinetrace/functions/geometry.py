@@ -48,11 +48,14 @@ def joint_angle(ax, ay, bx, by, cx, cy) -> Column:
     return F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot / size))))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    def dot(x, y):
-        return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
 
-    return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
+
+def cosine(a: Column, b: Column, norms: Column | None = None) -> Column:
+    """Cosine of two arrays of doubles; ``norms`` is the product of their lengths where it is known."""
+    norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)) if norms is None else norms
+    return dot(a, b) / F.nullif(norms, F.lit(0.0))
 
 
 def geometry_evidence(distance: Column, variance: Column, inside: Column, blind: Column, gate: float = 2.5, competitor: float = 1.5) -> Column:
