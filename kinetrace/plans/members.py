@@ -2,6 +2,9 @@
 
 Orders stand in for workouts (customer = member), line items for sets, parts for exercises.
 The muscle tables are long: one row for each exercise and muscle.
+
+Queries whose SQL twin reads only every fifth (calendar: tenth) member are registered twice:
+NAME_whole has all members, NAME those of its rows that the twin computes.
 """
 
 from __future__ import annotations
@@ -42,13 +45,14 @@ def sets(spark, sf_dir) -> DataFrame:
     return joined.select(F.col("o_custkey").alias("member"), F.col("o_orderkey").alias("workout"), F.col("o_orderdate").alias("day"), F.col("p_type").alias("exercise"), F.col("l_linenumber").alias("n"), F.col("l_quantity").cast("int").alias("reps"))
 
 
-@query(
+@query.sampled(
     f"""WITH {_MAP}, {_SETS}, l AS (SELECT member, muscle, sum(reps * weight) AS load FROM sets JOIN map ON exercise = name WHERE member % 5 = 0 GROUP BY member, muscle)
-    SELECT member, muscle, floor(load / max(load) OVER (PARTITION BY member) * 1000 + 0.5) / 1000 AS load FROM l"""
+    SELECT member, muscle, floor(load / max(load) OVER (PARTITION BY member) * 1000 + 0.5) / 1000 AS load FROM l""",
+    "member % 5 = 0",
 )
 def muscle_load(spark, sf_dir):
     """Weighted repetitions by muscle, as a share of the member's most loaded one."""
-    loads = sets(spark, sf_dir).where("member % 5 = 0").groupBy("member", "exercise").agg(F.sum("reps").alias("reps"))
+    loads = sets(spark, sf_dir).groupBy("member", "exercise").agg(F.sum("reps").alias("reps"))
     loads = loads.join(muscle_map(spark, sf_dir), F.col("exercise") == F.col("name")).groupBy("member", "muscle").agg(F.sum(F.col("reps") * F.col("weight")).alias("load"))
     most = F.max("load").over(Window.partitionBy("member"))
     return loads.select("member", "muscle", half_up(F.col("load") / F.coalesce(F.nullif(most, F.lit(0.0)), F.lit(1.0)), 3).alias("load"))
@@ -70,15 +74,16 @@ def muscle_intensity(spark, sf_dir):
 _ALIAS = (("quads", "legs", 1.0), ("hamstrings", "legs", 0.5), ("calves", "legs", 0.5), ("glutes", "legs", 1.0), ("biceps", "arms", 1.0), ("triceps", "arms", 1.0))
 
 
-@query(
+@query.sampled(
     f"""WITH {_MAP}, {_SETS}, a AS (SELECT * FROM (VALUES {", ".join(map(str, _ALIAS))}) a(muscle, area, factor)),
     l AS (SELECT member, muscle, sum(reps * weight) / 400 AS load FROM sets JOIN map ON exercise = name WHERE member % 5 = 0 GROUP BY member, muscle)
-    SELECT member, coalesce(area, l.muscle) AS area, floor(max(least(1, load * coalesce(factor, 1))) * 1000 + 0.5) / 1000 AS load FROM l LEFT JOIN a ON l.muscle = a.muscle GROUP BY member, coalesce(area, l.muscle)"""
+    SELECT member, coalesce(area, l.muscle) AS area, floor(max(least(1, load * coalesce(factor, 1))) * 1000 + 0.5) / 1000 AS load FROM l LEFT JOIN a ON l.muscle = a.muscle GROUP BY member, coalesce(area, l.muscle)""",
+    "member % 5 = 0",
 )
 def muscle_remap(spark, sf_dir):
     """Fine muscles to coarse areas with a factor; where several meet, the largest counts."""
     alias = spark.createDataFrame(list(_ALIAS), "muscle string, area string, factor double")
-    loads = sets(spark, sf_dir).where("member % 5 = 0").join(F.broadcast(muscle_map(spark, sf_dir)), F.col("exercise") == F.col("name"))
+    loads = sets(spark, sf_dir).join(F.broadcast(muscle_map(spark, sf_dir)), F.col("exercise") == F.col("name"))
     loads = loads.groupBy("member", "muscle").agg((F.sum(F.col("reps") * F.col("weight")) / 400).alias("load")).join(F.broadcast(alias), "muscle", "left")
     area = F.coalesce("area", "muscle")
     return loads.groupBy("member", area.alias("area")).agg(half_up(F.max(F.least(F.lit(1.0), F.col("load") * F.coalesce("factor", F.lit(1.0)))), 3).alias("load"))
@@ -93,15 +98,16 @@ def workout_rollup(spark, sf_dir):
     return s.select("workout", "exercise", "sets", F.array_join(F.transform("l", lambda x: x["reps"].cast("string")), ",").alias("reps_per_set"), "total")
 
 
-@query(
+@query.sampled(
     f"""WITH {_SETS}, d AS (SELECT member, exercise, day, sum(reps)::BIGINT AS reps FROM sets WHERE member % 5 = 0 GROUP BY ALL),
     r AS (SELECT *, row_number() OVER (PARTITION BY member, exercise ORDER BY reps DESC, day DESC) AS best, count(*) OVER (PARTITION BY member, exercise) AS times FROM d),
     b AS (SELECT member, exercise, reps AS best, strftime(day, '%Y-%m-%d') AS best_day, times FROM r WHERE best = 1)
-    SELECT *, row_number() OVER (PARTITION BY member ORDER BY times DESC, exercise)::INT AS rank FROM b"""
+    SELECT *, row_number() OVER (PARTITION BY member ORDER BY times DESC, exercise)::INT AS rank FROM b""",
+    "member % 5 = 0",
 )
 def progress_best(spark, sf_dir):
     """Best day of each exercise, the latest of equals, ranked by how often it was done."""
-    days = sets(spark, sf_dir).where("member % 5 = 0").groupBy("member", "exercise", "day").agg(F.sum("reps").alias("reps"))
+    days = sets(spark, sf_dir).groupBy("member", "exercise", "day").agg(F.sum("reps").alias("reps"))
     best = days.groupBy("member", "exercise").agg(F.max(F.struct("reps", "day")).alias("b"), F.count(F.lit(1)).alias("times"))
     rank = F.row_number().over(Window.partitionBy("member").orderBy(F.col("times").desc(), "exercise"))
     return best.select("member", "exercise", F.col("b.reps").alias("best"), F.date_format("b.day", "yyyy-MM-dd").alias("best_day"), "times", rank.alias("rank"))
@@ -110,13 +116,14 @@ def progress_best(spark, sf_dir):
 _CALENDAR = """m AS (SELECT DISTINCT user_id AS member FROM events WHERE user_id % 10 = 0), g AS (SELECT member, d::DATE AS day FROM m, generate_series(DATE '2024-01-01', DATE '2024-01-30', INTERVAL 1 DAY) t(d))"""
 
 
-@query(
+@query.sampled(
     f"""WITH {_CALENDAR} SELECT g.member, strftime(g.day, '%Y-%m-%d') AS day, coalesce(sum(json_extract(props, '$.k')::INT), 0)::BIGINT AS reps, count(e.event_id) AS sessions
-    FROM g LEFT JOIN events e ON e.user_id = g.member AND e.ts::DATE = g.day GROUP BY ALL"""
+    FROM g LEFT JOIN events e ON e.user_id = g.member AND e.ts::DATE = g.day GROUP BY ALL""",
+    "member % 10 = 0",
 )
 def activity_calendar(spark, sf_dir):
     """Thirty days of each member, empty ones as 0."""
-    e = load(spark, sf_dir, "events").where("user_id % 10 = 0").select(F.col("user_id").alias("member"), F.to_date("ts").alias("day"), F.get_json_object("props", "$.k").cast("int").alias("k"))
+    e = load(spark, sf_dir, "events").select(F.col("user_id").alias("member"), F.to_date("ts").alias("day"), F.get_json_object("props", "$.k").cast("int").alias("k"))
     grid = e.select("member").distinct().withColumn("day", F.explode(F.sequence(F.lit("2024-01-01").cast("date"), F.lit("2024-01-30").cast("date"))))
     sums = e.groupBy("member", "day").agg(F.sum("k").alias("reps"), F.count(F.lit(1)).alias("sessions"))
     found = grid.join(sums, ["member", "day"], "left").na.fill(0, ["reps", "sessions"])
@@ -133,7 +140,7 @@ def hours_since_trained(spark, sf_dir) -> DataFrame:
 
     Workouts are years apart in these tables, so a day counts for an hour.
     """
-    days = sets(spark, sf_dir).where("member % 5 = 0").join(F.broadcast(muscle_map(spark, sf_dir)), F.col("exercise") == F.col("name"))
+    days = sets(spark, sf_dir).join(F.broadcast(muscle_map(spark, sf_dir)), F.col("exercise") == F.col("name"))
     days = days.groupBy("member", "muscle", "day").agg((F.sum(F.col("reps") * F.col("weight")) / 20).alias("load"))
     last = days.groupBy("member", "muscle").agg(F.max(F.when(F.col("load") >= TRAINED, F.col("day"))).alias("last"))
     grid = days.select("member").distinct().withColumn("muscle", F.explode(F.array(*map(F.lit, MUSCLES))))
@@ -151,16 +158,18 @@ def recovery(hours: DataFrame, needed: float = 72.0) -> DataFrame:
 _RECOVERY = f"""{_HOURS}, r AS (SELECT *, floor(least(1, hours / 72) * 100 + 0.5)::BIGINT AS percent, least(1, hours / {OVERDUE_HOURS}) AS need FROM h)"""
 
 
-@query(
-    f"""WITH {_RECOVERY} SELECT member, muscle, percent, floor(need * 1e6 + 0.5) / 1e6 AS need, CASE WHEN percent < {RECOVERING} THEN 'fatigued' WHEN percent < {READY} THEN 'recovering' ELSE 'ready' END AS status FROM r"""
+@query.sampled(
+    f"""WITH {_RECOVERY} SELECT member, muscle, percent, floor(need * 1e6 + 0.5) / 1e6 AS need, CASE WHEN percent < {RECOVERING} THEN 'fatigued' WHEN percent < {READY} THEN 'recovering' ELSE 'ready' END AS status FROM r""",
+    "member % 5 = 0",
 )
 def recovery_status(spark, sf_dir):
     return recovery(hours_since_trained(spark, sf_dir)).select("member", "muscle", "percent", half_up(F.col("need"), 6).alias("need"), "status")
 
 
-@query(
+@query.sampled(
     f"""WITH {_RECOVERY} SELECT member, name AS exercise, coalesce(string_agg(muscle, ',' ORDER BY muscle) FILTER ((weight = 1 AND percent < {READY}) OR percent < {RECOVERING}), '') AS waiting_on
-    FROM r JOIN map USING (muscle) GROUP BY member, name"""
+    FROM r JOIN map USING (muscle) GROUP BY member, name""",
+    "member % 5 = 0",
 )
 def exercises_waiting(spark, sf_dir):
     """What each exercise waits for: primary muscles that are not ready, secondary ones that are fatigued."""
@@ -193,13 +202,14 @@ def workout_recap(spark, sf_dir):
     return whole.select("workout", F.array_join(F.transform("p", lambda x: x["text"]), "; ").alias("recap"))
 
 
-@query(
+@query.sampled(
     f"""WITH {_MAP}, {_SETS}, w AS (SELECT member, muscle, workout, day, sum(reps * weight) / 20 AS load FROM sets JOIN map ON exercise = name WHERE member % 5 = 0 GROUP BY ALL)
-    SELECT member, muscle, max(day * 1)::VARCHAR AS day FROM (SELECT member, muscle, strftime(day, '%Y%m%d')::BIGINT AS day FROM w WHERE load >= {TRAINED}) GROUP BY member, muscle"""
+    SELECT member, muscle, max(day * 1)::VARCHAR AS day FROM (SELECT member, muscle, strftime(day, '%Y%m%d')::BIGINT AS day FROM w WHERE load >= {TRAINED}) GROUP BY member, muscle""",
+    "member % 5 = 0",
 )
 def last_trained(spark, sf_dir):
     """The newest day each muscle was loaded."""
-    days = sets(spark, sf_dir).where("member % 5 = 0").join(F.broadcast(muscle_map(spark, sf_dir)), F.col("exercise") == F.col("name"))
+    days = sets(spark, sf_dir).join(F.broadcast(muscle_map(spark, sf_dir)), F.col("exercise") == F.col("name"))
     days = days.groupBy("member", "muscle", "workout", "day").agg((F.sum(F.col("reps") * F.col("weight")) / 20).alias("load"))
     return days.where(F.col("load") >= TRAINED).groupBy("member", "muscle").agg(F.date_format(F.max("day"), "yyyyMMdd").alias("day"))
 

@@ -1,0 +1,22 @@
+"""Queries that once ran on a part of their tables, over the whole of small ones."""
+
+import pytest
+from test_engine import PLANS, SF, SQL, duck, rows  # noqa: F401
+
+from kinetrace.plans.members import sets
+
+MEMBERS = {name: "WHERE member % 5 = 0" for name in ("muscle_load", "muscle_remap", "progress_best", "recovery_status", "exercises_waiting", "last_trained")}
+MEMBERS["activity_calendar"] = "WHERE user_id % 10 = 0"
+
+
+@pytest.mark.parametrize("name", sorted(MEMBERS))
+def test_all_members(spark, duck, name):  # noqa: F811
+    assert MEMBERS[name] in SQL[name]
+    got, want = PLANS[f"{name}_whole"](spark, SF).toPandas(), duck.sql(SQL[name].replace(MEMBERS[name], "")).df()
+    assert rows(got) == rows(want)
+    assert got.member.nunique() > 4 * PLANS[name](spark, SF).toPandas().member.nunique()
+
+
+def test_next_session_of_all_members(spark):
+    got = PLANS["next_session"](spark, SF).toPandas()
+    assert sorted(got.member) == sorted(x.member for x in sets(spark, SF).select("member").distinct().collect())
