@@ -15,7 +15,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Chunks of these characters only are lower-cased and cut at punctuation before encoding: no apostrophes
-#: (contractions are one pre-token), nothing above U+00FF (no combining marks).
+#: (contractions are one pre-token), nothing above U+00FF (no combining marks).  U+0130 is lower-cased to one of them
+#: here but to two characters by the library, so chunks that hold it are never simple.
 _SIMPLE = r"^[a-z0-9\x{DF}-\x{F6}\x{F8}-\x{FF}!-&(-/:-@\[-`{-~]*$"
 _LETTERS = r"^[a-z\x{DF}-\x{F6}\x{F8}-\x{FF}]+$"
 _PUNCTUATION = r"([!-&(-/:-@\[-`{-~]+)"
@@ -89,7 +90,7 @@ class BatchTokenizer:
         codes = chunks.indices.to_numpy(zero_copy_only=False)
         distinct = chunks.dictionary
         lowered = pc.utf8_lower(distinct)
-        simple = pc.match_substring_regex(lowered, _SIMPLE)
+        simple = pc.and_not(pc.match_substring_regex(lowered, _SIMPLE), pc.match_substring(distinct, "\u0130"))
         # words of each distinct chunk: the chunk itself, or its parts where it is simple
         parts = pc.if_else(simple, pc.replace_substring_regex(lowered, _PUNCTUATION, r" \1 "), distinct)
         split = pc.split_pattern(parts, " ")

@@ -26,6 +26,15 @@ def test_batch_tokenizer_equals_the_library():
             assert ids[end - n : end].tolist() == tool.library.encode(text, add_special_tokens=False).ids
 
 
+def test_batch_tokenizer_lower_cases_as_the_library():
+    tool = BatchTokenizer(vocabulary("word_bpe_49k.json"))
+    texts = ["İstanbul", "see İSTANBUL, İ. istanbul", *(f"{chr(c)}stanbul a{chr(c)}b" for c in range(0xC0, 0x250))]
+    ids, counts = tool.encode(large(texts))
+    ends = np.cumsum(counts)
+    for text, end, n in zip(texts, ends, counts):
+        assert ids[end - n : end].tolist() == tool.library.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("top", [1, 2, 300, 2**16, 2**60, 2**64])
 @pytest.mark.parametrize("size", [0, 1, 63, 64, 65, 1000])
 def test_simple8b_round_trip(top, size):
