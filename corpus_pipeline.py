@@ -34,7 +34,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack_documents(docs, vocabulary("word_bpe_49k.json"))
+    return pack_documents(docs, vocabulary("word_bpe_49k.json"), with_ids=True)
 
 
 STAGES = [

@@ -32,13 +32,13 @@ from .common import Workspace, arrow_slices
 from .tokens import tokenizer, with_end
 
 CAPACITY, END_ID = 4096, 1
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"
+PIECES = "doc_id long, piece int, start long, length long, part int, rank long, ids array<int>"
 
 
-def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Token ids of each document with the end id, cut where they exceed the capacity.
 
-    ``part`` and ``rank`` place a piece among the pieces of its length; with ``with_ids`` the ids follow as an array.
+    ``part`` and ``rank`` place a piece among the pieces of its length.
     """
 
     def run(batches):
@@ -53,22 +53,18 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
             start = piece * capacity
             length = np.minimum(counts[doc] - start, capacity)
             at = (np.cumsum(counts) - counts)[doc] + start
-            raw = memoryview(ids).cast("B")
-            crc = [zlib.crc32(raw[4 * a : 4 * (a + n)]) for a, n in zip(at.tolist(), length.tolist())]
             order = np.argsort(length, kind="stable")
             sorted_length = length[order]
             rank = np.empty(len(order), np.int64)
             rank[order] = np.arange(len(order)) - np.searchsorted(sorted_length, sorted_length)
             rank += seen[length]
             seen += np.bincount(length, minlength=capacity + 1)
-            columns = [rows.column(0).take(pa.array(doc)), piece.astype(np.int32), start, length, pa.array(crc, pa.int64()), np.full(len(doc), part, np.int32), rank]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank"]
-            if with_ids:
-                columns.append(pa.ListArray.from_arrays(pa.array(np.append(at, len(ids)).astype(np.int32)), pa.array(ids.astype(np.int32))))
-                names.append("ids")
+            columns = [rows.column(0).take(pa.array(doc)), piece.astype(np.int32), start, length, np.full(len(doc), part, np.int32), rank]
+            columns.append(pa.ListArray.from_arrays(pa.array(np.append(at, len(ids)).astype(np.int32)), pa.array(ids.astype(np.int32))))
+            names = ["doc_id", "piece", "start", "length", "part", "rank", "ids"]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names)
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, PIECES + (", ids array<int>" if with_ids else ""))
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, PIECES)
 
 
 def plan(histogram: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:
@@ -140,8 +136,15 @@ def plan(histogram: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:
     return np.array(rows, np.int64).reshape(-1, 6), sequences
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Adds sequence_id and offset to rows that have length, part and rank (see ``token_pieces``).
+def digests(ids: pa.Array) -> pa.Array:
+    """CRC-32 of each list of ids as little-endian 32-bit words."""
+    raw = memoryview(np.ascontiguousarray(ids.values.to_numpy(), "<i4")).cast("B")
+    ends = (4 * ids.offsets.to_numpy().astype(np.int64)).tolist()
+    return pa.array([zlib.crc32(raw[a:b]) for a, b in zip(ends, ends[1:])], pa.int64())
+
+
+def pack(pieces: DataFrame, capacity: int = CAPACITY, with_ids: bool = True) -> DataFrame:
+    """Adds sequence_id, offset and the digest of the ids to rows that have ids, length, part and rank (see ``token_pieces``).
 
     ``pieces`` must be a written table, as it is read twice and its ranks must not change.
     """
@@ -155,6 +158,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     shared = spark.sparkContext.broadcast(rows)
     ranked = pieces.join(bases, ["length", "part"]).select(*[c for c in pieces.columns if c not in ("part", "rank")], (F.col("before") + F.col("rank")).alias("rank"))
 
+    dropped = ["rank"] if with_ids else ["rank", "ids"]
+
     def assign(batches):
         rows = shared.value
         top = int((rows[:, 1] + rows[:, 2]).max(initial=1))
@@ -163,17 +168,21 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             length, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("length", "rank"))
             row = rows[np.searchsorted(keys, length * top + rank, "right") - 1]
             r = rank - row[:, 1]
-            keep = batch.drop_columns(["rank"])
-            yield pa.RecordBatch.from_arrays([*keep.columns, pa.array(row[:, 3] + r // row[:, 4]), pa.array(row[:, 5] + r % row[:, 4] * length)], [*keep.schema.names, "sequence_id", "offset"])
+            crc = digests(batch.column(batch.schema.get_field_index("ids")))
+            keep = batch.drop_columns(dropped)
+            yield pa.RecordBatch.from_arrays([*keep.columns, crc, pa.array(row[:, 3] + r // row[:, 4]), pa.array(row[:, 5] + r % row[:, 4] * length)], [*keep.schema.names, "ids_crc32", "sequence_id", "offset"])
 
-    kept = [f for f in ranked.schema.fields if f.name != "rank"]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["sequence_id long", "offset long"])
+    kept = [f for f in ranked.schema.fields if f.name not in dropped]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["ids_crc32 long", "sequence_id long", "offset long"])
     return ranked.mapInArrow(assign, schema)
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
-    """Pieces of all documents with their place: doc_id, piece, start, length, ids_crc32, [ids,] sequence_id, offset."""
+    """Pieces of all documents with their place: doc_id, piece, start, length, ids_crc32, [ids,] sequence_id, offset.
+
+    The ids go along to their place in any case, and the digests are of what arrives there.
+    """
     work = Workspace(docs.sparkSession, "packing")
-    pieces = work.write(token_pieces(docs, path, capacity, end_id, doc_id, text, with_ids), "pieces")
+    pieces = work.write(token_pieces(docs, path, capacity, end_id, doc_id, text), "pieces")
     order = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else []), "sequence_id", "offset"]
-    return pack(pieces, capacity).select(*order)
+    return pack(pieces, capacity, with_ids).select(*order)

@@ -266,6 +266,17 @@ def test_pipeline_stages_against_brute_force(spark):
             assert now == {i: pii.redacted(t, pii.spans(t)) for i, t in was}
 
 
+def test_pipeline_ends_with_packed_ids(spark):
+    tool = Tokenizer.from_file(vocabulary(WORD))
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = sorted(corpus_pipeline.packing(spark, docs, SF).collect(), key=lambda r: (r.doc_id, r.start))
+    ids = defaultdict(list)
+    for r in got:
+        assert r.length == len(r.ids) and r.ids_crc32 == zlib.crc32(b"".join(x.to_bytes(4, "little") for x in r.ids))
+        ids[r.doc_id] += r.ids
+    assert ids == {r.doc_id: [*tool.encode(r.text, add_special_tokens=False).ids, 1] for r in docs.collect()}
+
+
 def test_queries_have_fixed_names(spark):
     names = sorted(queries(), key=lambda n: int(n[2:].split("_")[0]))
     assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
