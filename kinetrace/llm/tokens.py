@@ -16,7 +16,8 @@ import pyarrow.compute as pc
 
 #: Chunks of these characters only are lower-cased and cut at punctuation before encoding: no apostrophes
 #: (contractions are one pre-token), nothing above U+00FF (no combining marks).  U+0130 is lower-cased to one of them
-#: here but to two characters by the library, so chunks that hold it are never simple.
+#: here but to two characters by the library, so chunks that hold it are never simple, nor are chunks that hold the
+#: text of an added token, which the library takes as that token.
 _SIMPLE = r"^[a-z0-9\x{DF}-\x{F6}\x{F8}-\x{FF}!-&(-/:-@\[-`{-~]*$"
 _LETTERS = r"^[a-z\x{DF}-\x{F6}\x{F8}-\x{FF}]+$"
 _PUNCTUATION = r"([!-&(-/:-@\[-`{-~]+)"
@@ -37,7 +38,7 @@ class BatchTokenizer:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # control strings in a text are ordinary text
+        self.added = [t.content.lower() for t in self.library.get_added_tokens_decoder().values()]
         vocabulary = self.library.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         for piece, i in vocabulary.items():
@@ -90,7 +91,10 @@ class BatchTokenizer:
         codes = chunks.indices.to_numpy(zero_copy_only=False)
         distinct = chunks.dictionary
         lowered = pc.utf8_lower(distinct)
-        simple = pc.and_not(pc.match_substring_regex(lowered, _SIMPLE), pc.match_substring(distinct, "\u0130"))
+        own = pc.match_substring(distinct, "\u0130")
+        for token in self.added:
+            own = pc.or_(own, pc.match_substring(lowered, token))
+        simple = pc.and_not(pc.match_substring_regex(lowered, _SIMPLE), own)
         # words of each distinct chunk: the chunk itself, or its parts where it is simple
         parts = pc.if_else(simple, pc.replace_substring_regex(lowered, _PUNCTUATION, r" \1 "), distinct)
         split = pc.split_pattern(parts, " ")

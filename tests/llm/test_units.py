@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from tokenizers import Tokenizer
 
 from kinetrace.llm import chat, html_extract, media, minhash, packing, pii, shingles, token_file, toxicity
 from kinetrace.llm.queries import vocabulary
@@ -12,6 +13,8 @@ from kinetrace.llm.tokens import BatchTokenizer
 
 ODD = ["", "   ", "don't  stop'll #'s x", "é a̸ ≮", "<|endoftext|> hi", "ABC12def $$$#x ÀÉß İı Σας 漢字", "a\x00b \x1f x\x85y\xa0z", "naïve—x “q”", "word " * 3000]
 
+LIBRARY = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))  # as it is, with its own settings
+
 
 def large(texts):
     return pa.array(texts, pa.large_string())
@@ -23,7 +26,7 @@ def test_batch_tokenizer_equals_the_library():
         ids, counts = tool.encode(large([*ODD, None]))
         ends = np.cumsum(counts)
         for text, end, n in zip([*ODD, ""], ends, counts):
-            assert ids[end - n : end].tolist() == tool.library.encode(text, add_special_tokens=False).ids
+            assert ids[end - n : end].tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
 
 
 def test_batch_tokenizer_lower_cases_as_the_library():
@@ -32,7 +35,26 @@ def test_batch_tokenizer_lower_cases_as_the_library():
     ids, counts = tool.encode(large(texts))
     ends = np.cumsum(counts)
     for text, end, n in zip(texts, ends, counts):
-        assert ids[end - n : end].tolist() == tool.library.encode(text, add_special_tokens=False).ids
+        assert ids[end - n : end].tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
+def test_batch_tokenizer_on_random_texts_of_all_planes():
+    rng = random.Random(11)
+    added = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "</w>", "İ", "'ll", "'S"]
+    ranges = [(0, 0x7F), (0, 0x7F), (0x20, 0x250), (0x250, 0x3000), (0x3000, 0xD7FF), (0xE000, 0xFFFF), (0x10000, 0x10FFFF)]
+
+    def piece():
+        if rng.random() < 0.15:
+            return rng.choice(added)
+        low, high = rng.choice(ranges)
+        return "".join(chr(rng.randint(low, high)) for _ in range(rng.randint(1, 6)))
+
+    texts = ["".join(piece() + rng.choice(["", "", " ", "\n", "\t ", "\u3000"]) for _ in range(rng.randint(0, 12))) for _ in range(10_000)]
+    tool = BatchTokenizer(vocabulary("word_bpe_49k.json"))
+    ids, counts = tool.encode(large(texts))
+    ends = np.cumsum(counts)
+    wrong = [text for text, end, n, found in zip(texts, ends, counts, LIBRARY.encode_batch(texts, add_special_tokens=False)) if ids[end - n : end].tolist() != found.ids]
+    assert not wrong
 
 
 @pytest.mark.parametrize("top", [1, 2, 300, 2**16, 2**60, 2**64])
