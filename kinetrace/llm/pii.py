@@ -8,14 +8,19 @@ Kinds, in this order:
     phone   + and 8 to 15 digits
     iban    country, check digits and account, passing mod-97
     id      nine digits as 3-2-4, or 13 to 15 digits passing Luhn, only with a context word nearby
+    secret  a word of 24 to 128 letters, digits and _+/- that mixes letters and digits without much repetition,
+            only with a context word nearby
 
 A pattern's matches are leftmost and do not overlap within a kind; a match that its
 validator rejects is dropped without another try.  Every span has a score: the base
 score of its kind, raised by a context word within ``NEAR`` characters before it.
 The first four kinds are kept whatever the score; the others from ``THRESHOLD`` on.
 
-Defined results: null and empty texts have no spans.  Offsets count code points, ends
-exclusive.
+Defined results: null and empty texts have no spans; repeated rows have the same result;
+other columns are not looked at; an empty table gives an empty result.  Offsets count code
+points, ends exclusive.  Every pattern takes time in proportion to the text, also on long
+runs of digits: a match of IP can only begin where a run of digits begins, and no pattern
+goes back into a run it has passed.
 """
 
 from __future__ import annotations
@@ -32,11 +37,12 @@ from .common import as_texts, free_name
 
 # Patterns of the kinds.
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
-IP = r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+"
-CARD = r"[0-9](?:[ -]?[0-9])+"
+IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
+CARD = r"[0-9](?:[ -]?[0-9])++"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 IBAN = r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"
 ID = r"\b(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{13,15})\b"
+SECRET = r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{24,128}(?![A-Za-z0-9_+/-])"
 BASE = ("email", "ip", "card", "phone")
 #: Words that make a kind likelier when they stand shortly before a span.
 CONTEXT = {
@@ -46,8 +52,9 @@ CONTEXT = {
     "phone": "phone tel call mobile telefon telefono",
     "iban": "iban account bank konto cuenta compte",
     "id": "ssn social security passport imei ausweis",
+    "secret": "token key secret password passwd credential bearer",
 }
-SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "id": 0.3}
+SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "id": 0.3, "secret": 0.3}
 NEAR, RAISE, THRESHOLD = 40, 0.35, 0.5
 
 _CONTEXT = {k: re.compile(r"\b(?:" + "|".join(v.split()) + r")", re.I) for k, v in CONTEXT.items()}
@@ -75,10 +82,11 @@ _VALID = {
     "phone": lambda s: 8 <= len(_digits(s)) <= 15,
     "iban": lambda s: 15 <= len(c := s.replace(" ", "")) <= 34 and mod97(c),
     "id": lambda s: "-" in s or luhn(s),
+    "secret": lambda s: len(set(s)) >= 10 and sum(map(str.isdigit, s)) >= 4 and sum(map(str.isalpha, s)) >= 4,
 }
-_PATTERN = {k: re.compile(p) for k, p in zip(SCORES, (EMAIL, IP, CARD, PHONE, IBAN, ID))}
+_PATTERN = {k: re.compile(p) for k, p in zip(SCORES, (EMAIL, IP, CARD, PHONE, IBAN, ID, SECRET))}
 _LOCAL, _DOMAIN = re.compile(r"[A-Za-z0-9._%+-]+\Z"), re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_DIGIT, _NUMBERS = re.compile("[0-9]"), {"ip", "card", "phone", "iban", "id"}
+_DIGIT, _NUMBERS = re.compile("[0-9]"), set(SCORES) - {"email"}
 _LOCALS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 

@@ -46,7 +46,7 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return personal_data_report(table(spark, sf_dir, "documents")).drop("scores")
+    return personal_data_report(table(spark, sf_dir, "documents"))
 
 
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,8 @@
 """Helpers against brute force, without Spark."""
 
 import random
+import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -133,6 +135,46 @@ def test_emails_equal_the_plain_pattern():
         assert list(pii._emails(text)) == [m.span() for m in pii._PATTERN["email"].finditer(text)]
 
 
+def contract_spans(text):
+    """The four base kinds as stated, with plain patterns and plain sums."""
+    out = []
+    for kind, pattern in (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")):
+        for m in re.finditer(pattern, text):
+            digits = [int(c) for c in m[0] if c in "0123456789"]
+            if kind == "ip" and any(int(p) > 255 for p in m[0].split(".")):
+                continue
+            if kind == "phone" and not 8 <= len(digits) <= 15:
+                continue
+            if kind == "card":
+                doubled = [d if k % 2 == 0 else 2 * d - 9 * (d > 4) for k, d in enumerate(reversed(digits))]
+                if not 16 <= len(digits) <= 19 or sum(doubled) % 10:
+                    continue
+            out.append(f"{kind}:{m.start()}:{m.end()}")
+    return out
+
+
+def test_base_spans_equal_the_contract():
+    rng = random.Random(4)
+    parts = ["4111 1111 1111 1111", "4111-1111-1111-1111", "10.0.0.1", "256.1.1.1", "+1 (555) 010-99", "a.b@c.de", "0", "7", "12", ".", "-", " ", "+", "(", ")", "@", "x", "é", "\n", "1.2.3.4.5.6.7.8", "00255.1.1.1"]
+    for _ in range(6000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
+        assert [f"{k}:{a}:{b}" for k, a, b, _ in pii.spans(text) if k in pii.BASE] == contract_spans(text)
+
+
+def test_context_words_adjust_the_score():
+    hidden = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    assert [(k, s) for k, _, _, s in pii.spans(f'token = "{hidden}"')] == [("secret", pytest.approx(0.65))]
+    assert pii.spans(f"commit {hidden}") == []
+    assert pii.spans("host 10.0.0.1")[0][3] > pii.spans("see 10.0.0.1")[0][3]
+
+
+@pytest.mark.parametrize("text", ["7" * 5_000_000, "1." * 500_000, "+1" + "(" * 3_000_000, "1 " * 2_000_000, "a@" * 1_000_000, "A1" * 2_000_000, "9" * 20 + "." + "9" * 3_000_000], ids=lambda t: t[:4])
+def test_long_texts_take_time_in_proportion(text):
+    begin = time.process_time()
+    pii.spans(text)
+    assert time.process_time() - begin < 10
+
+
 def test_container_round_trip_and_refusal():
     for size in (64, 64 * 16, 64 * 33):
         payload = bytes(range(256)) * (size // 64) * 4
