@@ -7,9 +7,15 @@
     mdat
 
 Samples of a fixed number of payload bytes are grouped in chunks; every sample that
-begins a chunk is a sync sample.  ``describe`` reads any such file: it walks the
-nested boxes and decodes the sample tables into codec, duration and the byte range
-of each keyframe, and never touches the payload.
+begins a chunk is a sync sample.  ``tracks`` reads any such file: it walks the nested
+boxes and decodes the sample tables of each track (stts, stsc, stsz, stss, stco or co64)
+into codec, duration and the byte range and time of each keyframe, and never touches the
+payload.  Tables are checked against the size of their box before they are read and are
+decoded with numpy.
+
+Defined results: a null or empty text is stored as one block of zeros; repeated rows get
+the same values; a null, cut-off or forged container has null columns; other columns are
+not looked at, and names they take are avoided; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,6 +25,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -81,10 +88,13 @@ def mux(payload: bytes, sample: int = SAMPLE, per_chunk: int = CHUNK, rate: int
     return ftyp + moov(first) + data
 
 
-def boxes(data: bytes, begin: int = 0, end: int | None = None, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
-    """(path, body begin, body end) of every box, nested ones after their parent."""
-    end = len(data) if end is None else end
-    while begin + 8 <= end:
+def boxes(data: bytes) -> Iterator[tuple[int, bytes, int, int]]:
+    """(depth, kind, body begin, body end) of every box, nested ones after their parent; a stack, so any depth will do."""
+    stack = [(0, 0, len(data))]
+    while stack:
+        depth, begin, end = stack.pop()
+        if begin + 8 > end:
+            continue
         size, kind = struct.unpack_from(">I4s", data, begin)
         head = 8
         if size == 1:
@@ -95,54 +105,118 @@ def boxes(data: bytes, begin: int = 0, end: int | None = None, path: tuple[bytes
             size = end - begin
         if size < head or begin + size > end:
             raise ValueError(f"box {kind!r} of {size} bytes does not fit")
-        yield (*path, kind), begin + head, begin + size
+        yield depth, kind, begin + head, begin + size
+        stack.append((depth, begin + size, end))
         if kind in _NESTED:
-            yield from boxes(data, begin + head, begin + size, (*path, kind))
-        begin += size
+            stack.append((depth + 1, begin + head, begin + size))
+
+
+def _entries(data: bytes, span: tuple[int, int], code: str, width: int = 1, skip: int = 4) -> np.ndarray:
+    """The counted entries of a table box, one row each; the count is checked against the box before anything is read."""
+    begin, end = span[0] + skip, span[1]
+    if begin + 4 > end:
+        raise ValueError("table cut off")
+    n, size = struct.unpack_from(">I", data, begin)[0], np.dtype(code).itemsize
+    if n * width * size > end - begin - 4:
+        raise ValueError(f"table claims {n} entries")
+    return np.frombuffer(data, code, n * width, begin + 4).astype(np.int64).reshape(n, width)
+
+
+def _times(data: bytes, at: dict[bytes, tuple[int, int]], samples: int) -> np.ndarray:
+    """Decoding time of each sample and of the end, in units of the timescale (``stts``)."""
+    runs = _entries(data, at[b"stts"], ">u4", 2)
+    if (runs[:, 0] < 0).any() or int(runs[:, 0].sum()) != samples:
+        raise ValueError("stts does not cover the samples")
+    return np.concatenate([[0], np.cumsum(np.repeat(runs[:, 1], runs[:, 0]))])
+
+
+def _sizes(data: bytes, span: tuple[int, int], most: int) -> np.ndarray:
+    """Sizes of the samples (``stsz``); samples of one size need no table, so their total is checked against the file."""
+    fixed, n = struct.unpack_from(">II", data, span[0] + 4)
+    if fixed:
+        if fixed * n > most:
+            raise ValueError(f"{n} samples of {fixed} bytes exceed the file")
+        return np.full(n, fixed, np.int64)
+    return _entries(data, span, ">u4", skip=8)[:, 0]
+
+
+def _track(data: bytes, at: dict[bytes, tuple[int, int]]) -> dict:
+    """What the sample tables of one track say."""
+    wide = data[at[b"mdhd"][0]] == 1
+    scale, duration = struct.unpack_from(">IQ" if wide else ">II", data, at[b"mdhd"][0] + (20 if wide else 12))
+    codec = struct.unpack_from(">4s", data, at[b"stsd"][0] + 12)[0].decode("latin-1")
+    sizes = _sizes(data, at[b"stsz"], len(data))
+    n = len(sizes)
+    chunks = (_entries(data, at[b"co64"], ">i8") if b"co64" in at else _entries(data, at[b"stco"], ">u4"))[:, 0]
+    runs = _entries(data, at[b"stsc"], ">u4", 3)
+    if n and (not len(runs) or runs[0, 0] != 1 or (np.diff(runs[:, 0]) <= 0).any() or runs[-1, 0] > len(chunks)):
+        raise ValueError("stsc does not fit the chunks")
+    each = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0], len(chunks) + 1))) if len(runs) else np.zeros(0, np.int64)
+    if int(each.sum()) != n:
+        raise ValueError("stsc does not cover the samples")
+    upto = np.concatenate([[0], np.cumsum(sizes)])
+    firsts = np.cumsum(each) - each  # first sample of each chunk
+    lengths = upto[firsts + each] - upto[firsts]
+    starts = upto[:-1] + np.repeat(chunks - upto[firsts], each)
+    if n and (chunks.min() < 0 or (chunks + lengths).max() > len(data)):
+        raise ValueError("samples outside the file")
+    times = _times(data, at, n)
+    sync = _entries(data, at[b"stss"], ">u4")[:, 0] - 1 if b"stss" in at else np.arange(n)
+    if len(sync) and (sync.min() < 0 or sync.max() >= n):
+        raise ValueError("stss names a sample that is not there")
+    return {
+        "codec": codec,
+        "timescale": scale,
+        "duration": duration if duration else int(times[-1]),
+        "samples": n,
+        "ranges": list(zip(chunks.tolist(), (chunks + lengths).tolist())),
+        "keyframes": list(zip(starts[sync].tolist(), (starts + sizes)[sync].tolist())),
+        "key_times": times[sync].tolist(),
+    }
+
+
+def tracks(data: bytes) -> list[dict]:
+    """Every track of a file: codec, timescale, duration (of the header, else of the sample times), number of samples,
+    byte ranges of the chunks, byte ranges and times of the keyframes.  Edit lists and composition offsets are not applied.
+    """
+    found: list[dict[bytes, tuple[int, int]]] = []
+    inside = -1
+    for depth, kind, begin, end in boxes(data):
+        if depth <= inside:
+            inside = -1
+        if kind == b"trak" and inside < 0:
+            found.append({})
+            inside = depth
+        elif inside >= 0:
+            found[-1].setdefault(kind, (begin, end))
+    return [_track(data, at) for at in found]
 
 
-def _table(data: bytes, at: int, code: str, width: int = 1) -> list:
-    n = struct.unpack_from(">I", data, at + 4)[0]
-    flat = struct.unpack_from(f">{n * width}{code}", data, at + 8)
-    return [flat[i : i + width] for i in range(0, n * width, width)] if width > 1 else list(flat)
+def describe(data: bytes) -> dict:
+    """The first track; KeyError, ValueError or struct.error for what cannot be read."""
+    found = tracks(data)
+    if not found:
+        raise ValueError("no track")
+    return found[0]
 
 
-def describe(data: bytes) -> dict:
-    """codec, timescale, duration, samples, sample byte ranges by chunk, keyframe byte ranges of the first track."""
-    at: dict[bytes, int] = {}
-    for path, begin, _ in boxes(data):
-        at.setdefault(path[-1], begin)
-    table = at[b"mdhd"]
-    wide = data[table] == 1
-    scale, duration = struct.unpack_from(">IQ" if wide else ">II", data, table + (20 if wide else 12))
-    codec = struct.unpack_from(">4s", data, at[b"stsd"] + 12)[0].decode("latin-1")
-    fixed, n = struct.unpack_from(">II", data, at[b"stsz"] + 4)
-    sizes = [fixed] * n if fixed else list(struct.unpack_from(f">{n}I", data, at[b"stsz"] + 12))
-    chunk_starts = _table(data, at[b"co64"], "Q") if b"co64" in at else _table(data, at[b"stco"], "I")
-    runs = _table(data, at[b"stsc"], "I", 3)
-    starts, ranges, sample = [], [], 0
-    for i, (first, each, _) in enumerate(runs):
-        following = runs[i + 1][0] if i + 1 < len(runs) else len(chunk_starts) + 1
-        for chunk in range(first, following):
-            place = chunk_starts[chunk - 1]
-            begin = place
-            for _ in range(each):
-                starts.append(place)
-                place += sizes[sample]
-                sample += 1
-            ranges.append((begin, place))
-    sync = _table(data, at[b"stss"], "I") if b"stss" in at else range(1, n + 1)
-    keys = [(starts[s - 1], starts[s - 1] + sizes[s - 1]) for s in sync]
-    return {"codec": codec, "timescale": scale, "duration": duration, "samples": n, "ranges": ranges, "keyframes": keys}
-
-
-MEDIA = "struct<n_bytes:long,payload_bytes:long,payload_sha256:string,tail_crc32:long,media_bytes:long,media_sha256:string,feature:string>"
+_LONG, _STRING, _SECONDS = pa.int64(), pa.string(), pa.float64()
+_SPANS = pa.list_(pa.struct([("begin", _LONG), ("end", _LONG)]))
+MEDIA = "struct<n_bytes:long,payload_bytes:long,payload_sha256:string,tail_crc32:long,media_bytes:long,media_sha256:string,feature:string,codec:string,duration_s:double,keyframes:array<struct<begin:long,end:long>>>"
+_MEDIA = pa.struct([("n_bytes", _LONG), ("payload_bytes", _LONG), ("payload_sha256", _STRING), ("tail_crc32", _LONG), ("media_bytes", _LONG), ("media_sha256", _STRING), ("feature", _STRING), ("codec", _STRING), ("duration_s", _SECONDS), ("keyframes", _SPANS)])
+TRACKS = "array<struct<codec:string,duration_s:double,keyframes:array<struct<begin:long,end:long>>>>"
+_TRACKS = pa.list_(pa.struct([("codec", _STRING), ("duration_s", _SECONDS), ("keyframes", _SPANS)]))
+
+
+def _columns(found: dict) -> dict:
+    return {"codec": found["codec"], "duration_s": found["duration"] / (found["timescale"] or 1), "keyframes": [{"begin": a, "end": b} for a, b in found["keyframes"]]}
 
 
 def stored_media(text: Column) -> Column:
     """Stores each text as a container, reads the stored bytes back, and describes them; null counts as empty.
 
-    feature is codec:timescale:duration:samples:keyframes:digest of the keyframe byte ranges.
+    codec, duration_s and keyframes come from the walk of the stored boxes.  feature is
+    codec:timescale:duration:samples:keyframes:digest of the keyframe byte ranges and times.
     """
 
     @F.arrow_udf(MEDIA)
@@ -153,36 +227,35 @@ def stored_media(text: Column) -> Column:
             media = mux(raw + bytes(-len(raw) % PAD or (PAD if not raw else 0)))
             found = describe(media)
             payload = b"".join(media[a:b] for a, b in found["ranges"])
-            keys = hashlib.sha256(",".join(f"{a}-{b}" for a, b in found["keyframes"]).encode()).hexdigest()[:16]
+            keys = hashlib.sha256(",".join(f"{a}-{b}@{t}" for (a, b), t in zip(found["keyframes"], found["key_times"])).encode()).hexdigest()[:16]
             feature = ":".join(map(str, (found["codec"], found["timescale"], found["duration"], found["samples"], len(found["keyframes"]), keys)))
-            digests = hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-PAD:]), len(media), hashlib.sha256(media).hexdigest()
-            rows.append(dict(zip(("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"), (len(raw), len(payload), *digests, feature))))
-        long, string = pa.int64(), pa.string()
-        return pa.array(rows, pa.struct([("n_bytes", long), ("payload_bytes", long), ("payload_sha256", string), ("tail_crc32", long), ("media_bytes", long), ("media_sha256", string), ("feature", string)]))
+            digests = {"payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-PAD:]), "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest()}
+            rows.append({"n_bytes": len(raw), "payload_bytes": len(payload), **digests, "feature": feature, **_columns(found)})
+        return pa.array(rows, _MEDIA)
 
     return store(text)
 
 
 def media_columns(df: DataFrame, media: str) -> DataFrame:
-    """All rows and columns plus codec, duration_s and keyframes (array of begin and end) of a binary column.
+    """All rows and columns plus codec, duration_s and keyframes (array of begin and end) of a binary column, and tracks with the same of every track.
 
-    Null and unreadable containers get nulls.
+    The first three are those of the first track.  Null and unreadable containers get nulls, whatever is wrong with them.
     """
 
-    @F.arrow_udf("struct<codec:string,duration_s:double,keyframes:array<struct<begin:long,end:long>>>")
+    @F.arrow_udf(TRACKS)
     def read(column: pa.Array) -> pa.Array:
         rows = []
         for data in column.to_pylist():
             try:
-                found = describe(data)
-                rows.append({"codec": found["codec"], "duration_s": found["duration"] / (found["timescale"] or 1), "keyframes": [{"begin": a, "end": b} for a, b in found["keyframes"]]})
-            except (KeyError, TypeError, ValueError, IndexError, struct.error):
-                rows.append({"codec": None, "duration_s": None, "keyframes": None})
-        span = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
-        return pa.array(rows, pa.struct([("codec", pa.string()), ("duration_s", pa.float64()), ("keyframes", span)]))
+                rows.append([_columns(t) for t in tracks(data)] or None if data is not None else None)
+            except (KeyError, ValueError, IndexError, OverflowError, struct.error):
+                rows.append(None)
+        return pa.array(rows, _TRACKS)
 
     found = free_name(df, "found")
-    return df.withColumn(found, read(F.col(media))).select(*[df[c] for c in df.columns], *[F.col(f"{found}.{c}").alias(free_name(df, c)) for c in ("codec", "duration_s", "keyframes")])
+    first = F.get(found, 0)
+    named = [first[c].alias(free_name(df, c)) for c in ("codec", "duration_s", "keyframes")]
+    return df.withColumn(found, read(F.col(media))).select(*[df[c] for c in df.columns], *named, F.col(found).alias(free_name(df, "tracks")))
 
 
 def media_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -157,9 +157,13 @@ def test_media(spark, docs, nothing, rows):
         want[hashlib.sha256(padded).hexdigest()] = (len(raw), len(padded), zlib.crc32(padded[-64:]))
     assert all(want[r.payload_sha256] == (r.n_bytes, r.payload_bytes, r.tail_crc32) for r in got)
     assert len({r.payload_sha256 for r in got}) == len({r.media_sha256 for r in got})
-    stored = spark.createDataFrame([(1, bytearray(media.mux(bytes(128))), "x"), (2, bytearray(b"junk"), "x"), (3, None, "x")], "id int, media binary, codec string")
+    assert all(r.codec == "raw " and r.duration_s == r.payload_bytes / media.RATE and [k.end - k.begin for k in r.keyframes] == [64] * -(-r.payload_bytes // 1024) for r in got)
+    deep = b""
+    for _ in range(1500):
+        deep = (len(deep) + 8).to_bytes(4, "big") + b"udta" + deep
+    stored = spark.createDataFrame([(1, bytearray(media.mux(bytes(128))), "x"), (2, bytearray(b"junk"), "x"), (3, None, "x"), (4, bytearray(deep), "x"), (5, bytearray(), "x")], "id int, media binary, codec string")
     found = {r.id: (r.codec_, r.duration_s, r.keyframes) for r in media.media_columns(stored, "media").collect()}
-    assert found[1][0] == "raw " and found[1][1] == 128 / media.RATE and len(found[1][2]) == 1 and found[2] == found[3] == (None, None, None)
+    assert found[1][0] == "raw " and found[1][1] == 128 / media.RATE and len(found[1][2]) == 1 and found[2] == found[3] == found[4] == found[5] == (None, None, None)
     assert media.media_report(nothing).count() == 0
 
 

@@ -2,7 +2,9 @@
 
 import random
 import re
+import struct
 import time
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -188,6 +190,56 @@ def test_container_round_trip_and_refusal():
         media.describe(b"\0\0\1\0ftypxxxx")
 
 
+def box(kind, *parts):
+    body = b"".join(parts)
+    return struct.pack(">I4s", len(body) + 8, kind) + body
+
+
+def two_tracks():
+    """A hand-made file: video of five uneven samples in two chunks, two keyframes; then sound of three samples, all keyframes."""
+
+    def trak(codec, scale, stts, stsc, sizes, stss, stco):
+        table = lambda kind, rows: box(kind, struct.pack(">II", 0, len(rows)), *[struct.pack(f">{len(r)}I", *r) for r in rows])
+        stsd = box(b"stsd", struct.pack(">II", 0, 1), box(codec, bytes(28)))
+        stsz = box(b"stsz", struct.pack(">III", 0, 0, len(sizes)), struct.pack(f">{len(sizes)}I", *sizes))
+        parts = [stsd, table(b"stts", stts), table(b"stsc", stsc), stsz, table(b"stco", [(x,) for x in stco])]
+        stbl = box(b"stbl", *parts, *([table(b"stss", [(x,) for x in stss])] if stss else []))
+        mdhd = box(b"mdhd", struct.pack(">IIIIII", 0, 0, 0, scale, 0, 0))
+        return box(b"trak", box(b"mdia", mdhd, box(b"minf", stbl)))
+
+    video = trak(b"avc1", 1000, [(2, 40), (3, 20)], [(1, 3, 1), (2, 2, 1)], [10, 20, 30, 5, 6], [1, 4], [100, 300])
+    sound = trak(b"mp4a", 8000, [(3, 1024)], [(1, 1, 1)], [7, 8, 9], None, [200, 210, 220])
+    return box(b"ftyp", b"isom", bytes(4)) + box(b"moov", box(b"mvhd", bytes(100)), video, sound) + box(b"mdat", bytes(400))
+
+
+def test_tracks_have_their_own_tables():
+    video, sound = media.tracks(two_tracks())
+    assert (video["codec"], video["timescale"], video["duration"], video["samples"]) == ("avc1", 1000, 140, 5)
+    assert video["ranges"] == [(100, 160), (300, 311)] and video["keyframes"] == [(100, 110), (300, 305)] and video["key_times"] == [0, 100]
+    assert (sound["codec"], sound["duration"], sound["keyframes"], sound["key_times"]) == ("mp4a", 3072, [(200, 207), (210, 218), (220, 229)], [0, 1024, 2048])
+
+
+def test_deep_and_forged_boxes():
+    deep = b""
+    for _ in range(3000):
+        deep = box(b"udta", deep)
+    assert sum(1 for _ in media.boxes(deep)) == 3000
+    assert len(media.tracks(two_tracks() + deep)) == 2
+    good = media.mux(bytes(640))
+    at = good.index(b"stsz")
+    forged = [good[: at + 12] + struct.pack(">I", n) + good[at + 16 :] for n in (11, 2_000_000, 2**32 - 1)]
+    at = good.index(b"stts")
+    forged += [good[: at + 8] + struct.pack(">I", 2**32 - 1) + good[at + 12 :], good[: at + 12] + struct.pack(">I", 2**32 - 1) + good[at + 16 :]]
+    at = good.index(b"stco")
+    forged.append(good[: at + 12] + struct.pack(">I", 2**31) + good[at + 16 :])
+    for data in forged:
+        tracemalloc.start()
+        with pytest.raises(ValueError):
+            media.tracks(data)
+        assert tracemalloc.get_traced_memory()[1] < 1 << 20
+        tracemalloc.stop()
+
+
 PAGE = """<!DOCTYPE html><html><head><title>no</title><style>p{}</style><script>var a="</p>";</script></head><body class="blog">
 <header><h2>Site</h2></header><nav><ul><li><a href="/a">Home</a></ul></nav><div class="cookie-notice">We use cookies, a lot of them, really.</div>
 <div class="ad">Buy now, buy more, buy a lot of this.</div><article><h1>Title &amp; more</h1><p>First  <b>bold</b>text, with a stop. And more words here.<p>Ok.
