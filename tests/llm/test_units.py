@@ -257,6 +257,68 @@ def test_main_text():
     assert html_extract.main_text("<nav>only a menu</nav>") == ""
 
 
+LONG = "A first sentence, with some words in it; then more of them, and a stop. "
+NEUTRAL = f"""<body><div class="q1"><a href="/a">Home</a> <a href="/b">News</a> <a href="/c">About</a></div><div class="q2"><span>Log in</span> <span>Contact us</span></div>
+<h1>Head line</h1><div class="k3"><p>{LONG * 3}</p><p>Short.</p><h2>Middle</h2><p>{LONG * 4}</p><ul><li>one<li>two</ul><p>{LONG * 2}</p></div>
+<div class="q4"><a href="/s">Share</a> <a href="/t">Terms</a></div><div class="q5">Copyright 2020</div></body>"""
+WANTED = ["Head line", (LONG * 3).strip(), "Short.", "Middle", (LONG * 4).strip(), "one", "two", (LONG * 2).strip()]
+
+
+def test_ratios_choose_the_nodes_without_an_article_element(monkeypatch):
+    assert html_extract.main_text(NEUTRAL).split("\n") == WANTED
+    flat = f"<body><a>Home</a> <a>News</a> <a>About</a> <a>Contact us</a><p>{LONG * 4}</p><p>{LONG * 5}</p><a>Share</a> <a>Terms</a> <a>Privacy</a></body>"
+    assert html_extract.main_text(flat).split("\n") == [(LONG * 4).strip(), (LONG * 5).strip()]
+    monkeypatch.setattr(html_extract, "content_paths", lambda paths, lengths, marks: np.ones(len(paths), bool))
+    assert "Home News About" in html_extract.main_text(NEUTRAL) and "Share Terms" in html_extract.main_text(flat)
+
+
+def test_content_paths_against_plain_sums():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        n = int(rng.integers(1, 30))
+        paths, lengths, marks = rng.integers(0, 6, n), rng.integers(1, 300, n).astype(float), rng.integers(0, 9, n).astype(float)
+        mean = lambda values, p: sum(values[paths == p]) / sum(paths == p)
+        ratios = [[mean(v, p) for p in paths] for v in (lengths, marks)]
+
+        def smooth(v):
+            near = [[(np.exp(-(d**2) / 2), v[i + d]) for d in range(-2, 3) if 0 <= i + d < n] for i in range(n)]
+            return [sum(w * x for w, x in k) / sum(w for w, _ in k) for k in near]
+
+        fused = np.array([a * (1 + b) for a, b in zip(*map(smooth, ratios))])
+        score = np.array([np.sqrt(mean(lengths, p) * (1 + mean(marks, p)) * mean(fused, p)) for p in paths])
+        limit = min(html_extract.LEAST * score.std(), score.max())
+        clear = np.abs(score - limit) > 1e-9 * limit
+        assert (html_extract.content_paths(paths, lengths, marks) == (score >= limit))[clear].all()
+
+
+def test_parts_of_an_article_are_kept_together():
+    halves = f"<body><div class=a><div class=x><p>{LONG * 6}</p></div><div class=x><p>{LONG * 4}</p></div></div></body>"
+    assert html_extract.main_text(halves).split("\n") == [(LONG * 6).strip(), (LONG * 4).strip()]
+    sections = f"<main><section><p>{LONG * 6}</p></section><section><p>{LONG * 3}</p></section></main>"
+    assert html_extract.main_text(sections).split("\n") == [(LONG * 6).strip(), (LONG * 3).strip()]
+    several = f"<article><p>{LONG * 6}</p></article><article><p>{LONG * 4}</p></article><article><p>Teaser, short.</p></article>"
+    assert html_extract.main_text(several).split("\n") == [(LONG * 6).strip(), (LONG * 4).strip()]
+
+
+def test_attributes_are_read_by_name():
+    kept = '<article><p><a href="/hidden-gems" title="Hidden costs" data-class="menu">One</a> <a href="?id=comments">two</a></p></article>'
+    assert html_extract.main_text(kept) == "One two"
+    assert html_extract.main_text("<article><p hidden>no</p><p style='display: none'>no</p><p>yes</p></article>") == "yes"
+    assert html_extract.main_text("<article><svg/><p>after</p><svg-icon>x</svg-icon></article>") == "after\nx"
+    assert html_extract.main_text("<article><svg viewBox='0'><text>no</text></svg><p>yes</p></article>") == "yes"
+
+
+@pytest.mark.parametrize("page", ["<div class=x>a" * 20_000, "<span>" * 50_000 + "<p>x" * 20_000, "<div>" * 50_000 + "</x>" * 50_000, "<p><span>" * 30_000, "<a " * 200_000, "<li>a" * 50_000], ids=lambda t: t[:7])
+def test_deep_and_long_markup_takes_time_in_proportion(page):
+    begin = time.process_time()
+    html_extract.main_text(page)
+    assert time.process_time() - begin < 10
+    tracemalloc.start()
+    html_extract.main_text(page[: len(page) // 8])
+    assert tracemalloc.get_traced_memory()[1] < 60 * len(page)
+    tracemalloc.stop()
+
+
 def test_swaps_and_penalty():
     rng = np.random.default_rng(0)
     texts, toxic = [], []
