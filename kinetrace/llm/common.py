@@ -66,6 +66,30 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread_join(rows: DataFrame, keys: DataFrame, on: list[str], count: str, how: str = "inner", least: int = 256) -> DataFrame:
+    """``rows`` joined with ``keys`` by the columns ``on``; a key of very many rows is dealt over many tasks.
+
+    ``keys`` must be a written table with one row for each key, whose column ``count`` says how many rows have it; the
+    result has all columns of both but not ``count``.  A key is hot if it has more than a quarter of an even task's share
+    of all those rows.  So at most 4 x shuffle partitions are hot, whatever the data, and only a hash and the number of
+    copies of each is broadcast.  A hot key's row is copied once for each such share and its rows are dealt over the
+    copies.  All is a merge join, as neither side has a bound.
+    """
+    parts = partitions(rows.sparkSession)
+    total = keys.agg(F.sum(count)).first()[0] or 0
+    share = max(least, -(-total // (4 * parts)))
+    copies = F.ceil(F.col(count) / share).cast("int")
+    hot = keys.where(F.col(count) > share).select(F.xxhash64(*on).alias("_h"), copies.alias("_n")).groupBy("_h").agg(F.max("_n").alias("_n"))
+    if hot.isEmpty():
+        return rows.join(keys.drop(count).hint("merge"), on, how)
+    # equal hashes of different keys only make a further key hot, on both sides
+    known = rows.join(F.broadcast(hot), F.xxhash64(*[rows[c] for c in on]) == F.col("_h"), "left")
+    dealt = known.withColumn("_salt", F.when(F.col("_n").isNotNull(), F.pmod(F.monotonically_increasing_id(), F.col("_n"))).otherwise(F.lit(0)).cast("int")).drop("_h", "_n")
+    spread = keys.join(F.broadcast(hot), F.xxhash64(*[keys[c] for c in on]) == F.col("_h"), "left")
+    spread = spread.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_n") - 1, F.lit(0))))).drop("_h", "_n", count)
+    return dealt.join(spread.hint("merge"), [*on, "_salt"], how).drop("_salt")
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """A column name that no column of ``df`` has, whatever the case."""
     taken = {c.lower() for c in df.columns}

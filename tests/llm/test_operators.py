@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from kinetrace.llm import chat, exact, html_extract, media, minhash, packing, pieces, pii, token_file, toxicity
-from kinetrace.llm.common import Workspace
+from kinetrace.llm.common import Workspace, spread_join
 from kinetrace.llm.queries import oracle_sql, queries, vocabulary
 
 SF = "/root/testdata/sf0.001"
@@ -61,11 +61,31 @@ def test_exact(docs, nothing, rows):
     for r in got:
         ids = by_digest[r.text_sha256]
         assert r.group_size == len(ids) and r.keep_id == max((i for i in ids if i is not None), default=None) and (not r.kept or r.doc_id == r.keep_id)
-    kept = exact.drop_equal_texts(docs)
+    kept = exact.drop_equal_texts(docs, first_width=16, growth=4)
     assert kept.columns == docs.columns and kept.count() == len(groups)
     assert exact.equal_texts(nothing).count() == 0 and exact.drop_equal_texts(nothing).count() == 0
 
 
+def test_spread_join_deals_hot_keys(spark):
+    """Half of the rows under one key, a third of the rest under another; the result is whole and no task has much more than the others."""
+    n = 40_000
+    key = F.when(F.col("id") % 2 == 0, 7).when(F.col("id") % 3 == 0, 8).otherwise(F.col("id"))
+    rows = spark.range(n).select("id", key.cast("long").alias("k"), F.lit("x").alias("n"))
+    keys = Workspace(spark, "t").write(rows.where("k <> 11").groupBy("k").agg(F.count(F.lit(1)).alias("size"), F.max("id").alias("top")), "keys")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        got = spread_join(rows, keys, ["k"], "size", "left")
+        assert sorted(got.columns) == ["id", "k", "n", "top"]
+        sizes = sorted(r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect())
+        assert sum(sizes) == n and sizes[-1] <= 4 * sizes[len(sizes) // 2]
+        assert got.exceptAll(rows.join(keys.drop("size"), "k", "left").select(*got.columns)).isEmpty()
+        assert spread_join(rows.limit(0), keys.limit(0), ["k"], "size").count() == 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def shingles(text, width):
     words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
     return {tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
