@@ -16,6 +16,12 @@
 So copies are never expanded into all their pairs, but no link between different
 texts is given up other than by the stated chances.
 
+Equal sets, buckets, hubs and components can hold a good part of all rows.  What is said
+of them is formed by partial aggregates and joined back by ``spread_join``; the pairs of
+a bucket are formed in square blocks of at most ``BLOCK`` nodes a side.  So none of them is
+one task's load.  The full sets are formed anew from the texts of the documents that share
+a bucket, which takes one shuffle of the texts.
+
 Defined results: null and wordless texts have no shingles and link with nothing; a
 row with a null doc_id links with nothing, is kept, and has a null component; rows
 that share a doc_id are one document; an empty table gives an empty result.
@@ -31,12 +37,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, arrow_slices, free_name
+from .common import Workspace, arrow_slices, free_name, spread_join
 from .components import components
 from .shingles import shingle_sets
 
 #: Chance that a pair at the threshold shares no bucket; most values of a signature.
 MISS, MOST_VALUES = 1e-6, 128
+BLOCK = 512
 
 
 def banding(percent: int) -> tuple[int, int]:
@@ -128,11 +135,13 @@ def _agreement(pairs: DataFrame, least: float) -> DataFrame:
 
 
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, common, total of pairs (a, b): sizes of intersection and union of the full sets."""
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
+    """a, b, common, total of pairs (a, b), a written table: sizes of intersection and union of the full sets."""
+    found = pairs
+    for end in ("a", "b"):
+        degree = pairs.groupBy(end).agg(F.count(F.lit(1)).alias("degree"))
+        found = spread_join(found, sets.select(F.col("node").alias(end), F.col("shingles").alias(f"s{end}")).join(degree, end), [end], "degree")
     common = F.size(F.array_intersect("sa", "sb")).cast("long")
-    found = pairs.join(left, "a").join(right, "b").select("a", "b", common.alias("common"), (F.size("sa") + F.size("sb")).cast("long").alias("both"))
+    found = found.select("a", "b", common.alias("common"), (F.size("sa") + F.size("sb")).cast("long").alias("both"))
     return found.select("a", "b", "common", (F.col("both") - F.col("common")).alias("total"))
 
 
@@ -148,50 +157,71 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
     sketch = work.write(sketches(docs, width, percent), "sketch")
 
     named = sketch.where("set_key is not null and doc_id is not null")
-    first = named.groupBy("set_key").agg(F.min("doc_id").alias("first_doc"))
-    firsts = named.join(first.withColumnRenamed("set_key", "k"), (F.col("set_key") == F.col("k")) & (F.col("doc_id") == F.col("first_doc")))
-    by_id = named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("set_key").alias("set_key"), F.max("set_key").alias("other")).where("n > 1")
+    first = named.groupBy("set_key").agg(F.min_by(F.struct("doc_id", "n_shingles", "signature", "bands"), "doc_id").alias("f"), F.count(F.lit(1)).alias("copies"))
+    nodes = first.select(F.monotonically_increasing_id().alias("node"), "set_key", "copies", F.col("f.doc_id").alias("first_doc"), F.col("f.n_shingles").alias("n"), "f.signature", "f.bands")
+    nodes = work.write(nodes, "nodes")
+    by_id = named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     repeated = not by_id.isEmpty()  # the same doc_id on several rows
-    if repeated:
-        firsts = firsts.dropDuplicates(["set_key"])
-    nodes = work.write(firsts.select(F.monotonically_increasing_id().alias("node"), "set_key", "first_doc", F.col("n_shingles").alias("n"), "signature", "bands"), "nodes")
 
     slots = nodes.select("node", F.explode("bands").alias("key"))
-    shared = slots.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = work.write(slots.join(shared, "key"), "members")
+    shared = work.write(slots.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").withColumn("n", F.col("size")), "shared")
+    members = work.write(spread_join(slots, shared, ["key"], "n"), "members")
     popular = members.groupBy("node").agg(F.sum("size").alias("weight"))
     ranked = members.join(popular, "node")
-    hubs = ranked.groupBy("key").agg(F.max(F.struct("weight", -F.col("node"))).alias("top")).select("key", (-F.col("top.col2")).alias("hub"))
-    placed = work.write(members.join(hubs, "key").select("key", "node", "hub"), "placed")
+    hubs = ranked.groupBy("key").agg(F.max(F.struct("weight", -F.col("node"))).alias("top"), F.first("size").alias("n")).select("key", (-F.col("top.col2")).alias("hub"), "n")
+    placed = work.write(spread_join(members, work.write(hubs, "hubs"), ["key"], "n").select("key", "node", "hub"), "placed")
     wanted = popular.select("node").join(nodes.select("node", "set_key", "first_doc"), "node")
     sets = _full_sets(wanted.join(docs, F.col("first_doc") == F.col("doc_id")), width)
     sets = work.write(sets.dropDuplicates(["node"]) if repeated else sets, "sets")
 
-    spokes = placed.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    spokes = work.write(_compared(spokes, sets), "spokes")
-    linked = f"100 * common >= {percent} * total"
-    links = spokes.where(linked).select("a", "b")
+    pairs = work.write(placed.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "spoke-pairs")
+    spokes = work.write(_compared(pairs, sets), "spokes")
+    links = spokes.where(f"100 * common >= {percent} * total").select("a", "b")
     if repeated:  # documents under one id are one document
-        keys = named.select("doc_id", "set_key").distinct().join(nodes.select("set_key", "node"), "set_key")
-        low = keys.groupBy("doc_id").agg(F.min("node").alias("b"))
-        links = links.unionByName(keys.join(low, "doc_id").select(F.col("node").alias("a"), "b"))
+        ids = spread_join(named.select("doc_id", "set_key"), nodes.select("set_key", "node", "copies"), ["set_key"], "copies").select("doc_id", "node").distinct()
+        ids = work.write(ids, "ids")
+        low = ids.groupBy("doc_id").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n"))
+        links = links.unionByName(spread_join(ids, low, ["doc_id"], "n").select(F.col("node").alias("a"), "b"))
     roots = components(links, work, "star")
 
     spread = placed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    several = spread.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    unsettled = work.write(spread.join(several, "key"), "unsettled")
+    unsettled = work.write(_several(work.write(spread, "spread")), "unsettled")
     if not unsettled.isEmpty():
         more = _missed_links(unsettled, spokes, sets, nodes, work, percent, bands * rows)
         roots = components(links.unionByName(more), work, "all")
 
-    named_roots = nodes.select("node", "set_key", "first_doc").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = named_roots.groupBy("root").agg(F.min("first_doc").alias("component"))
-    classes = named_roots.join(least, "root").select(F.col("set_key").alias("k"), "component")
-    found = sketch.select("doc_id", "n_shingles", "set_key").join(classes, F.col("set_key") == F.col("k"), "left")
+    named_roots = nodes.select("node", "set_key", "first_doc", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named_roots = work.write(named_roots, "roots")
+    least = named_roots.groupBy("root").agg(F.min("first_doc").alias("component"), F.count(F.lit(1)).alias("n"))
+    classes = work.write(spread_join(named_roots, least, ["root"], "n").select("set_key", "component", "copies"), "classes")
+    own = sketch.select("doc_id", "n_shingles", "set_key")  # rows with a null id count as copies of their set too
+    copies = own.where("set_key is not null").groupBy("set_key").agg(F.count(F.lit(1)).alias("copies"))
+    classes = classes.drop("copies").join(copies, "set_key") if not sketch.where("doc_id is null and set_key is not null").isEmpty() else classes
+    found = spread_join(own.where("set_key is not null"), classes, ["set_key"], "copies", "left")
+    found = found.select("doc_id", "n_shingles", "component").unionByName(own.where("set_key is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component")))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
+def _several(rows: DataFrame) -> DataFrame:
+    """The rows (key, root, ...) of buckets that hold several components; ``rows`` is a written table."""
+    several = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high")
+    return spread_join(rows, several.select("key", "size"), ["key"], "size")
+
+
+def _blocks(rows: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """Two sides whose join on (key, row, column) forms every pair of a key once or twice, at most ``block`` nodes a side.
+
+    The nodes of a key are dealt into blocks; a pair of blocks (row <= column) is one cell of the join.
+    """
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+    counts = spread_join(rows, sizes.withColumn("k", F.ceil(F.col("size") / block).cast("int")), ["key"], "size")
+    own = counts.withColumn("own", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+    left = own.withColumn("column", F.explode(F.sequence("own", F.col("k") - 1))).withColumnRenamed("own", "row").drop("k")
+    right = own.withColumn("row", F.explode(F.sequence(F.lit(0), "own"))).withColumnRenamed("own", "column").drop("k")
+    return left, right
+
+
 def _missed_links(unsettled: DataFrame, spokes: DataFrame, sets: DataFrame, nodes: DataFrame, work: Workspace, percent: int, values: int) -> DataFrame:
     """Links between different components that share a bucket."""
     open_nodes = unsettled.select("node").distinct()
@@ -208,22 +238,21 @@ def _missed_links(unsettled: DataFrame, spokes: DataFrame, sets: DataFrame, node
     inside = F.coalesce("common", "n")  # the hub is inside itself
     rows = unsettled.join(able, "node").join(to_hub, ["node", "hub"], "left")
     rows = rows.select("key", "node", "root", "n", "signature", "bands", inside.alias("inside"), (F.col("most") - inside).alias("outside"), F.coalesce("distance", F.lit(0.0)).alias("distance"))
-    several = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    rows = work.write(rows.join(several, "key"), "open")
-    x, y = (rows.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "root", "n", "inside", "outside", "signature", "bands", "distance")]) for s in "ab")
-    most = F.least("inside_a", "inside_b") + F.greatest(F.lit(0), F.least("outside_a", "outside_b"))
-    first_shared = F.try_element_at(F.filter(F.zip_with("bands_a", "bands_b", lambda p, q: F.when(p == q, p)), lambda p: p.isNotNull()), F.lit(1))
+    rows = work.write(_several(work.write(rows, "able")), "open")
+    x, y = (side.select("key", "row", "column", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "root", "n", "inside", "outside", "signature", "bands", "distance")]) for s, side in zip("xy", _blocks(rows, BLOCK)))
+    most = F.least("inside_x", "inside_y") + F.greatest(F.lit(0), F.least("outside_x", "outside_y"))
+    first_shared = F.try_element_at(F.filter(F.zip_with("bands_x", "bands_y", lambda p, q: F.when(p == q, p)), lambda p: p.isNotNull()), F.lit(1))
     may = (
-        (F.col("node_a") < F.col("node_b"))
-        & (F.col("root_a") != F.col("root_b"))
-        & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-        & (F.abs(F.col("distance_a") - F.col("distance_b")) <= 1 - percent / 100 + 1e-9)
-        & (100 * most >= percent * (F.col("n_a") + F.col("n_b") - most))
+        ((F.col("row") < F.col("column")) | (F.col("node_x") < F.col("node_y")))  # a block meets itself once
+        & (F.col("root_x") != F.col("root_y"))
+        & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
+        & (F.abs(F.col("distance_x") - F.col("distance_y")) <= 1 - percent / 100 + 1e-9)
+        & (100 * most >= percent * (F.col("n_x") + F.col("n_y") - most))
         & (first_shared == F.col("key"))
     )
-    pairs = x.join(y, "key").where(may).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "signature_a", "signature_b")
+    pairs = x.join(y, ["key", "row", "column"]).where(may).select(F.col("node_x").alias("a"), F.col("node_y").alias("b"), F.col("signature_x").alias("signature_a"), F.col("signature_y").alias("signature_b"))
     share = percent / 100
-    close = _agreement(pairs, share - 6 * math.sqrt(share * (1 - share) / values))
+    close = work.write(_agreement(pairs, share - 6 * math.sqrt(share * (1 - share) / values)), "close")
     found = work.write(_compared(close, sets), "pairs")
     return found.where(f"100 * common >= {percent} * total").select("a", "b")
 

@@ -125,6 +125,14 @@ def test_near_duplicates(docs, nothing, rows, width, percent):
         assert minhash.near_duplicates(nothing).count() == 0
 
 
+def test_blocks_form_every_pair_once(spark):
+    rows = spark.createDataFrame([(k, n) for k, size in ((1, 1), (2, 9), (3, 40)) for n in range(size)], "key long, node long")
+    left, right = minhash._blocks(rows, 4)
+    x, y = left.withColumnRenamed("node", "a"), right.withColumnRenamed("node", "b")
+    got = x.join(y, ["key", "row", "column"]).where("row < column or a < b").where("a <> b").select("key", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    assert sorted(map(tuple, got.collect())) == [(k, a, b) for k, size in ((1, 1), (2, 9), (3, 40)) for a in range(size) for b in range(a + 1, size)]
+
+
 def test_toxicity(spark, docs, nothing):
     rng = random.Random(6)
     sample = [(i, " ".join(["idiot"] * (i % 3 == 0) + [f"w{rng.randrange(50)}" for _ in range(20)])) for i in range(600)]
