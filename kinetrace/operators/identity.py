@@ -80,9 +80,11 @@ class Resolver:
     waiting: deque = field(default_factory=deque)
     together: set[frozenset] = field(default_factory=set)  # two tracks of one camera seen in one tick
     next_id: int = 1
+    now: int = -1  # the last tick
 
     def step(self, tick: int, rows: list[tuple[str, str, float, float, float, bool]]) -> list[dict]:
         """rows: (track, camera, x, y, sigma, edge) of one tick; ticks must rise."""
+        self.now = tick
         for key, camera, x, y, *_ in rows:
             seen = self.tracks.get(key)
             if seen:

@@ -2,9 +2,6 @@
 
 Orders stand in for workouts (customer = member), line items for sets, parts for exercises.
 The muscle tables are long: one row for each exercise and muscle.
-
-Queries whose SQL twin reads only every fifth (calendar: tenth) member are registered twice:
-NAME_whole has all members, NAME those of its rows that the twin computes.
 """
 
 from __future__ import annotations
@@ -45,10 +42,9 @@ def sets(spark, sf_dir) -> DataFrame:
     return joined.select(F.col("o_custkey").alias("member"), F.col("o_orderkey").alias("workout"), F.col("o_orderdate").alias("day"), F.col("p_type").alias("exercise"), F.col("l_linenumber").alias("n"), F.col("l_quantity").cast("int").alias("reps"))
 
 
-@query.sampled(
-    f"""WITH {_MAP}, {_SETS}, l AS (SELECT member, muscle, sum(reps * weight) AS load FROM sets JOIN map ON exercise = name WHERE member % 5 = 0 GROUP BY member, muscle)
-    SELECT member, muscle, floor(load / max(load) OVER (PARTITION BY member) * 1000 + 0.5) / 1000 AS load FROM l""",
-    "member % 5 = 0",
+@query(
+    f"""WITH {_MAP}, {_SETS}, l AS (SELECT member, muscle, sum(reps * weight) AS load FROM sets JOIN map ON exercise = name GROUP BY member, muscle)
+    SELECT member, muscle, floor(load / max(load) OVER (PARTITION BY member) * 1000 + 0.5) / 1000 AS load FROM l"""
 )
 def muscle_load(spark, sf_dir):
     """Weighted repetitions by muscle, as a share of the member's most loaded one."""
@@ -74,11 +70,10 @@ def muscle_intensity(spark, sf_dir):
 _ALIAS = (("quads", "legs", 1.0), ("hamstrings", "legs", 0.5), ("calves", "legs", 0.5), ("glutes", "legs", 1.0), ("biceps", "arms", 1.0), ("triceps", "arms", 1.0))
 
 
-@query.sampled(
+@query(
     f"""WITH {_MAP}, {_SETS}, a AS (SELECT * FROM (VALUES {", ".join(map(str, _ALIAS))}) a(muscle, area, factor)),
-    l AS (SELECT member, muscle, sum(reps * weight) / 400 AS load FROM sets JOIN map ON exercise = name WHERE member % 5 = 0 GROUP BY member, muscle)
-    SELECT member, coalesce(area, l.muscle) AS area, floor(max(least(1, load * coalesce(factor, 1))) * 1000 + 0.5) / 1000 AS load FROM l LEFT JOIN a ON l.muscle = a.muscle GROUP BY member, coalesce(area, l.muscle)""",
-    "member % 5 = 0",
+    l AS (SELECT member, muscle, sum(reps * weight) / 400 AS load FROM sets JOIN map ON exercise = name GROUP BY member, muscle)
+    SELECT member, coalesce(area, l.muscle) AS area, floor(max(least(1, load * coalesce(factor, 1))) * 1000 + 0.5) / 1000 AS load FROM l LEFT JOIN a ON l.muscle = a.muscle GROUP BY member, coalesce(area, l.muscle)"""
 )
 def muscle_remap(spark, sf_dir):
     """Fine muscles to coarse areas with a factor; where several meet, the largest counts."""
@@ -98,12 +93,11 @@ def workout_rollup(spark, sf_dir):
     return s.select("workout", "exercise", "sets", F.array_join(F.transform("l", lambda x: x["reps"].cast("string")), ",").alias("reps_per_set"), "total")
 
 
-@query.sampled(
-    f"""WITH {_SETS}, d AS (SELECT member, exercise, day, sum(reps)::BIGINT AS reps FROM sets WHERE member % 5 = 0 GROUP BY ALL),
+@query(
+    f"""WITH {_SETS}, d AS (SELECT member, exercise, day, sum(reps)::BIGINT AS reps FROM sets GROUP BY ALL),
     r AS (SELECT *, row_number() OVER (PARTITION BY member, exercise ORDER BY reps DESC, day DESC) AS best, count(*) OVER (PARTITION BY member, exercise) AS times FROM d),
     b AS (SELECT member, exercise, reps AS best, strftime(day, '%Y-%m-%d') AS best_day, times FROM r WHERE best = 1)
-    SELECT *, row_number() OVER (PARTITION BY member ORDER BY times DESC, exercise)::INT AS rank FROM b""",
-    "member % 5 = 0",
+    SELECT *, row_number() OVER (PARTITION BY member ORDER BY times DESC, exercise)::INT AS rank FROM b"""
 )
 def progress_best(spark, sf_dir):
     """Best day of each exercise, the latest of equals, ranked by how often it was done."""
@@ -113,13 +107,12 @@ def progress_best(spark, sf_dir):
     return best.select("member", "exercise", F.col("b.reps").alias("best"), F.date_format("b.day", "yyyy-MM-dd").alias("best_day"), "times", rank.alias("rank"))
 
 
-_CALENDAR = """m AS (SELECT DISTINCT user_id AS member FROM events WHERE user_id % 10 = 0), g AS (SELECT member, d::DATE AS day FROM m, generate_series(DATE '2024-01-01', DATE '2024-01-30', INTERVAL 1 DAY) t(d))"""
+_CALENDAR = """m AS (SELECT DISTINCT user_id AS member FROM events), g AS (SELECT member, d::DATE AS day FROM m, generate_series(DATE '2024-01-01', DATE '2024-01-30', INTERVAL 1 DAY) t(d))"""
 
 
-@query.sampled(
+@query(
     f"""WITH {_CALENDAR} SELECT g.member, strftime(g.day, '%Y-%m-%d') AS day, coalesce(sum(json_extract(props, '$.k')::INT), 0)::BIGINT AS reps, count(e.event_id) AS sessions
-    FROM g LEFT JOIN events e ON e.user_id = g.member AND e.ts::DATE = g.day GROUP BY ALL""",
-    "member % 10 = 0",
+    FROM g LEFT JOIN events e ON e.user_id = g.member AND e.ts::DATE = g.day GROUP BY ALL"""
 )
 def activity_calendar(spark, sf_dir):
     """Thirty days of each member, empty ones as 0."""
@@ -130,7 +123,7 @@ def activity_calendar(spark, sf_dir):
     return found.select("member", F.date_format("day", "yyyy-MM-dd").alias("day"), "reps", "sessions")
 
 
-_HOURS = f"""{_MAP}, {_SETS}, w AS (SELECT member, muscle, day, sum(reps * weight) / 20 AS load FROM sets JOIN map ON exercise = name WHERE member % 5 = 0 GROUP BY ALL),
+_HOURS = f"""{_MAP}, {_SETS}, w AS (SELECT member, muscle, day, sum(reps * weight) / 20 AS load FROM sets JOIN map ON exercise = name GROUP BY ALL),
     h AS (SELECT m.member, u.muscle, coalesce((epoch(TIMESTAMP '2001-08-02') - epoch(max(w.day) FILTER (load >= {TRAINED}))) / 3600, {UNTRAINED_HOURS}) / 24 AS hours
         FROM (SELECT DISTINCT member FROM w) m CROSS JOIN (SELECT unnest({list(MUSCLES)}) AS muscle) u LEFT JOIN w ON w.member = m.member AND w.muscle = u.muscle GROUP BY ALL)"""
 
@@ -158,18 +151,16 @@ def recovery(hours: DataFrame, needed: float = 72.0) -> DataFrame:
 _RECOVERY = f"""{_HOURS}, r AS (SELECT *, floor(least(1, hours / 72) * 100 + 0.5)::BIGINT AS percent, least(1, hours / {OVERDUE_HOURS}) AS need FROM h)"""
 
 
-@query.sampled(
-    f"""WITH {_RECOVERY} SELECT member, muscle, percent, floor(need * 1e6 + 0.5) / 1e6 AS need, CASE WHEN percent < {RECOVERING} THEN 'fatigued' WHEN percent < {READY} THEN 'recovering' ELSE 'ready' END AS status FROM r""",
-    "member % 5 = 0",
+@query(
+    f"""WITH {_RECOVERY} SELECT member, muscle, percent, floor(need * 1e6 + 0.5) / 1e6 AS need, CASE WHEN percent < {RECOVERING} THEN 'fatigued' WHEN percent < {READY} THEN 'recovering' ELSE 'ready' END AS status FROM r"""
 )
 def recovery_status(spark, sf_dir):
     return recovery(hours_since_trained(spark, sf_dir)).select("member", "muscle", "percent", half_up(F.col("need"), 6).alias("need"), "status")
 
 
-@query.sampled(
+@query(
     f"""WITH {_RECOVERY} SELECT member, name AS exercise, coalesce(string_agg(muscle, ',' ORDER BY muscle) FILTER ((weight = 1 AND percent < {READY}) OR percent < {RECOVERING}), '') AS waiting_on
-    FROM r JOIN map USING (muscle) GROUP BY member, name""",
-    "member % 5 = 0",
+    FROM r JOIN map USING (muscle) GROUP BY member, name"""
 )
 def exercises_waiting(spark, sf_dir):
     """What each exercise waits for: primary muscles that are not ready, secondary ones that are fatigued."""
@@ -202,10 +193,9 @@ def workout_recap(spark, sf_dir):
     return whole.select("workout", F.array_join(F.transform("p", lambda x: x["text"]), "; ").alias("recap"))
 
 
-@query.sampled(
-    f"""WITH {_MAP}, {_SETS}, w AS (SELECT member, muscle, workout, day, sum(reps * weight) / 20 AS load FROM sets JOIN map ON exercise = name WHERE member % 5 = 0 GROUP BY ALL)
-    SELECT member, muscle, max(day * 1)::VARCHAR AS day FROM (SELECT member, muscle, strftime(day, '%Y%m%d')::BIGINT AS day FROM w WHERE load >= {TRAINED}) GROUP BY member, muscle""",
-    "member % 5 = 0",
+@query(
+    f"""WITH {_MAP}, {_SETS}, w AS (SELECT member, muscle, workout, day, sum(reps * weight) / 20 AS load FROM sets JOIN map ON exercise = name GROUP BY ALL)
+    SELECT member, muscle, max(day * 1)::VARCHAR AS day FROM (SELECT member, muscle, strftime(day, '%Y%m%d')::BIGINT AS day FROM w WHERE load >= {TRAINED}) GROUP BY member, muscle"""
 )
 def last_trained(spark, sf_dir):
     """The newest day each muscle was loaded."""

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,16 +23,3 @@ class Registry:
             return query
 
         return add
-
-    def sampled(self, sql: str, rows: str) -> Callable[[Query], Query]:
-        """Registers a query over whole tables as NAME_whole, and as NAME only those of its rows that its SQL twin computes."""
-
-        def add(query: Query) -> Query:
-            @functools.wraps(query)
-            def sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-                return query(spark, sf_dir).where(rows)
-
-            self(sql)(sample)
-            return self(name=f"{query.__name__}_whole")(query)
-
-        return add

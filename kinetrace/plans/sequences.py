@@ -180,12 +180,12 @@ def capped_bins(spark, sf_dir):
 
 @query(
     _WITH
-    + """, a AS (SELECT track, id, t, t + x / 60 AS e FROM o WHERE track % 2 = 0 AND t < 240), b AS (SELECT track, id, t, t + x / 60 AS e FROM o WHERE track % 2 = 1 AND t < 240)
+    + """, a AS (SELECT track, id, t, t + x / 60 AS e FROM o WHERE track % 2 = 0), b AS (SELECT track, id, t, t + x / 60 AS e FROM o WHERE track % 2 = 1)
     SELECT a.id AS l_id, b.id AS r_id, floor((least(a.e, b.e) - greatest(a.t, b.t)) * 1e6 + 0.5) / 1e6 AS overlap FROM a JOIN b ON a.t < b.e AND b.t < a.e AND a.track % 10 = b.track % 10 - 1"""
 )
 def temporal_overlap_pairs(spark, sf_dir):
     """Intervals of two groups that overlap, by cells instead of all pairs."""
-    o = observations(spark, sf_dir).where("t < 240").select("track", "id", "t", (F.col("t") + F.col("x") / 60).alias("e"))
+    o = observations(spark, sf_dir).select("track", "id", "t", (F.col("t") + F.col("x") / 60).alias("e"))
     even, odd = o.where("track % 2 = 0").withColumn("g", F.col("track") % 10), o.where("track % 2 = 1").withColumn("g", F.col("track") % 10 - 1)
     pairs = overlapping(even, odd, "t", "e", 4.0, on=["g"])
     return pairs.select("l_id", "r_id", r6(F.least("l_e", "r_e") - F.greatest("l_t", "r_t")).alias("overlap"))
@@ -220,11 +220,11 @@ def even_sample(spark, sf_dir):
 
 
 @query(
-    _WITH + " SELECT id, (SELECT string_agg(p.id::VARCHAR, ',' ORDER BY p.t, p.id) FROM o p WHERE p.track = o.track AND p.t >= o.t - 24 AND p.t <= o.t AND p.k <> 3) AS trail FROM o WHERE track % 10 = 0"
+    _WITH + " SELECT id, (SELECT string_agg(p.id::VARCHAR, ',' ORDER BY p.t, p.id) FROM o p WHERE p.track = o.track AND p.t >= o.t - 24 AND p.t <= o.t AND p.k <> 3) AS trail FROM o"
 )
 def trails(spark, sf_dir):
     """Recent positions of each observation's track within a day, hidden ones skipped."""
-    o = observations(spark, sf_dir).where("track % 10 = 0")
+    o = observations(spark, sf_dir)
     w = Window.partitionBy("track").orderBy(F.floor(F.col("t") * 3.6e6)).rangeBetween(-24 * 3_600_000, 0)  # milliseconds
     seen = F.collect_list(F.when(F.col("k") != 3, F.struct("t", "id"))).over(w)
     return o.select("id", F.nullif(F.array_join(F.transform(F.array_sort(seen), lambda x: x["id"].cast("string")), ","), F.lit("")).alias("trail"))

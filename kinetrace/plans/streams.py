@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinetrace.functions.scalars import half_up
 from kinetrace.plans.registry import Registry
 from kinetrace.sources.tables import load
-from kinetrace.streaming.stateful import count_repetitions_batch, lifecycle, session_counts, tick_counts
+from kinetrace.sources.work import new_folder
+from kinetrace.streaming.stateful import count_repetitions_batch, lifecycle, on_each_batch, session_counts, tick_counts
 
 query = Registry()
 
@@ -23,11 +22,17 @@ def event_stream(spark, sf_dir) -> DataFrame:
 
 
 def drained(stream: DataFrame, mode: str) -> DataFrame:
-    """Runs a stream over all there is and returns its result table."""
-    name = f"s_{uuid.uuid4().hex}"
-    running = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    running.awaitTermination()
-    return stream.sparkSession.table(name)
+    """Runs a stream over all there is and returns its result table, which executors write; the driver sees none of it."""
+    spark = stream.sparkSession
+    folder, last = new_folder(spark, "stream"), []
+
+    def keep(rows: DataFrame, batch: int) -> None:
+        path = f"{folder}/result/{batch}"
+        rows.write.mode("overwrite").parquet(path)
+        last[:] = [path] if mode == "complete" else [*last, path]
+
+    on_each_batch(stream, keep, f"{folder}/checkpoint", mode).awaitTermination()
+    return spark.read.schema(stream.schema).parquet(*last) if last else spark.createDataFrame([], stream.schema)
 
 
 @query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS n FROM events GROUP BY ALL")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from kinetrace.functions import geometry as g
 from kinetrace.functions.scalars import half_even, half_up
-from kinetrace.operators.relational import numbers, top
+from kinetrace.operators.relational import top
 from kinetrace.plans.registry import Registry
 from kinetrace.sources.tables import VISITS_SQL, load, visits
 
@@ -118,13 +118,13 @@ def nearest_per_tick(spark, sf_dir):
 
 
 @query(
-    f"""WITH {VISITS_SQL}, f AS (SELECT DISTINCT floor(t / 6)::BIGINT AS f FROM visits WHERE t < 48), p AS (SELECT f * 6.0 AS moment, f FROM f),
+    f"""WITH {VISITS_SQL}, f AS (SELECT DISTINCT floor(t / 6)::BIGINT AS f FROM visits), p AS (SELECT f * 6.0 AS moment, f FROM f),
     c AS (SELECT f, member, visit, abs(t - moment) AS d, row_number() OVER (PARTITION BY f, member ORDER BY abs(t - moment), t, visit) AS r FROM p JOIN visits ON abs(t - moment) <= 2.5) SELECT f, member, visit FROM c WHERE r = 1"""
 )
 def asof_with_hold(spark, sf_dir):
     """Who is known at each frame: each person's nearest row within the hold, the earlier first."""
     v = visits(spark, sf_dir)
-    frames = v.where("t < 48").select(F.floor(F.col("t") / 6).alias("f")).distinct()
+    frames = v.select(F.floor(F.col("t") / 6).alias("f")).distinct()
     # a row can hold for the frame before or after it only, so it is joined by equality
     around = v.withColumn("f", F.explode(F.array(F.floor(F.col("t") / 6), F.floor(F.col("t") / 6) + 1))).withColumn("d", F.abs(F.col("t") - F.col("f") * 6.0)).where("d <= 2.5")
     return top(around.join(frames, "f"), ["f", "member"], [F.col("d"), F.col("t"), F.col("visit")], 1).select("f", "member", "visit")
@@ -279,7 +279,7 @@ def sparklines(spark, sf_dir):
 
 
 @query(
-    f"""WITH {VISITS_SQL}, r AS (SELECT DISTINCT member, day FROM visits WHERE day < 12), s AS (SELECT member, day, (SELECT count(*) FROM visits v WHERE v.member = r.member AND v.day <= r.day) AS reps FROM r)
+    f"""WITH {VISITS_SQL}, r AS (SELECT DISTINCT member, day FROM visits), s AS (SELECT member, day, (SELECT count(*) FROM visits v WHERE v.member = r.member AND v.day <= r.day) AS reps FROM r)
     SELECT member, day, reps, CASE WHEN day % 3 = 0 THEN 'rest' ELSE 'set' END AS state FROM s"""
 )
 def running_counters(spark, sf_dir):
@@ -287,43 +287,53 @@ def running_counters(spark, sf_dir):
     v = visits(spark, sf_dir)
     daily = v.groupBy("member", "day").agg(F.count(F.lit(1)).alias("n"))
     sofar = F.sum("n").over(Window.partitionBy("member").orderBy("day"))
-    return daily.withColumn("reps", sofar).where("day < 12").select("member", "day", "reps", F.when(F.col("day") % 3 == 0, "rest").otherwise("set").alias("state"))
+    return daily.withColumn("reps", sofar).select("member", "day", "reps", F.when(F.col("day") % 3 == 0, "rest").otherwise("set").alias("state"))
 
 
-@query("SELECT event_type, user_id FROM events WHERE event_id < 500 EXCEPT SELECT event_type, user_id FROM events WHERE event_id >= 9000")
+#: The day that parts the earlier events from the later ones.
+MIDDLE = "2024-01-16"
+
+
+@query(f"SELECT hour(ts)::INT AS hour, user_id FROM events WHERE ts < TIMESTAMP '{MIDDLE}' EXCEPT SELECT hour(ts)::INT, user_id FROM events WHERE ts >= TIMESTAMP '{MIDDLE}'")
 def set_difference(spark, sf_dir):
-    e = load(spark, sf_dir, "events")
-    keys = ["event_type", "user_id"]
-    return e.where("event_id < 500").select(keys).subtract(e.where("event_id >= 9000").select(keys))
+    """Who was seen at an hour of the day before a date and not from that date on."""
+    e = load(spark, sf_dir, "events").select("ts", F.hour("ts").alias("hour"), "user_id")
+    middle = F.lit(MIDDLE).cast("timestamp")
+    return e.where(F.col("ts") < middle).drop("ts").subtract(e.where(F.col("ts") >= middle).drop("ts"))
 
 
-@query("SELECT user_id FROM events WHERE event_type = 'signup' AND event_id < 300 INTERSECT SELECT user_id FROM events WHERE event_type = 'error' AND event_id < 300")
+@query("SELECT user_id FROM events WHERE event_type = 'signup' INTERSECT SELECT user_id FROM events WHERE event_type = 'error'")
 def set_intersection(spark, sf_dir):
-    e = load(spark, sf_dir, "events").where("event_id < 300")
+    """Who is in two sets of events."""
+    e = load(spark, sf_dir, "events")
     return e.where("event_type = 'signup'").select("user_id").intersect(e.where("event_type = 'error'").select("user_id"))
 
 
 @query(
-    """WITH h AS (SELECT user_id, event_id, ts::DATE AS day FROM events WHERE ts < TIMESTAMP '2024-01-30' UNION ALL SELECT user_id, event_id + 1000000, ts::DATE FROM events WHERE ts >= TIMESTAMP '2024-01-29' AND ts < TIMESTAMP '2024-01-30')
-    SELECT user_id, count(*) AS n FROM h WHERE day <> DATE '2024-01-29' OR event_id >= 1000000 GROUP BY user_id"""
+    """WITH d AS (SELECT max(ts)::DATE AS today FROM events),
+    h AS (SELECT user_id, event_id, ts::DATE AS day, false AS fresh FROM events UNION ALL SELECT user_id, event_id, ts::DATE, true FROM events, d WHERE ts::DATE = today)
+    SELECT user_id, count(*) AS n FROM h, d WHERE day <> today OR fresh GROUP BY user_id"""
 )
 def history_union(spark, sf_dir):
-    """Today's rows in place of those that history has for today."""
-    e = load(spark, sf_dir, "events").where(F.col("ts") < "2024-01-30").select("user_id", "event_id", F.to_date("ts").alias("day"))
-    today = e.where("day = date'2024-01-29'")
-    return e.where("day <> date'2024-01-29'").unionByName(today).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    """The last day's rows in place of those that history has for that day."""
+    e = load(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("day"))
+    today = F.broadcast(e.agg(F.max("day").alias("today")))  # one row
+    history = e.crossJoin(today).where("day <> today").select("user_id")
+    fresh = e.crossJoin(today).where("day = today").select("user_id")
+    return history.unionByName(fresh).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
-    f"""WITH {VISITS_SQL}, s AS (SELECT day, zone, visit, t FROM visits), d AS (SELECT member % 7 AS slot, count(*) AS n FROM visits GROUP BY 1)
-    SELECT o.offset_::INT AS offset_, count(*) AS n FROM (SELECT unnest(range(-3, 4)) AS offset_) o JOIN s a ON a.zone = 'error' AND a.day < 4 JOIN s b ON b.zone = 'signup' AND floor(b.t)::BIGINT = floor(a.t)::BIGINT + o.offset_ GROUP BY o.offset_"""
+    f"""WITH {VISITS_SQL}, h AS (SELECT zone, floor(t)::BIGINT AS h, count(*) AS n FROM visits GROUP BY 1, 2)
+    SELECT o.offset_::INT AS offset_, sum(a.n * b.n)::BIGINT AS n FROM (SELECT unnest(range(-3, 4)) AS offset_) o JOIN h a ON a.zone = 'error' JOIN h b ON b.zone = 'signup' AND b.h = a.h + o.offset_ GROUP BY o.offset_"""
 )
 def offset_scan(spark, sf_dir):
-    """Matches at each candidate clock offset."""
-    s = visits(spark, sf_dir).withColumn("h", F.floor("t"))
-    offsets = numbers(spark, 7, "offset_").select((F.col("offset_") - 3).alias("offset_"))
-    a = s.where("zone = 'error' and day < 4").select("h").crossJoin(F.broadcast(offsets)).select("offset_", (F.col("h") + F.col("offset_")).alias("h"))  # seven offsets
-    return a.join(s.where("zone = 'signup'").select("h"), "h").groupBy("offset_").agg(F.count(F.lit(1)).alias("n"))
+    """Matches at each candidate clock offset; hours are counted before they are joined, so pairs are never formed."""
+    hours = visits(spark, sf_dir).groupBy("zone", F.floor("t").alias("h")).agg(F.count(F.lit(1)).alias("n"))
+    offsets = F.explode(F.sequence(F.lit(-3), F.lit(3))).alias("offset_")
+    a = hours.where("zone = 'error'").select("n", "h", offsets).select(F.col("n").alias("m"), "offset_", (F.col("h") + F.col("offset_")).alias("h"))
+    b = hours.where("zone = 'signup'").select("h", "n")
+    return a.join(b, "h").groupBy("offset_").agg(F.sum(F.col("m") * F.col("n")).alias("n"))
 
 
 @query(
@@ -356,12 +366,12 @@ def world_between(frames: DataFrame, t0: float, t1: float, step: int = 1, tick:
 
 
 @query(
-    """WITH p AS (SELECT (epoch_us(ts) // 3600000000) AS tick, user_id AS pid, round(value, 1) AS x, event_type AS state, event_id FROM events WHERE event_id < 3000)
+    """WITH p AS (SELECT (epoch_us(ts) // 3600000000) AS tick, user_id AS pid, round(value, 1) AS x, event_type AS state, event_id FROM events)
     SELECT tick, count(*) AS people, string_agg(pid || ':' || floor(x)::BIGINT, ',' ORDER BY pid, event_id) FILTER (state <> 'error') AS shown, string_agg(DISTINCT state, ',' ORDER BY state) AS states FROM p GROUP BY tick"""
 )
 def compact_frames(spark, sf_dir):
     """World frames with their people as an array of structs, reduced to what a map shows."""
-    e = load(spark, sf_dir, "events").where("event_id < 3000")
+    e = load(spark, sf_dir, "events")
     person = F.struct(F.col("user_id").alias("pid"), "event_id", F.floor(F.round("value", 1)).alias("x"), F.col("event_type").alias("state"))
     frames = e.groupBy(F.floor(F.unix_micros("ts") / 3_600_000_000).alias("tick")).agg(F.array_sort(F.collect_list(person)).alias("people"))
     shown = F.transform(F.filter("people", lambda p: p["state"] != "error"), lambda p: F.concat(p["pid"].cast("string"), F.lit(":"), p["x"].cast("string")))
@@ -371,57 +381,75 @@ def compact_frames(spark, sf_dir):
 
 @query(
     """SELECT event_id, event_type AS type, CASE WHEN event_type IN ('signup', 'purchase') THEN 'Person ' || lpad((user_id % 100)::VARCHAR, 2, '0') END AS label,
-        CASE WHEN event_type = 'error' THEN 'link ' || user_id || ' lost' WHEN value > 400 THEN 'strong' END AS reason FROM events WHERE event_type IN ('signup', 'purchase', 'error') AND (user_id = 7 OR event_id % 50 = 0)"""
+        CASE WHEN event_type = 'error' THEN 'link ' || user_id || ' lost' WHEN value > 400 THEN 'strong' END AS reason FROM events WHERE event_type IN ('signup', 'purchase', 'error')"""
 )
 def public_events(spark, sf_dir):
-    """Published audit events: types kept, identity filtered, optional fields formed from others."""
-    e = load(spark, sf_dir, "events").where(F.col("event_type").isin("signup", "purchase", "error") & ((F.col("user_id") == 7) | (F.col("event_id") % 50 == 0)))
+    """Published audit events: types kept, optional fields formed from others."""
+    e = load(spark, sf_dir, "events").where(F.col("event_type").isin("signup", "purchase", "error"))
     label = F.when(F.col("event_type").isin("signup", "purchase"), F.format_string("Person %02d", F.col("user_id") % 100))
     reason = F.when(F.col("event_type") == "error", F.concat(F.lit("link "), F.col("user_id").cast("string"), F.lit(" lost"))).when(F.col("value") > 400, "strong")
     return e.select("event_id", F.col("event_type").alias("type"), label.alias("label"), reason.alias("reason"))
 
 
+#: The identity whose audit is asked for.
+WANTED = 7
+
+
+@query(f"SELECT event_id, event_type AS type, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at FROM events WHERE user_id = {WANTED}")
+def identity_audit(spark, sf_dir):
+    """Every event of one identity; the filter reaches the scan."""
+    return load(spark, sf_dir, "events").where(F.col("user_id") == WANTED).select("event_id", F.col("event_type").alias("type"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
 @query(
     _DET
     + """, c AS (SELECT a.id AS a, b.id AS b, greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS i, (a.x2 - a.x1) * (a.y2 - a.y1) AS sa, (b.x2 - b.x1) * (b.y2 - b.y1) AS sb
-        FROM d a JOIN d b ON a.x1 = b.x1 AND a.id <> b.id AND a.id % 3 = 0), s AS (SELECT a, b, i / (sa + sb - i) AS iou FROM c)
+        FROM d a JOIN d b ON a.x1 = b.x1 AND a.id <> b.id), s AS (SELECT a, b, i / (sa + sb - i) AS iou FROM c)
     SELECT a, arg_max(b, floor(iou * 1e6 + 0.5) * 1e6 - b) AS b, floor(max(iou) * 1e6 + 0.5) / 1e6 AS iou FROM s WHERE iou > 0.3 GROUP BY a"""
 )
 def iou_match(spark, sf_dir):
     """Best overlapping box of the same column, above the least overlap."""
     d = detections(spark, sf_dir)
     a, b = (d.select("x1", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "y1", "x2", "y2")]) for s in "ab")
-    pairs = a.where("id_a % 3 = 0").join(b, "x1").where("id_a <> id_b")
+    pairs = a.join(b, "x1").where("id_a <> id_b")
     score = g.iou([F.col("x1"), F.col("y1_a"), F.col("x2_a"), F.col("y2_a")], [F.col("x1"), F.col("y1_b"), F.col("x2_b"), F.col("y2_b")])
     best = pairs.withColumn("iou", score).where("iou > 0.3").groupBy("id_a")
     return best.agg(F.max_by("id_b", F.struct(half_up(F.col("iou"), 6).alias("v"), -F.col("id_b"))).alias("b"), half_up(F.max("iou"), 6).alias("iou")).withColumnRenamed("id_a", "a")
 
 
 @query(
-    f"""WITH {VISITS_SQL}, s AS (SELECT member, day, list({{'zone': zone, 'sets': sets}} ORDER BY t, visit) AS l, min(t) AS first, max(t + duration) AS last FROM visits WHERE day < 6 GROUP BY member, day)
+    f"""WITH {VISITS_SQL}, s AS (SELECT member, day, list({{'zone': zone, 'sets': sets}} ORDER BY t, visit) AS l, min(t) AS first, max(t + duration) AS last FROM visits GROUP BY member, day)
     SELECT member, day, l[1].zone AS main, greatest(1, coalesce(nullif(floor((last - first) * 60 + 0.5)::BIGINT, 0), 24 * 60)) AS minutes, list_sum(list_transform(l, lambda x: x.sets))::BIGINT AS reps, floor((first + last) / 2 * 1e6 + 0.5) / 1e6 AS spotlight FROM s"""
 )
 def workout_summary(spark, sf_dir):
     """A session as a member sees it: first exercise, minutes (at least one), repetitions, the moment to show."""
     one = F.struct("t", "visit", "zone", "sets")
-    s = visits(spark, sf_dir).where("day < 6").groupBy("member", "day").agg(F.array_sort(F.collect_list(one)).alias("l"), F.min("t").alias("first"), F.max(F.col("t") + F.col("duration")).alias("last"))
+    s = visits(spark, sf_dir).groupBy("member", "day").agg(F.array_sort(F.collect_list(one)).alias("l"), F.min("t").alias("first"), F.max(F.col("t") + F.col("duration")).alias("last"))
     minutes = F.greatest(F.lit(1), F.coalesce(F.nullif(half_up((F.col("last") - F.col("first")) * 60), F.lit(0)), F.lit(24 * 60)))
     reps = F.aggregate("l", F.lit(0).cast("long"), lambda a, x: a + x["sets"])
     return s.select("member", "day", F.try_element_at("l", F.lit(1))["zone"].alias("main"), minutes.alias("minutes"), reps.alias("reps"), half_up((F.col("first") + F.col("last")) / 2, 6).alias("spotlight"))
 
 
+#: People who share a room; a track can be continued only in its room, and within so many hours.
+ROOM, HOLD = 20, 48
+
+
 @query(
-    """WITH o AS (SELECT event_id AS id, 'cam' || (1 + event_id % 2) AS camera, user_id AS track, epoch_us(ts) // 3600000000 AS tick FROM events WHERE event_id < 1500),
+    f"""WITH o AS (SELECT event_id AS id, 'cam' || (1 + event_id % 2) AS camera, user_id AS track, epoch_us(ts) // 3600000000 AS tick FROM events),
     k AS (SELECT camera, track, min(tick) AS a, max(tick) AS b FROM o GROUP BY camera, track)
-    SELECT n.camera, n.track, r.camera AS ref_camera, r.track AS ref, CASE WHEN r.b < n.a THEN 'lost' ELSE 'seen_by_other_camera' END AS kind FROM k n JOIN k r ON n.track % 15 = r.track % 15 AND (n.camera, n.track) <> (r.camera, r.track)
-    WHERE n.track % 15 = 3 AND (r.b < n.a OR (r.camera <> n.camera AND r.a <= n.a AND n.a <= r.b))"""
+    SELECT n.camera, n.track, r.camera AS ref_camera, r.track AS ref, CASE WHEN r.b < n.a THEN 'lost' ELSE 'seen_by_other_camera' END AS kind FROM k n JOIN k r ON n.track // {ROOM} = r.track // {ROOM} AND (n.camera, n.track) <> (r.camera, r.track)
+    WHERE (r.b < n.a AND n.a - r.b <= {HOLD}) OR (r.camera <> n.camera AND r.a <= n.a AND n.a <= r.b)"""
 )
 def reference_candidates(spark, sf_dir):
-    """What a new track may continue: a track that ended before, or one the other camera sees."""
-    o = load(spark, sf_dir, "events").where("event_id < 1500")
-    k = o.groupBy(F.concat(F.lit("cam"), (1 + F.col("event_id") % 2).cast("string")).alias("camera"), F.col("user_id").alias("track"))
-    k = k.agg(F.min(F.floor(F.unix_micros("ts") / 3_600_000_000)).alias("a"), F.max(F.floor(F.unix_micros("ts") / 3_600_000_000)).alias("b")).withColumn("cell", F.col("track") % 15).where("cell = 3")
-    r = k.select("cell", *[F.col(c).alias(f"r_{c}") for c in ("camera", "track", "a", "b")])
-    pairs = k.join(r, "cell").where("not (camera = r_camera and track = r_track)")
-    lost, live = F.col("r_b") < F.col("a"), (F.col("r_camera") != F.col("camera")) & F.col("a").between(F.col("r_a"), F.col("r_b"))
+    """What a new track may continue: a track of its room that ended shortly before, or one the other camera sees.
+
+    A room has at most ``ROOM`` people on two cameras, so pairs grow with the number of rooms.
+    """
+    hour = F.floor(F.unix_micros("ts") / 3_600_000_000)
+    k = load(spark, sf_dir, "events").groupBy(F.concat(F.lit("cam"), (1 + F.col("event_id") % 2).cast("string")).alias("camera"), F.col("user_id").alias("track"))
+    k = k.agg(F.min(hour).alias("a"), F.max(hour).alias("b")).withColumn("room", F.floor(F.col("track") / ROOM))
+    r = k.select("room", *[F.col(c).alias(f"r_{c}") for c in ("camera", "track", "a", "b")])
+    pairs = k.join(r, "room").where("not (camera = r_camera and track = r_track)")
+    lost = (F.col("r_b") < F.col("a")) & (F.col("a") - F.col("r_b") <= HOLD)
+    live = (F.col("r_camera") != F.col("camera")) & F.col("a").between(F.col("r_a"), F.col("r_b"))
     return pairs.where(lost | live).select("camera", "track", F.col("r_camera").alias("ref_camera"), F.col("r_track").alias("ref"), F.when(lost, "lost").otherwise("seen_by_other_camera").alias("kind"))

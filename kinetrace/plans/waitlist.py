@@ -84,11 +84,11 @@ def hidden_anti(spark, sf_dir):
 
 @query(
     _SQL
-    + """, g AS (SELECT gym_key AS gym, CASE WHEN count(*) >= 3 THEN count(*)::INT END AS members FROM s WHERE id % 11 = 0 GROUP BY gym_key)
+    + """, g AS (SELECT gym_key AS gym, CASE WHEN count(*) >= 3 THEN count(*)::INT END AS members FROM s GROUP BY gym_key)
     SELECT gym, members FROM g ORDER BY members DESC NULLS LAST, gym LIMIT 2000"""
 )
 def suggestion_list(spark, sf_dir):
-    some = signups(spark, sf_dir).where("id % 11 = 0").groupBy(F.col("gym_key").alias("gym")).agg(F.count(F.lit(1)).alias("n"))
+    some = signups(spark, sf_dir).groupBy(F.col("gym_key").alias("gym")).agg(F.count(F.lit(1)).alias("n"))
     return some.select("gym", k_anonymous(F.col("n")).alias("members")).orderBy(F.col("members").desc_nulls_last(), "gym").limit(PAGE)
 
 
@@ -183,16 +183,13 @@ def signup_validation(spark, sf_dir):
 
 
 @query(
-    """SELECT doc_id, trim(regexp_replace(regexp_replace(strip_accents(lower(left(text, 60))), '[''’]', '', 'g'), '[^a-z0-9ßœæ]+', ' ', 'g')) AS key FROM documents
-    WHERE regexp_full_match(left(text, 60), '[[:ascii:]éèêçñóíüäößÉÈÊÇÑÓÍÜÄÖ]*')"""
+    r"""SELECT doc_id, trim(regexp_replace(regexp_replace(strip_accents(lower(text)), '[''’]', '', 'g'), '[^\p{L}\p{N}]+', ' ', 'g')) AS key FROM documents"""
 )
 def text_keys(spark, sf_dir):
-    """Search keys: accents, case, apostrophes and signs do not matter."""
+    """Search keys of whole texts: accents, case, apostrophes and signs do not matter."""
     from kinetrace.functions.scalars import text_key
 
-    start = F.left("text", F.lit(60))
-    plain = load(spark, sf_dir, "documents").where(F.rlike(start, F.lit(r"^[\x00-\x7FéèêçñóíüäößÉÈÊÇÑÓÍÜÄÖ]*$")))
-    return plain.select("doc_id", text_key(start).alias("key"))
+    return load(spark, sf_dir, "documents").select("doc_id", text_key(F.col("text")).alias("key"))
 
 
 @query("""SELECT item_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS html FROM benchmark""")

@@ -7,14 +7,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinetrace.functions import geometry as g
 from kinetrace.functions.scalars import clock, half_up, ramp
 from kinetrace.operators import kernels
 from kinetrace.operators.identity import Resolver
-from kinetrace.operators.relational import mutual, nearest
+from kinetrace.operators.relational import mutual, nearest, top
 from kinetrace.plans.registry import Registry
 from kinetrace.sources.tables import load
 
@@ -24,7 +24,7 @@ GATE, TICK = 2.5, 3600
 MATRICES = {"cam1": (0.02, 0.001, 0.5, 0.0005, 0.03, 1.0, 0.00001, 0.0001, 1.0), "cam2": (0.018, -0.002, 1.0, 0.001, 0.028, 0.7, -0.00001, 0.0002, 1.0)}
 SIMILARITY_KNOTS = [(0.0, -2.0), (0.3, -1.0), (0.5, 0.0), (0.7, 1.0), (1.0, 2.0)]
 
-_OBS = """WITH o AS (SELECT event_id AS id, 'cam' || (1 + event_id % 2) AS camera, user_id % 40 AS track, (epoch_us(ts) // 3600000000) AS tick, user_id * 4 + value / 10 AS px, 100 + value AS py,
+_OBS = """WITH o AS (SELECT event_id AS id, strftime(ts, '%Y-%m-%d') AS site, 'cam' || (1 + event_id % 2) AS camera, user_id % 40 AS track, (epoch_us(ts) // 3600000000) AS tick, user_id * 4 + value / 10 AS px, 100 + value AS py,
         0.2 + (event_id % 7) / 10.0 AS sigma, event_type AS kind, event_id % 5 = 0 AS edge FROM events),
     m AS (SELECT * FROM (VALUES """ + ", ".join(f"('{c}', {', '.join(map(str, h))})" for c, h in MATRICES.items()) + """) m(camera, h0, h1, h2, h3, h4, h5, h6, h7, h8)),
     p AS (SELECT o.*, (h0 * px + h1 * py + h2) / (h6 * px + h7 * py + h8) AS x, (h3 * px + h4 * py + h5) / (h6 * px + h7 * py + h8) AS y,
@@ -33,10 +33,10 @@ _OBS = """WITH o AS (SELECT event_id AS id, 'cam' || (1 + event_id % 2) AS camer
 
 
 def observations(spark, sf_dir) -> DataFrame:
-    """id, camera, track, tick, pixel and sigma."""
+    """id, site (a day's recording), camera, track, tick, pixel and sigma."""
     e = load(spark, sf_dir, "events")
     return e.select(
-        F.col("event_id").alias("id"), F.concat(F.lit("cam"), (1 + F.col("event_id") % 2).cast("string")).alias("camera"), (F.col("user_id") % 40).alias("track"),
+        F.col("event_id").alias("id"), F.date_format("ts", "yyyy-MM-dd").alias("site"), F.concat(F.lit("cam"), (1 + F.col("event_id") % 2).cast("string")).alias("camera"), (F.col("user_id") % 40).alias("track"),
         F.floor(F.unix_micros("ts") / 3_600_000_000).alias("tick"), (F.col("user_id") * 4 + F.col("value") / 10).alias("px"), (100 + F.col("value")).alias("py"),
         (0.2 + F.col("event_id") % 7 / 10.0).alias("sigma"), F.col("event_type").alias("kind"), (F.col("event_id") % 5 == 0).alias("edge"),
     )
@@ -135,13 +135,26 @@ def capped_support(spark, sf_dir):
 _VEC = "WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), l AS (SELECT * FROM v WHERE vec_id % 20 = 0), c AS (SELECT l.vec_id AS a, v.vec_id AS b, l.label AS la, v.label AS lb, list_cosine_similarity(l.e, v.e) AS s FROM l JOIN v ON l.vec_id <> v.vec_id)"
 
 
-def similar(spark, sf_dir) -> DataFrame:
-    """Cosine similarity of every twentieth vector, the stated queries, with all others: exact search, so all rows meet all queries."""
-    v = load(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
-    v = v.withColumn("length", F.sqrt(g.dot(F.col("e"), F.col("e"))))  # once for each vector, not for each pair
-    queries = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("a"), F.col("label").alias("la"), F.col("e").alias("qe"), F.col("length").alias("ql"))
-    pairs = v.join(queries, F.col("vec_id") != F.col("a"))
-    return pairs.select("a", F.col("vec_id").alias("b"), "la", F.col("label").alias("lb"), g.cosine(F.col("qe"), F.col("e"), F.col("ql") * F.col("length")).alias("s"))
+#: Queries of a block of the similarity search.
+QUERY_BLOCK = 256
+
+
+def most_similar(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """a, b, s, la, lb, rank: the k vectors most similar by cosine to each query (vec_id, label, e); exact, so all rows meet all queries.
+
+    Queries are dealt into blocks of about ``QUERY_BLOCK`` and vectors into cells; a block meets a cell in one task, which
+    keeps its own k best, so neither side is broadcast and what is left to rank is k rows for each query and cell.
+    """
+    cells = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    v, q = (d.withColumn("length", F.sqrt(g.dot(F.col("e"), F.col("e")))) for d in (vectors, queries))  # once for each vector, not for each pair
+    v = v.select(F.col("vec_id").alias("b"), F.col("label").alias("lb"), "e", "length", F.pmod(F.xxhash64("vec_id"), F.lit(cells)).alias("cell"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block")
+    q = q.select(F.col("vec_id").alias("a"), F.col("label").alias("la"), F.col("e").alias("qe"), F.col("length").alias("ql"), block, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long"))).alias("cell"))
+    pairs = v.join(q.hint("shuffle_hash"), ["block", "cell"]).where(F.col("a") != F.col("b"))
+    pairs = pairs.select("block", "cell", "a", "b", "la", "lb", g.cosine(F.col("qe"), F.col("e"), F.col("ql") * F.col("length")).alias("s"))
+    order = [half_up(F.col("s"), 9).desc(), F.col("b")]
+    return top(top(pairs, ["block", "cell", "a"], order, k, "k"), ["a"], order, k, "k").drop("block", "cell")
 
 
 @query(
@@ -150,9 +163,9 @@ def similar(spark, sf_dir) -> DataFrame:
     la = lb AS same FROM r WHERE k <= 5"""
 )
 def cosine_llr_topk(spark, sf_dir):
-    """Five most similar vectors and the evidence of the similarity."""
-    w = Window.partitionBy("a").orderBy(half_up(F.col("s"), 9).desc(), "b")
-    r = similar(spark, sf_dir).withColumn("k", F.row_number().over(w)).where("k <= 5")
+    """Five most similar vectors of every twentieth one, the stated queries, and the evidence of the similarity."""
+    v = load(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
+    r = most_similar(v, v.where("vec_id % 20 = 0"), 5)
     return r.select("a", "b", "k", half_up(ramp(F.col("s"), SIMILARITY_KNOTS), 5).alias("llr"), (F.col("la") == F.col("lb")).alias("same"))
 
 
@@ -212,7 +225,7 @@ def asof_with_tolerance(spark, sf_dir):
     o = observations(spark, sf_dir).where("track = 3")
     right = o.where("camera = 'cam2'").select("tick", "track").distinct().withColumn("near", F.col("tick"))
     left = o.where("camera = 'cam1'").select("id", "tick", "track")
-    return nearest(left, right, ["track"], "tick", ["near"], within=4).select("id", "near")
+    return nearest(left, right, ["track"], "tick", ["near"], within=4, cell=64).select("id", "near")
 
 
 @query(
@@ -245,81 +258,164 @@ def world_range(spark, sf_dir):
     return observations(spark, sf_dir).where("tick between 473400 and 473500 and (tick - 473400) % 5 = 0 and not edge").select("id", "tick")
 
 
+def site_ticks(spark, sf_dir) -> DataFrame:
+    """Median position of each track and tick, with its site."""
+    at = ticks(_floor(spark, sf_dir))
+    return at.withColumn("site", F.date_format(F.timestamp_seconds(F.col("tick") * 3600), "yyyy-MM-dd"))
+
+
+def site_scores(at: DataFrame, value: Column) -> DataFrame:
+    """site, a, b, score of every pair of tracks that share ticks of a site."""
+    return evidence(at).withColumn("site", F.date_format(F.timestamp_seconds(F.col("tick") * 3600), "yyyy-MM-dd")).groupBy("site", "a", "b").agg(value.alias("score"))
+
+
 @query()
 def optimal_assignment(spark, sf_dir):
-    """One-to-one links of the two cameras' tracks that maximise the evidence; the matrix is one site's tracks by tracks."""
-    scores = evidence(ticks(_floor(spark, sf_dir))).groupBy("a", "b").agg(F.sum("llr").alias("score")).withColumn("site", F.lit("site"))
+    """One-to-one links of the two cameras' tracks that maximise the evidence, for each site: a group is one recording's matrix."""
 
     def links(rows: pd.DataFrame) -> pd.DataFrame:
         matrix = rows.pivot(index="a", columns="b", values="score").sort_index().sort_index(axis=1)
-        found = [(int(matrix.index[i]), int(matrix.columns[j]), matrix.iat[i, j]) for i, j in kernels.assign(matrix.fillna(-1000.0).to_numpy())]
-        return pd.DataFrame(found, columns=["a", "b", "score"]).round({"score": 5})
+        found = [(rows.site.iloc[0], int(matrix.index[i]), int(matrix.columns[j]), matrix.iat[i, j]) for i, j in kernels.assign(matrix.fillna(-1000.0).to_numpy())]
+        return pd.DataFrame(found, columns=["site", "a", "b", "score"]).round({"score": 5})
 
-    return scores.groupBy("site").applyInPandas(links, "a long, b long, score double")
+    return site_scores(site_ticks(spark, sf_dir), F.sum("llr")).groupBy("site").applyInPandas(links, "site string, a long, b long, score double")
 
 
-@query()
+_KINDS = "click error purchase signup view".split()
+
+
+@query(
+    _OBS.replace("WITH o AS", "WITH RECURSIVE o AS") + f""", n AS (SELECT camera, track, kind, count(*) AS n FROM p GROUP BY ALL),
+    r AS (SELECT camera, track, {", ".join(f"coalesce(sum(n) FILTER (kind = '{k}'), 0)::BIGINT AS n{i}" for i, k in enumerate(_KINDS))} FROM n GROUP BY camera, track),
+    t AS (SELECT *, row_number() OVER (PARTITION BY camera ORDER BY track) AS i, [n0, n1, n2, n3, n4] AS n FROM r),
+    f AS (
+        SELECT camera, 0::BIGINT AS i, list_transform(range(32), lambda m: CASE WHEN m = 0 THEN 0 ELSE -1000000000 END::BIGINT) AS best FROM (SELECT DISTINCT camera FROM t)
+        UNION ALL
+        SELECT f.camera, t.i, list_transform(range(32), lambda m: greatest(f.best[m + 1],
+            {", ".join(f"CASE WHEN m // {1 << k} % 2 = 1 THEN f.best[m - {1 << k} + 1] + t.n[{k + 1}] ELSE -1000000000 END" for k in range(5))})::BIGINT)
+        FROM f JOIN t ON t.camera = f.camera AND t.i = f.i + 1),
+    b AS (SELECT camera, list_max(arg_max(best, i)) AS idtp FROM f GROUP BY camera), s AS (SELECT camera, sum(n) AS total FROM n GROUP BY camera)
+    SELECT camera, idtp, floor(idtp / total * 1e6 + 0.5) / 1e6 AS idf1 FROM b JOIN s USING (camera)"""
+)
 def idf1(spark, sf_dir):
-    """Identity scores of predicted kinds against tracks: co-occurrence, optimal assignment, then precision, recall and F1."""
+    """Identity scores of predicted kinds against tracks: co-occurrence, optimal assignment, then F1; predictions and truth have the same rows."""
     counts = observations(spark, sf_dir).groupBy("camera", "track", "kind").agg(F.count(F.lit(1)).alias("n"))
 
     def score(rows: pd.DataFrame) -> pd.DataFrame:
         matrix = rows.pivot(index="track", columns="kind", values="n").fillna(0).sort_index().sort_index(axis=1).to_numpy()
         hit = sum(matrix[i, j] for i, j in kernels.assign(matrix))
-        total = matrix.sum()
-        return pd.DataFrame({"camera": [rows.camera.iloc[0]], "idtp": [int(hit)], "idf1": [round(2 * hit / (total + total), 6)]})
+        return pd.DataFrame({"camera": [rows.camera.iloc[0]], "idtp": [int(hit)], "idf1": [np.floor(hit / matrix.sum() * 1e6 + 0.5) / 1e6]})
 
     return counts.groupBy("camera").applyInPandas(score, "camera string, idtp long, idf1 double")
 
 
 @query()
 def identity_clusters(spark, sf_dir):
-    """Tracks merged by falling evidence unless two of one camera would meet in a tick."""
-    scores = evidence(ticks(_floor(spark, sf_dir))).groupBy("a", "b").agg(F.avg("llr").alias("score")).where("score > -4").withColumn("site", F.lit("site"))
+    """Tracks of a site merged by falling evidence, unless two of one camera would meet in a tick."""
+    at = site_ticks(spark, sf_dir)
+    scores = site_scores(at, F.avg("llr")).where("score > -4")
+    seen = at.select("site", "camera", "track", "tick")
 
-    def cluster(rows: pd.DataFrame) -> pd.DataFrame:
-        names = sorted({("cam1", a) for a in rows.a} | {("cam2", b) for b in rows.b})
+    def cluster(rows: pd.DataFrame, seen: pd.DataFrame) -> pd.DataFrame:
+        names = sorted(set(zip(seen.camera, seen.track)))
         place = {n: i for i, n in enumerate(names)}
         links = [(s, place["cam1", a], place["cam2", b]) for a, b, s in zip(rows.a, rows.b, rows.score)]
-        same = {frozenset((place[p], place[q])) for p in names for q in names if p < q and p[0] == q[0]}
-        roots = kernels.merged(len(names), links, same)
-        return pd.DataFrame({"camera": [c for c, _ in names], "track": [t for _, t in names], "identity": roots})
+        apart = {frozenset((place[c, x], place[c, y])) for (c, _), at in seen.groupby(["camera", "tick"]) for i, x in enumerate(at.track) for y in at.track.iloc[i + 1 :]}
+        roots = kernels.merged(len(names), links, apart)
+        return pd.DataFrame({"site": seen.site.iloc[0], "camera": [c for c, _ in names], "track": [t for _, t in names], "identity": roots})
 
-    return scores.groupBy("site").applyInPandas(cluster, "camera string, track long, identity long")
+    grouped = scores.groupBy("site").cogroup(seen.groupBy("site"))
+    return grouped.applyInPandas(cluster, "site string, camera string, track long, identity long")
 
 
-@query()
+#: Landmarks clicked for one camera.
+CLICKS = 10
+
+
+@query(f"SELECT DISTINCT s_suppkey // {CLICKS} AS camera, 0.0::DOUBLE AS rmse, 'good' AS grade FROM supplier")
 def homography_check(spark, sf_dir):
-    """Fit, errors and grade of a matrix from the points of each camera, recovered from its projections."""
-    rows = _floor(spark, sf_dir).where("id < 40").select("camera", "px", "py", "x", "y")
+    """Fit, errors and grade of each camera's matrix from its clicked landmarks; they are exact, so the fit must be too."""
+    k = F.col("s_suppkey")
+    clicks = load(spark, sf_dir, "supplier").select(F.floor(k / CLICKS).alias("camera"), (k * 37 % 101 * 6).cast("double").alias("px"), (k * 53 % 89 * 4 + 100).cast("double").alias("py"))
+    x, y = g.projected([F.lit(float(h)) for h in MATRICES["cam1"]], F.col("px"), F.col("py"))
 
     def fit(points: pd.DataFrame) -> pd.DataFrame:
         px, world = points[["px", "py"]].to_numpy(), points[["x", "y"]].to_numpy()
         report = kernels.fit_report(kernels.homography(px, world), px, world)
         return pd.DataFrame({"camera": [points.camera.iloc[0]], "rmse": [round(report["rmse"], 6)], "grade": [report["grade"]]})
 
-    return rows.groupBy("camera").applyInPandas(fit, "camera string, rmse double, grade string")
+    return clicks.select("*", x.alias("x"), y.alias("y")).groupBy("camera").applyInPandas(fit, "camera long, rmse double, grade string")
+
+
+#: Candidate maps of an alignment, two pairs of points each; an inlier is nearer than this, in metres.
+CANDIDATES, INLIER = 64, 0.8
+
+
+def aligned(pairs: DataFrame, candidates: int = CANDIDATES, inlier: float = INLIER) -> DataFrame:
+    """part, theta, dx, dy, inliers: the rigid map from (ax, ay) to (bx, by) that most pairs of a part agree with.
+
+    ``pairs`` has part, key (string) and the four coordinates.  Candidates come from a sample, two rows each of the 2 x
+    ``candidates`` of least digest of the key, so a bounded number of each part; every row votes on every candidate, and
+    the best one, the first of equals, is fitted anew to all rows that agree with it.
+    """
+    spark = pairs.sparkSession
+    rows = pairs.withColumn("digest", F.md5("key"))
+    cells = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col("digest"), F.col("key")]
+    few = top(rows.withColumn("cell", F.pmod(F.xxhash64("key"), F.lit(cells))), ["part", "cell"], order, 2 * candidates, "i")  # a bounded number from each cell
+    few = top(few, ["part"], order, 2 * candidates, "i").withColumn("candidate", F.floor((F.col("i") - 1) / 2))
+    ends = few.groupBy("part", "candidate").agg(*[f("i").alias(n) if n == "n" else f(c, "i").alias(n) for n, f, c in [("n", F.count, None), *[(f"{c}{e}", f, c) for c in ("ax", "ay", "bx", "by") for e, f in (("1", F.min_by), ("2", F.max_by))]]]).where("n = 2")
+    ux, uy, vx, vy = (F.col(f"{c}2") - F.col(f"{c}1") for c in ("ax", "ay", "bx", "by"))
+    theta = F.atan2(ux * vy - uy * vx, ux * vx + uy * vy)
+
+    def moved(c: Column, s: Column, x: Column, y: Column) -> tuple[Column, Column]:
+        return c * x - s * y, s * x + c * y
+
+    mid = lambda c: (F.col(f"{c}1") + F.col(f"{c}2")) / 2
+    maps = ends.select("part", "candidate", F.cos(theta).alias("c"), F.sin(theta).alias("s"), *[mid(c).alias(f"m_{c}") for c in ("ax", "ay", "bx", "by")])
+    mx, my = moved(F.col("c"), F.col("s"), F.col("m_ax"), F.col("m_ay"))
+    maps = maps.select("part", "candidate", "c", "s", (F.col("m_bx") - mx).alias("dx"), (F.col("m_by") - my).alias("dy"))
+    x, y = moved(F.col("c"), F.col("s"), F.col("ax"), F.col("ay"))
+    near = F.hypot(x + F.col("dx") - F.col("bx"), y + F.col("dy") - F.col("by")) < inlier
+    votes = pairs.join(maps, "part").where(near).groupBy("part", "candidate").agg(F.count(F.lit(1)).alias("n"))
+    best = votes.groupBy("part").agg(F.max_by("candidate", F.struct("n", -F.col("candidate"))).alias("candidate"))
+    agreeing = pairs.join(maps.join(best, ["part", "candidate"]), "part").where(near)
+    mean = {c: F.avg(c).alias(f"m_{c}") for c in ("ax", "ay", "bx", "by")}
+    centred = agreeing.join(agreeing.groupBy("part").agg(*mean.values(), F.count(F.lit(1)).alias("inliers")), "part")
+    px, py, qx, qy = (F.col(c) - F.col(f"m_{c}") for c in mean)
+    sums = centred.groupBy("part", "inliers", *[f"m_{c}" for c in mean]).agg(F.sum(px * qx + py * qy).alias("dot"), F.sum(px * qy - py * qx).alias("cross"))
+    sums = sums.withColumn("theta", F.atan2("cross", "dot"))
+    mx, my = moved(F.cos("theta"), F.sin("theta"), F.col("m_ax"), F.col("m_ay"))
+    return sums.select("part", "theta", (F.col("m_bx") - mx).alias("dx"), (F.col("m_by") - my).alias("dy"), "inliers")
 
 
-@query()
+@query(
+    _OBS + _TICKS + f""", w AS (SELECT a.track % 4 AS part, a.track || ':' || a.tick AS key, a.x AS p1, a.y AS p2, b.x AS q1, b.y AS q2 FROM k a JOIN k b ON a.track = b.track AND a.tick = b.tick AND a.camera = 'cam1' AND b.camera = 'cam2'),
+    f AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY md5(key), key) - 1 AS i FROM w QUALIFY i < {2 * CANDIDATES}),
+    c AS (SELECT p.part, p.i // 2 AS k, (p.p1 + r.p1) / 2 AS mp1, (p.p2 + r.p2) / 2 AS mp2, (p.q1 + r.q1) / 2 AS mq1, (p.q2 + r.q2) / 2 AS mq2,
+        atan2((r.p1 - p.p1) * (r.q2 - p.q2) - (r.p2 - p.p2) * (r.q1 - p.q1), (r.p1 - p.p1) * (r.q1 - p.q1) + (r.p2 - p.p2) * (r.q2 - p.q2)) AS theta FROM f p JOIN f r ON r.part = p.part AND r.i = p.i + 1 AND p.i % 2 = 0),
+    maps AS (SELECT part, k, cos(theta) AS c, sin(theta) AS s, mq1 - (cos(theta) * mp1 - sin(theta) * mp2) AS dx, mq2 - (sin(theta) * mp1 + cos(theta) * mp2) AS dy FROM c),
+    v AS (SELECT part, k, count(*) AS n FROM w JOIN maps USING (part) WHERE sqrt(pow(c * p1 - s * p2 + dx - q1, 2) + pow(s * p1 + c * p2 + dy - q2, 2)) < {INLIER} GROUP BY part, k),
+    z AS (SELECT part, k FROM v QUALIFY row_number() OVER (PARTITION BY part ORDER BY n DESC, k) = 1),
+    g AS (SELECT w.* FROM w JOIN maps USING (part) JOIN z USING (part, k) WHERE sqrt(pow(c * p1 - s * p2 + dx - q1, 2) + pow(s * p1 + c * p2 + dy - q2, 2)) < {INLIER}),
+    u AS (SELECT part, avg(p1) AS mp1, avg(p2) AS mp2, avg(q1) AS mq1, avg(q2) AS mq2, count(*) AS n FROM g GROUP BY part),
+    t AS (SELECT part, n, mp1, mp2, mq1, mq2, atan2(sum((p1 - mp1) * (q2 - mq2) - (p2 - mp2) * (q1 - mq1)), sum((p1 - mp1) * (q1 - mq1) + (p2 - mp2) * (q2 - mq2))) AS theta FROM g JOIN u USING (part) GROUP BY ALL)
+    SELECT part, floor(theta * 1e6 + 0.5) / 1e6 AS theta, floor((mq1 - (cos(theta) * mp1 - sin(theta) * mp2)) * 1e6 + 0.5) / 1e6 AS dx, floor((mq2 - (sin(theta) * mp1 + cos(theta) * mp2)) * 1e6 + 0.5) / 1e6 AS dy, n AS inliers FROM t"""
+)
 def camera_alignment(spark, sf_dir):
-    """Rigid map between the cameras' floors from positions of the same track and tick."""
-    both = ticks(_floor(spark, sf_dir)).groupBy("track", "tick").pivot("camera", ["cam1", "cam2"]).agg(F.first("x").alias("x"), F.first("y").alias("y"))
-    pairs = both.dropna().groupBy(F.pmod("track", F.lit(4)).alias("part")).agg(F.slice(F.array_sort(F.collect_list(F.struct("track", "tick", "cam1_x", "cam1_y", "cam2_x", "cam2_y"))), 1, 600).alias("p"))
-
-    def align(rows: pd.DataFrame) -> pd.DataFrame:
-        p = np.array([[r[k] for k in ("cam1_x", "cam1_y", "cam2_x", "cam2_y")] for r in rows.p.iloc[0]])
-        theta, shift, n = kernels.ransac_rigid(p[:, :2], p[:, 2:])
-        return pd.DataFrame({"part": [rows.part.iloc[0]], "theta": [round(theta, 6)], "dx": [round(float(shift[0]), 6)], "dy": [round(float(shift[1]), 6)], "inliers": [n]})
-
-    return pairs.groupBy("part").applyInPandas(align, "part long, theta double, dx double, dy double, inliers long")
+    """Rigid map between the cameras' floors from positions of the same track and tick, for each quarter of the tracks."""
+    both = ticks(_floor(spark, sf_dir)).groupBy("track", "tick").pivot("camera", ["cam1", "cam2"]).agg(F.first("x").alias("x"), F.first("y").alias("y")).dropna()
+    key = F.concat_ws(":", F.col("track").cast("string"), F.col("tick").cast("string"))
+    names = {"cam1_x": "ax", "cam1_y": "ay", "cam2_x": "bx", "cam2_y": "by"}
+    found = aligned(both.select((F.col("track") % 4).alias("part"), key.alias("key"), *[F.col(c).alias(n) for c, n in names.items()]))
+    return found.select("part", *[r6(F.col(c)).alias(c) for c in ("theta", "dx", "dy")], "inliers")
 
 
 @query()
 def identity_world(spark, sf_dir):
-    """People of each tick of a site, resolved with a lag; a group is one site's short recording."""
-    rows = _floor(spark, sf_dir).where("tick < 473450 and track < 12").groupBy("tick", "camera", "track").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.min("sigma").alias("sigma"), F.bool_and("edge").alias("edge"))
-    rows = rows.select(F.lit("site").alias("site"), "tick", F.concat_ws(":", "camera", F.col("track").cast("string")).alias("key"), "camera", "x", "y", "sigma", "edge")
+    """People of each tick of a site, resolved with a lag; a group is one site's recording of a day."""
+    rows = _floor(spark, sf_dir).groupBy("site", "tick", "camera", "track").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.min("sigma").alias("sigma"), F.bool_and("edge").alias("edge"))
+    rows = rows.select("site", "tick", F.concat_ws(":", "camera", F.col("track").cast("string")).alias("key"), "camera", "x", "y", "sigma", "edge")
     return rows.groupBy("site").applyInPandas(resolve_site, PEOPLE)
 
 

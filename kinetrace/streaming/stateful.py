@@ -6,11 +6,13 @@ Each has a batch twin on the same rows, which the tests compare.
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from kinetrace.operators.identity import Resolver
@@ -77,21 +79,57 @@ def lifecycle(observed: DataFrame, now: Column, occluded_s: float = 5.0, exited_
 PEOPLE = "site string, tick long, person long, x double, y double, cameras string, state string, confidence double, shown string"
 
 
-def resolve_identities(observations: DataFrame) -> DataFrame:
-    """People of a stream of observations (site, tick, key, camera, x, y, sigma, edge), with the resolver's fixed lag.
+EVENTS = "site string, tick long, type string, first string, second string"
 
-    A site is the unit of state; ticks must arrive in order for each site, rows of a tick in one batch.
+
+def on_each_batch(stream: DataFrame, action: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:
+    """Runs ``action`` on every batch of what there is now; the rows stay on the executors unless the action asks for them.
+
+    A batch may come twice after a failure, with the same number, so an action should overwrite by that number.
+    """
+    return stream.writeStream.foreachBatch(action).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _advance(resolver: Resolver, waiting: pd.DataFrame, upto: float) -> tuple[pd.DataFrame, list[dict]]:
+    """Steps through the waiting ticks up to one; what is later still waits, what comes too late is an event."""
+    late = waiting.tick <= resolver.now
+    resolver.events += [(int(t), "late_row", k) for t, k in zip(waiting.tick[late], waiting.key[late])]
+    waiting = waiting[~late]
+    ready = waiting[waiting.tick <= upto].sort_values(["tick", "key"])
+    people = []
+    for tick, at in ready.groupby("tick"):
+        people += resolver.step(int(tick), list(at[["key", "camera", "x", "y", "sigma", "edge"]].itertuples(index=False, name=None)))
+    return waiting[waiting.tick > upto], people
+
+
+def resolve_identities(observations: DataFrame, emit: str = "people", slack: int = 1) -> DataFrame:
+    """People, or with ``emit="events"`` links, merges and splits, of a stream of observations (site, tick, key, camera, x, y, sigma, edge).
+
+    A site is the unit of state.  A tick is resolved when rows ``slack`` ticks later have come, so rows of a tick may be
+    dealt over batches; a row that comes later still is a ``late_row`` event.  A row without a tick ends its site's
+    recording: the ticks inside the resolver's lag are given out, and the site's state goes.
     """
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        resolver = pickle.loads(bytes(state.get[0])) if state.exists else Resolver()
-        people = []
-        for tick, at in pd.concat(list(batches)).sort_values(["tick", "key"]).groupby("tick"):
-            people += resolver.step(int(tick), list(at[["key", "camera", "x", "y", "sigma", "edge"]].itertuples(index=False, name=None)))
+        resolver, waiting = pickle.loads(bytes(state.get[0])) if state.exists else (Resolver(), None)
+        waiting = pd.concat([*([waiting] if waiting is not None else []), *batches], ignore_index=True)
+        ended = waiting.tick.isna().any()
+        waiting = waiting[waiting.tick.notna()]
+        waiting, people = _advance(resolver, waiting, np.inf if ended else waiting.tick.max() - slack)
+        if ended:
+            people += resolver.finish()
+        found = [(key[0], tick, kind, *[x if x is None else str(x) for x in (*rest, None, None)[:2]]) for tick, kind, *rest in resolver.events]
         resolver.events.clear()
-        state.update((pickle.dumps(resolver),))
-        out = pd.DataFrame(people, columns=["tick", "person", "x", "y", "cameras", "state", "confidence", "shown"])
-        out.insert(0, "site", key[0])
-        yield out
-
-    return observations.groupBy("site").applyInPandasWithState(step, PEOPLE, "resolver binary", "append", GroupStateTimeout.NoTimeout)
+        if ended:
+            state.remove()
+        else:
+            state.update((pickle.dumps((resolver, waiting)),))
+        if emit == "events":
+            yield pd.DataFrame(found, columns=["site", "tick", "type", "first", "second"])
+        else:
+            out = pd.DataFrame(people, columns=["tick", "person", "x", "y", "cameras", "state", "confidence", "shown"])
+            out.insert(0, "site", key[0])
+            yield out
+
+    schema = EVENTS if emit == "events" else PEOPLE
+    return observations.groupBy("site").applyInPandasWithState(step, schema, "resolver binary", "append", GroupStateTimeout.NoTimeout)
