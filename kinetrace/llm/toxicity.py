@@ -3,25 +3,28 @@
 Features are words and word beginnings (so compounds of a slur share what they begin
 with).  ``fit``
 
-1. takes a bounded sample of labelled documents, whole texts (``MOST_ROWS`` rows, those
-   of the least hash of their id; the bound keeps the fit small at any corpus size),
+1. takes a bounded sample of labelled documents, whole texts, one row for each id
+   (``MOST_ROWS`` rows, those of the least hash of their id, and of them in that order as
+   many as have ``MOST_CELLS`` feature values; so the fit is small at any corpus size),
 2. counts in Spark in how many toxic and clean documents each feature stands, and keeps
    the ``MOST_FEATURES`` whose log odds differ most surely, and the identity terms seen,
 3. fits a logistic regression to them on the driver, over sparse rows whose number and
    width are bounded by 1 and 2, minimising
 
-       weighted log loss + L2 * |w|^2 + COUNTERFACTUAL * mean (score(text) - score(text'))^2
+       weighted log loss + L2 * |w|^2 + COUNTERFACTUAL * mean (logit(text) - logit(text'))^2
 
-   where text' is a labelled text with its identity terms swapped for others of their
-   group.  A group's mention alone so cannot move the score, which keeps neutral mentions
-   from false positives.
+   where logit is the score before the logistic function and text' is a labelled text in
+   which an identity term and another one of its group have changed places.  A group's
+   mention alone so cannot move the score, which keeps neutral mentions from false positives.
 
 A document's value of a feature is (occurrences / words) ** POWER.
 
 Defined results: null and empty texts score as a text without any feature; without
 labelled rows, or with one class only, every score is the smoothed share of toxic rows,
 0 without rows; rows with a null id or label teach nothing; a doc_id with several
-labels counts as toxic if any says so.
+labels counts as toxic if any says so, one with several texts teaches the first of them in
+order; repeated rows score alike; an empty table gives an empty result; other columns are
+not looked at.
 """
 
 from __future__ import annotations
@@ -31,12 +34,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Workspace, arrow_slices, as_texts, free_name, slices
 
-MOST_ROWS, MOST_FEATURES, LEAST_DOCS, LEAST_Z = 20_000, 8_192, 4, 2.5
+MOST_ROWS, MOST_CELLS, MOST_FEATURES, LEAST_DOCS, LEAST_Z = 20_000, 8_000_000, 8_192, 4, 2.5
 BEGINNINGS = (3, 4, 5, 6, 7, 8)
 L2, COUNTERFACTUAL, STEPS, RATE, POWER = 1e-5, 5.0, 400, 0.1, 0.3
 #: Identity terms by group; terms of a group are swapped for each other.
@@ -122,7 +125,8 @@ def sample(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Da
     """doc_id, text, toxic of at most ``most_rows`` labelled documents; labels (doc_id, toxic) are broadcast under that bound."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
-    return docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
+    found = docs.join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.first("toxic").alias("toxic"))
 
 
 def fit(rows: DataFrame, most_features: int = MOST_FEATURES, identity: tuple[str, ...] = IDENTITY, counterfactual: float = COUNTERFACTUAL) -> Model:
@@ -164,7 +168,11 @@ def fit(rows: DataFrame, most_features: int = MOST_FEATURES, identity: tuple[str
             lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(x)) for x in (feature, value)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], ["doc_id", "toxic", "features", "values"])
 
-    found = rows.select("doc_id", "toxic", "text").mapInArrow(vectors, "doc_id long, toxic int, features array<long>, values array<double>").toArrow()
+    found = rows.select("doc_id", "toxic", "text").mapInArrow(vectors, "doc_id long, toxic int, features array<long>, values array<double>")
+    found = Workspace(rows.sparkSession, "toxicity").write(found, "vectors")
+    upto = F.sum(F.size("features")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # a row for each row of the sample
+    chosen = found.select("doc_id", upto.alias("upto")).where(F.col("upto") <= MOST_CELLS).select("doc_id")
+    found = found.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "features", "values").toArrow()
     found = found.sort_by("doc_id").combine_chunks()
     lists = found["features"].combine_chunks()
     row = np.repeat(np.arange(len(found)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
@@ -174,7 +182,10 @@ def fit(rows: DataFrame, most_features: int = MOST_FEATURES, identity: tuple[str
 
 
 def _swaps(row: np.ndarray, feature: np.ndarray, value: np.ndarray, names: list[str], identity: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Differences between texts and their swapped forms, as sparse rows: each mentioned term against every other of its group."""
+    """Differences between texts and their swapped forms, as sparse rows: each mentioned term changes places with every other of its group.
+
+    So a text that has both terms has each one's value at the other's place; two terms of a text are one swap.
+    """
     place = {name: i for i, name in enumerate(names)}
     others: dict[int, list[int]] = {}
     for group in identity:
@@ -182,13 +193,18 @@ def _swaps(row: np.ndarray, feature: np.ndarray, value: np.ndarray, names: list[
         absent = len(known) < len(group.split())
         for i in known:
             others.setdefault(i, []).extend([j for j in known if j != i] + [-1] * absent)  # -1: a term never seen, of weight 0
+    told = np.isin(feature, list(others))
+    said = {(r, f): v for r, f, v in zip(row[told].tolist(), feature[told].tolist(), value[told].tolist())}
     pair, at, size = [], [], []
     k = 0
-    for f, v in zip(feature.tolist(), value.tolist()):
-        for other in others.get(f, ()):
+    for (r, f), v in said.items():
+        for other in others[f]:
+            there = said.get((r, other), 0.0)
+            if there and other < f:
+                continue
             pair += [k] * (1 + (other >= 0))
             at += [f, other] if other >= 0 else [f]
-            size += [v, -v] if other >= 0 else [v]
+            size += [v - there, there - v] if other >= 0 else [v]
             k += 1
     return np.array(pair, np.int64), np.array(at, np.int64), np.array(size, float)
 

@@ -144,6 +144,8 @@ def test_toxicity(spark, docs, nothing):
     scored = docs.withColumn("toxic", toxicity.toxicity(F.col("text"), model))
     assert scored.where("toxic is null").isEmpty()
     assert toxicity.drop_toxic(docs, labels).columns == docs.columns
+    many = table.unionByName(table.where("doc_id = 3").withColumn("text", F.lit("zz another text")).crossJoin(spark.range(500).select()))
+    assert toxicity.sample(many, labels).groupBy("doc_id").count().where("count > 1").isEmpty()
     one = toxicity.toxicity_report(table, labels.where("toxic = 0")).agg(F.max("score").alias("m")).first().m
     none = toxicity.toxicity_report(table, labels.limit(0)).agg(F.max("score").alias("m")).first().m
     assert one < 0.5 and none < 1e-6

@@ -342,6 +342,43 @@ def test_swaps_and_penalty():
     assert fair[2] > 0.5
 
 
+def test_toxicity_fit_against_plain_sums():
+    """Features by counting words one by one; the fitted weights are a minimum of the loss as the module states it."""
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["idiot", "idiots", "w1", "w2", "muslim", "christian", "jewish"]) for _ in range(rng.randint(1, 9))) for _ in range(120)]
+    toxic = [int("idiot" in t or rng.random() < 0.1) for t in texts]
+    names = sorted(["idiot=", "idiots=", "idi~", "w1=", "w2=", "muslim=", "christian=", "jewish="])
+    row, feature, value = toxicity.sparse_rows(large(texts), large(names), toxicity._terms(toxicity.IDENTITY))
+    cells = {}
+    for i, text in enumerate(texts):
+        for word in text.split():
+            for name in [f"{word}=", *(["idi~"] if word.startswith("idi") and len(word) > 3 else [])]:
+                if name in names:
+                    cells[i, name] = cells.get((i, name), 0) + 1
+    want = {(i, n): (c / len(texts[i].split())) ** toxicity.POWER for (i, n), c in cells.items()}
+    assert {(r, names[f]): pytest.approx(v) for r, f, v in zip(row.tolist(), feature.tolist(), value.tolist())} == want
+
+    group = "muslim= christian= jewish=".split()
+    swapped = []  # (text, first, second) for every swap of a mentioned term; terms of the group that no text has have weight 0
+    for i, text in enumerate(texts):
+        said = [g for g in group if f"{g[:-1]}" in text.split()]
+        swapped += [(i, a, b) for a in said for b in [*group, None] if b != a and not (b in said and b < a)]
+
+    def loss(w, b):
+        logit = [b + sum(w[names.index(n)] * want[i, n] for n in names if (i, n) in want) for i in range(len(texts))]
+        weight = [np.sqrt((len(toxic) - sum(toxic)) / sum(toxic)) if y else 1.0 for y in toxic]
+        fit = sum(k * np.log1p(np.exp(-z if y else z)) for k, z, y in zip(weight, logit, toxic)) / sum(weight)
+        gaps = [((want.get((i, a), 0) - want.get((i, b), 0)) * (w[names.index(a)] - (w[names.index(b)] if b else 0))) ** 2 for i, a, b in swapped]
+        return fit + toxicity.L2 * sum(x * x for x in w) + toxicity.COUNTERFACTUAL * sum(gaps) / len(gaps)
+
+    swaps = toxicity._swaps(row, feature, value, names, toxicity.IDENTITY)
+    assert int(swaps[0].max()) + 1 == len(swapped)
+    w, b = toxicity._descend(row, feature, value, np.array(toxic, float), len(names), swaps, toxicity.COUNTERFACTUAL)
+    best, steps = loss(w, b), np.random.default_rng(1)
+    for _ in range(40):
+        assert loss(w + steps.normal(0, 0.3, len(w)), b + steps.normal(0, 0.3)) > best - 1e-3
+
+
 def test_tokens_of_pieces_restore_and_equal_the_library():
     spm = pytest.importorskip("sentencepiece")
     from kinetrace.llm.pieces import Segmenter
