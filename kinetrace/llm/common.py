@@ -66,17 +66,19 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def spread_join(rows: DataFrame, keys: DataFrame, on: list[str], count: str, how: str = "inner", least: int = 256, total: int | None = None) -> DataFrame:
+def spread_join(rows: DataFrame, keys: DataFrame, on: list[str], count: str, how: str = "inner", least: int = 1000, total: int | None = None) -> DataFrame:
     """``rows`` joined with ``keys`` by the columns ``on``; a key of very many rows is dealt over many tasks.
 
     ``keys`` must have one row for each key, whose column ``count`` says how many rows have it (``total``: their sum, if
     known), and come out the same each time it is computed; the result has all columns of both but not ``count``.  A key is hot if it has more than a quarter of an even task's share
-    of all those rows.  So at most 4 x shuffle partitions are hot, whatever the data, and only a hash and the number of
+    of all those rows, and more than ``least``, below which no task is worth sparing.  So at most 4 x shuffle partitions are hot, whatever the data, and only a hash and the number of
     copies of each is broadcast.  A hot key's row is copied once for each such share and its rows are dealt over the
     copies.  All is a merge join, as neither side has a bound.
     """
     parts = partitions(rows.sparkSession)
     total = keys.agg(F.sum(count)).first()[0] or 0 if total is None else total
+    if total <= least:
+        return rows.join(keys.drop(count).hint("merge"), on, how)
     share = max(least, -(-total // (4 * parts)))
     copies = F.ceil(F.col(count) / share).cast("int")
     hot = keys.where(F.col(count) > share).select(F.xxhash64(*on).alias("_h"), copies.alias("_n")).groupBy("_h").agg(F.max("_n").alias("_n"))

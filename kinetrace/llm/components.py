@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, spread_join
 
+#: Edges of a node that one task takes in any case; an edge is two numbers.
+FEW = 20_000
+
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
@@ -23,9 +26,9 @@ def components(edges: DataFrame, work: Workspace, name: str) -> DataFrame:
     while state[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("low"), F.count_if(F.col("b") > F.col("a")).alias("n")).select("a", F.least("a", "low").alias("low"), "n")
-        large = spread_join(both.where("b > a"), least, ["a"], "n", total=state[0]).select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
+        large = spread_join(both.where("b > a"), least, ["a"], "n", least=FEW, total=state[0]).select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
         lower = large.groupBy("a").agg(F.min("b").alias("low"), F.count(F.lit(1)).alias("n"))
-        small = spread_join(large, lower, ["a"], "n", total=state[0]).select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(lower.select("a", F.col("low").alias("b")))
+        small = spread_join(large, lower, ["a"], "n", least=FEW, total=state[0]).select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(lower.select("a", F.col("low").alias("b")))
         edges = work.write(small.where("a <> b").distinct(), f"{name}-{k + 1}")
         state, before, k = _state(edges), state, k + 1
         if state == before:

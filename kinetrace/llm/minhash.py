@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace, arrow_slices, free_name, spread_join
-from .components import components
+from .components import FEW, components
 from .shingles import shingle_sets
 
 #: Chance that a pair at the threshold shares no bucket; most values of a signature.
@@ -134,12 +134,18 @@ def _agreement(pairs: DataFrame, least: float) -> DataFrame:
     return pairs.select("a", "b", "signature_a", "signature_b").mapInArrow(run, "a long, b long")
 
 
-def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, common, total of pairs (a, b), a written table: sizes of intersection and union of the full sets."""
-    found = pairs
+def _compared(pairs: DataFrame, sets: DataFrame, spread: tuple[str, ...] = ("a", "b")) -> DataFrame:
+    """a, b, common, total of pairs (a, b), a written table: sizes of intersection and union of the full sets.
+
+    ``spread`` names the ends that can have very many pairs.
+    """
+    found, total = pairs, pairs.count()
     for end in ("a", "b"):
+        if end not in spread:
+            found = found.join(sets.select(F.col("node").alias(end), F.col("shingles").alias(f"s{end}")), end)
+            continue
         degree = pairs.groupBy(end).agg(F.count(F.lit(1)).alias("degree"))
-        found = spread_join(found, sets.select(F.col("node").alias(end), F.col("shingles").alias(f"s{end}")).join(degree, end), [end], "degree")
+        found = spread_join(found, sets.select(F.col("node").alias(end), F.col("shingles").alias(f"s{end}")).join(degree, end), [end], "degree", total=total)
     common = F.size(F.array_intersect("sa", "sb")).cast("long")
     found = found.select("a", "b", common.alias("common"), (F.size("sa") + F.size("sb")).cast("long").alias("both"))
     return found.select("a", "b", "common", (F.col("both") - F.col("common")).alias("total"))
@@ -165,17 +171,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
 
     slots = nodes.select("node", F.explode("bands").alias("key"))
     shared = work.write(slots.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").withColumn("n", F.col("size")), "shared")
-    members = work.write(spread_join(slots, shared, ["key"], "n"), "members")
+    total = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    members = work.write(spread_join(slots, shared, ["key"], "n", total=total), "members")
     popular = members.groupBy("node").agg(F.sum("size").alias("weight"))
     ranked = members.join(popular, "node")
     hubs = ranked.groupBy("key").agg(F.max(F.struct("weight", -F.col("node"))).alias("top"), F.first("size").alias("n")).select("key", (-F.col("top.col2")).alias("hub"), "n")
-    placed = work.write(spread_join(members, work.write(hubs, "hubs"), ["key"], "n").select("key", "node", "hub"), "placed")
+    placed = work.write(spread_join(members, work.write(hubs, "hubs"), ["key"], "n", total=total).select("key", "node", "hub"), "placed")
     wanted = popular.select("node").join(nodes.select("node", "set_key", "first_doc"), "node")
     sets = _full_sets(wanted.join(docs, F.col("first_doc") == F.col("doc_id")), width)
     sets = work.write(sets.dropDuplicates(["node"]) if repeated else sets, "sets")
 
     pairs = work.write(placed.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "spoke-pairs")
-    spokes = work.write(_compared(pairs, sets), "spokes")
+    spokes = work.write(_compared(pairs, sets, spread=("b",)), "spokes")  # a node has no more hubs than buckets
     links = spokes.where(f"100 * common >= {percent} * total").select("a", "b")
     if repeated:  # documents under one id are one document
         ids = spread_join(named.select("doc_id", "set_key"), nodes.select("set_key", "node", "copies"), ["set_key"], "copies").select("doc_id", "node").distinct()
@@ -185,7 +192,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
     roots = components(links, work, "star")
 
     spread = placed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    unsettled = work.write(_several(work.write(spread, "spread")), "unsettled")
+    unsettled = work.write(_several(work.write(spread, "spread"), work, "unsettled"), "unsettled")
     if not unsettled.isEmpty():
         more = _missed_links(unsettled, spokes, sets, nodes, work, percent, bands * rows)
         roots = components(links.unionByName(more), work, "all")
@@ -193,7 +200,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
     named_roots = nodes.select("node", "set_key", "first_doc", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named_roots = work.write(named_roots, "roots")
     least = named_roots.groupBy("root").agg(F.min("first_doc").alias("component"), F.count(F.lit(1)).alias("n"))
-    classes = work.write(spread_join(named_roots, least, ["root"], "n").select("set_key", "component", "copies"), "classes")
+    classes = work.write(spread_join(named_roots, least, ["root"], "n", least=FEW, total=named_roots.count()).select("set_key", "component", "copies"), "classes")
     own = sketch.select("doc_id", "n_shingles", "set_key")  # rows with a null id count as copies of their set too
     copies = own.where("set_key is not null").groupBy("set_key").agg(F.count(F.lit(1)).alias("copies"))
     classes = classes.drop("copies").join(copies, "set_key") if not sketch.where("doc_id is null and set_key is not null").isEmpty() else classes
@@ -203,10 +210,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def _several(rows: DataFrame) -> DataFrame:
+def _several(rows: DataFrame, work: Workspace, name: str) -> DataFrame:
     """The rows (key, root, ...) of buckets that hold several components; ``rows`` is a written table."""
     several = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high")
-    return spread_join(rows, several.select("key", "size"), ["key"], "size")
+    return spread_join(rows, work.write(several.select("key", "size"), f"{name}-keys"), ["key"], "size")
 
 
 def _blocks(rows: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
@@ -215,7 +222,7 @@ def _blocks(rows: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
     The nodes of a key are dealt into blocks; a pair of blocks (row <= column) is one cell of the join.
     """
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
-    counts = spread_join(rows, sizes.withColumn("k", F.ceil(F.col("size") / block).cast("int")), ["key"], "size")
+    counts = spread_join(rows, sizes.withColumn("k", F.ceil(F.col("size") / block).cast("int")), ["key"], "size", total=rows.count())
     own = counts.withColumn("own", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
     left = own.withColumn("column", F.explode(F.sequence("own", F.col("k") - 1))).withColumnRenamed("own", "row").drop("k")
     right = own.withColumn("row", F.explode(F.sequence(F.lit(0), "own"))).withColumnRenamed("own", "column").drop("k")
@@ -238,7 +245,7 @@ def _missed_links(unsettled: DataFrame, spokes: DataFrame, sets: DataFrame, node
     inside = F.coalesce("common", "n")  # the hub is inside itself
     rows = unsettled.join(able, "node").join(to_hub, ["node", "hub"], "left")
     rows = rows.select("key", "node", "root", "n", "signature", "bands", inside.alias("inside"), (F.col("most") - inside).alias("outside"), F.coalesce("distance", F.lit(0.0)).alias("distance"))
-    rows = work.write(_several(work.write(rows, "able")), "open")
+    rows = work.write(_several(work.write(rows, "able"), work, "open"), "open")
     x, y = (side.select("key", "row", "column", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "root", "n", "inside", "outside", "signature", "bands", "distance")]) for s, side in zip("xy", _blocks(rows, BLOCK)))
     most = F.least("inside_x", "inside_y") + F.greatest(F.lit(0), F.least("outside_x", "outside_y"))
     first_shared = F.try_element_at(F.filter(F.zip_with("bands_x", "bands_y", lambda p, q: F.when(p == q, p)), lambda p: p.isNotNull()), F.lit(1))
