@@ -62,24 +62,8 @@ def thin(t: np.ndarray, least: float) -> np.ndarray:
     return keep
 
 
-def islands(mask: np.ndarray) -> list[tuple[int, int]]:
-    """[start, end) of the runs of True."""
-    edges = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]]).astype(int)))
-    return list(zip(edges[::2].tolist(), edges[1::2].tolist()))
-
-
-def close(mask: np.ndarray, most: int) -> np.ndarray:
-    """Fills gaps of at most ``most`` between runs."""
-    out = mask.copy()
-    found = islands(mask)
-    for (_, a), (b, _) in zip(found, found[1:]):
-        if b - a <= most:
-            out[a:b] = True
-    return out
-
-
-def peaks(x: np.ndarray, distance: int, prominence: float) -> tuple[np.ndarray, np.ndarray]:
-    """Local maxima at least ``distance`` apart (the higher first) whose prominence is enough, and their left bases.
+def peaks(x: np.ndarray, distance: int, prominence: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Local maxima at least ``distance`` apart (the higher first) whose prominence is enough, their left bases and prominences.
 
     A flat top counts at its middle; a base is the lowest sample between the peak and the nearest higher one on its side.
     """
@@ -101,7 +85,7 @@ def peaks(x: np.ndarray, distance: int, prominence: float) -> tuple[np.ndarray,
             near = np.abs(kept - kept[k]) < distance
             near[k] = False
             alive &= ~near
-    out, bases = [], []
+    out, bases, heights = [], [], []
     for p in kept[alive].tolist():
         higher = np.flatnonzero(x[:p] > x[p])
         low = higher[-1] + 1 if len(higher) else 0
@@ -111,7 +95,8 @@ def peaks(x: np.ndarray, distance: int, prominence: float) -> tuple[np.ndarray,
         if x[p] - max(x[left], right) >= prominence:
             out.append(p)
             bases.append(left)
-    return np.array(out, int), np.array(bases, int)
+            heights.append(x[p] - max(x[left], right))
+    return np.array(out, int), np.array(bases, int), np.array(heights, float)
 
 
 def peak_widths(x: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -136,26 +121,14 @@ def peak_widths(x: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def periodicity(x: np.ndarray, period: float) -> float:
-    """Greatest normalised autocorrelation over lags of 0.7 to 1.3 periods."""
+    """Greatest autocorrelation over lags of 0.7 to 1.3 periods, each as a share of the power and corrected for the overlap."""
     x = x - x.mean()
-    power = float(x @ x)
-    best = 0.0
-    for lag in range(max(1, int(0.7 * period)), min(len(x) - 1, int(1.3 * period) + 1) + 1):
-        best = max(best, float(x[:-lag] @ x[lag:]) / power * len(x) / (len(x) - lag) if power else 0.0)
-    return best
-
-
-def even_run(at: np.ndarray, tolerance: float = 0.35) -> tuple[int, int]:
-    """[first, last] of the longest run of events whose gaps stay near the median gap; the earliest of equals."""
-    gaps = np.diff(at)
-    if not len(gaps):
-        return 0, len(at) - 1
-    mid = np.median(gaps)
-    found = islands(np.abs(gaps - mid) <= tolerance * mid)
-    if not found:
-        return 0, 0
-    a, b = max(found, key=lambda r: (r[1] - r[0], -r[0]))
-    return a, b
+    n, power = len(x), float(x @ x)
+    lags = np.arange(max(1, int(0.7 * period)), min(n - 1, int(1.3 * period) + 1) + 1)
+    if not power or not len(lags):
+        return 0.0
+    spectrum = np.abs(np.fft.rfft(x, 2 * n)) ** 2  # padded to twice the length, so nothing wraps around
+    return max(0.0, float((np.fft.irfft(spectrum)[lags] / power * n / (n - lags)).max()))
 
 
 def assign(score: np.ndarray) -> list[tuple[int, int]]:

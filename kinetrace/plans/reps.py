@@ -1,75 +1,168 @@
-"""Repetitions counted from pose tracks, a group of rows per video."""
+"""Repetitions counted from made-up pose tracks, with the counts that were put into them."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinetrace.operators.reps import Params, Track, sets, stitch
+from kinetrace.operators.reps import count_sets
 from kinetrace.plans.registry import Registry
-from kinetrace.sources.documents import explode_tracks
+from kinetrace.sources.documents import TRACKS, explode_tracks, session_document
 
 query = Registry()
-SETS = "video string, person int, n_set int, reps int, start_s double, end_s double"
-
+FPS = 30
+#: A standing figure in body heights from the feet, y down: half width and height of each pair of joints (nose, eyes, ears, shoulders, ...).
+_HALF = (0.0, 0.02, 0.04, 0.11, 0.14, 0.14, 0.08, 0.08, 0.08)
+_TALL = (0.92, 0.94, 0.93, 0.81, 0.63, 0.46, 0.50, 0.27, 0.03)
+_SIDE = np.array([0, *[-1, 1] * 8])
+_PAIR = np.array([0, *np.repeat(np.arange(1, 9), 2)])
+STAND = np.c_[_SIDE * np.array(_HALF)[_PAIR], -np.array(_TALL)[_PAIR]]
+NOSE, EYES, EARS, SHOULDERS, ELBOWS, WRISTS, HIPS, KNEES, ANKLES = range(9)
+UPPER = (NOSE, EYES, EARS, SHOULDERS, ELBOWS, WRISTS, HIPS)
+#: Where pairs of joints are at rest and at the top of a repetition, relative to standing: outward and down.
+MOVES = {
+    "curl": ({}, {WRISTS: (0.0, -0.28)}),
+    "press": ({ELBOWS: (0.06, -0.09), WRISTS: (0.04, -0.40)}, {ELBOWS: (0.01, -0.34), WRISTS: (-0.04, -0.66)}),
+    "squat": ({}, {**{j: (0.0, 0.2) for j in UPPER}, KNEES: (0.03, 0.05)}),
+    "raise": ({}, {WRISTS: (0.31, -0.34), ELBOWS: (0.16, -0.17)}),
+    "dip": ({}, {**{j: (0.0, 0.25) for j in range(9) if j != WRISTS}, ELBOWS: (0.06, 0.25)}),
+    "reach": ({}, {**{j: (0.0, -0.03) for j in UPPER}, ELBOWS: (0.0, -0.15), WRISTS: (0.0, -0.15)}),
+    "rise": ({}, {j: (0.0, -0.15) for j in UPPER}),
+    "fidget": ({}, {WRISTS: (0.0, -0.22)}),
+}
+
+
+@dataclass(frozen=True)
+class Figure:
+    """A person of a made-up video: sets of (move, repetitions, seconds each, pause before), other moves (move, begin, seconds)."""
+
+    sets: tuple = ()
+    other: tuple = ()
+    height: float = 300.0
+    noise: float = 0.012
+    dropout: float = 0.05
+    hidden: tuple = ()
+    walk: float = 0.0
+    at: tuple = (800.0, 900.0)
+    lead: float = 8.0
+    pause: tuple = (0.2, 0.8)
+    after: tuple = ()  # other moves, counted from the end of the sets
+
+
+@dataclass(frozen=True)
+class Scenario:
+    figures: tuple
+    reps: tuple
+    seconds: float = 0.0
+    seed: int = field(default=0)
+
+
+def _simple(*sets, **more) -> Scenario:
+    return Scenario((Figure(sets=sets, **more),), tuple(s[1] for s in sets))
+
+
+#: Every scenario with the repetitions of its sets.
+SCENARIOS = {
+    "curls": _simple(("curl", 12, 2.0, 0)),
+    "presses": _simple(("press", 8, 3.0, 0)),
+    "squats": _simple(("squat", 10, 2.5, 0)),
+    "raises": _simple(("raise", 15, 1.8, 0)),
+    "dips": _simple(("dip", 10, 3.0, 0)),
+    "heavy jitter": _simple(("curl", 10, 2.2, 0), noise=0.025),
+    "small figure": _simple(("curl", 10, 2.2, 0), noise=0.02, height=60.0),
+    "one joint in five unseen": _simple(("press", 8, 3.0, 0), dropout=0.2),
+    "hidden for a moment": _simple(("squat", 10, 2.5, 0), hidden=(15.0, 15.6)),
+    "slow": _simple(("squat", 6, 5.0, 0)),
+    "fast": _simple(("curl", 15, 1.0, 0)),
+    "no pauses": _simple(("press", 10, 2.2, 0), height=280.0, pause=(0.0, 0.05)),
+    "bar taken and put back": _simple(("squat", 8, 3.0, 0), height=280.0, lead=9.0, other=(("reach", 5.5, 2.5),), after=(("reach", 0.8, 2.7),)),
+    "walker": Scenario((Figure(height=250.0, walk=175.0, at=(100.0, 700.0)),), (), seconds=14.0),
+    "fidgeter": Scenario((Figure(height=280.0, noise=0.015, other=(("fidget", 3, 2), ("fidget", 9.5, 1.5), ("fidget", 12, 2.5), ("fidget", 22, 1), ("fidget", 31, 3))),), (), seconds=40.0),
+    "two sets": _simple(("curl", 10, 2.0, 0), ("press", 8, 3.0, 60.0), height=260.0),
+    "uneven tail": _simple(("curl", 10, 1.8, 0), height=280.0, lead=4.0, pause=(0.1, 0.3), after=(("rise", 1.0, 2.5), ("rise", 6.0, 3.5), ("rise", 10.5, 1.2))),
+    "crowd": Scenario((
+        Figure(sets=(("squat", 8, 3.0, 0),), height=220.0, at=(500.0, 700.0), lead=5.0), Figure(sets=(("curl", 12, 1.8, 0),), height=240.0, at=(1300.0, 750.0), lead=12.0), Figure(height=300.0, walk=-150.0, at=(1900.0, 900.0)),
+    ), (8, 12)),
+}
+
+
+def _offset(place: dict) -> np.ndarray:
+    out = np.zeros((17, 2))
+    for pair, (outward, down) in place.items():
+        rows = _PAIR == pair
+        out[rows] = np.c_[_SIDE[rows] * outward, np.full(rows.sum(), down)]
+    return out
+
+
+def _figure(f: Figure, rng: np.random.Generator, seconds: float) -> tuple[list, float]:
+    """Boxes and keypoints of a figure by frame (None where it is hidden), and when its sets have ended."""
+    schedule, now = [], f.lead
+    for move, reps, period, before in f.sets:
+        now += before
+        rest, top = map(_offset, MOVES[move])
+        for _ in range(reps):
+            length = period * rng.uniform(0.8, 1.2)
+            schedule.append((now, now + length, rest, top))
+            now += length + rng.uniform(*f.pause)
+    for move, begin, length in (*f.other, *((m, now + b, n) for m, b, n in f.after)):
+        schedule.append((begin, begin + length, *map(_offset, MOVES[move])))
+    total = max(seconds, now + f.lead, *(end + 4 for _, end, *_ in schedule or [(0, 0)]))
+    frames = []
+    for i in range(int(total * FPS)):
+        t = i / FPS
+        busy = [s for s in schedule if s[0] <= t < s[1]]
+        begun = [s for s in schedule if s[0] <= t] or schedule
+        offset = begun[-1][2] if begun else np.zeros((17, 2))
+        for begin, end, rest, top in busy:
+            offset = rest + (1 - np.cos(2 * np.pi * (t - begin) / (end - begin))) / 2 * (top - rest)
+        if f.walk:
+            swing = np.sin(2 * np.pi * t)
+            offset = offset + np.outer(_SIDE * swing * np.array([0, 0, 0, 0, 0, 0.06, 0, 0.06, 0.12])[_PAIR], [1, 0])
+        kp = (STAND + offset) * f.height + [f.at[0] + f.walk * t, f.at[1]] + rng.normal(0, f.noise * f.height, (17, 2))
+        sure = np.where(rng.random(17) < f.dropout, 0.1, rng.uniform(0.6, 0.95, 17))
+        box = [*(kp.min(0) - 0.05 * f.height), *(kp.max(0) + 0.03 * f.height)]
+        frames.append(None if f.hidden and f.hidden[0] <= t < f.hidden[1] else (box, np.c_[kp, sure].tolist()))
+    return frames, total
+
+
+def pose_documents(spark, names: list[str]) -> DataFrame:
+    """The pose documents of the named scenarios, a row each."""
 
-def count_sets(detections: DataFrame, params: Params = Params()) -> DataFrame:
-    """Sets of each person of each video from detections (video, track, t, box, kp); people are numbered by their start."""
+    def build(batches):
+        for rows in batches:
+            for name in rows.video:
+                scenario, rng = SCENARIOS[name], np.random.default_rng(list(SCENARIOS).index(name))
+                figures = [_figure(f, rng, scenario.seconds)[0] for f in scenario.figures]
+                frames = [{"i": i, "t": i / FPS, "people": [{"id": n, "box": f[i][0], "score": 0.9, "kp": f[i][1]} for n, f in enumerate(figures, 1) if i < len(f) and f[i]]} for i in range(max(map(len, figures)))]
+                yield pd.DataFrame({"video": [name], "width": [1920], "height": [1080], "fps": [float(FPS)], "frames": [frames]})
 
-    def analyse(rows: pd.DataFrame) -> pd.DataFrame:
-        tracks = []
-        for _, one in rows.sort_values("t").groupby("track"):
-            kp = np.array([[list(map(float, point)) for point in frame] for frame in one.kp])
-            tracks.append(Track(one.t.to_numpy(), np.array(one.box.tolist(), float), kp))
-        out = []
-        for person, track in enumerate(sorted(stitch(tracks, params), key=lambda x: x.t[0])):
-            out += [(rows.video.iloc[0], person, n, len(times), round(float(times[0]), 3), round(float(times[-1]), 3)) for n, times in enumerate(sets(track, params))]
-        return pd.DataFrame(out, columns=["video", "person", "n_set", "reps", "start_s", "end_s"])
+    return spark.createDataFrame([(n,) for n in names], "video string").repartition(len(names), "video").mapInPandas(build, TRACKS)
 
-    return detections.select("video", "track", "t", "box", "kp").groupBy("video").applyInPandas(analyse, SETS)
 
+def scenario_sets(spark) -> DataFrame:
+    return count_sets(explode_tracks(pose_documents(spark, list(SCENARIOS))))
 
-def pose_documents(spark, scenarios: dict[str, tuple[int, float, float]], fps: int = 30) -> DataFrame:
-    """Fixture: a standing figure whose arms swing ``reps`` times with a period, under jitter; a row per video."""
-    names = spark.createDataFrame([(v, *map(float, x)) for v, x in scenarios.items()], "video string, reps double, period double, jitter double")
 
-    def build(batches):
-        for rows in batches:
-            for r in rows.itertuples():
-                rng = np.random.default_rng(7)
-                rest, total = 3.0, 3.0 + r.reps * r.period + 3.0
-                base = np.c_[np.linspace(-0.12, 0.12, 17), np.linspace(-0.95, -0.02, 17)] * 300 + [640, 600]
-                frames = []
-                for i in range(int(total * fps)):
-                    t = i / fps
-                    phase = (t - rest) / r.period
-                    lift = (1 - np.cos(2 * np.pi * phase)) / 2 if 0 <= phase <= r.reps else 0.0
-                    kp = base + rng.normal(0, r.jitter * 300, base.shape)
-                    kp[[7, 8, 9, 10], 1] -= lift * np.array([40, 40, 110, 110])
-                    people = [{"id": 1, "box": [580.0, 300.0, 700.0, 600.0], "score": 0.9, "kp": np.c_[kp, np.full(17, 0.9)].tolist()}]
-                    frames.append({"i": i, "t": t, "people": people})
-                yield pd.DataFrame({"video": [r.video], "width": [1280], "height": [720], "fps": [float(fps)], "frames": [frames]})
+_EXPECTED = "(VALUES " + ", ".join(f"('{name}', {reps})" for name, s in SCENARIOS.items() for reps in s.reps) + ") e(video, reps)"
 
-    from kinetrace.sources.documents import TRACKS
 
-    return names.mapInPandas(build, TRACKS)
-
-
-SCENARIOS = {"curl": (12, 2.0, 0.004), "press": (8, 3.0, 0.004), "slow": (6, 5.0, 0.004), "fast": (15, 1.0, 0.004), "jitter": (10, 2.0, 0.02), "idle": (0, 2.0, 0.004)}
+@query(f"SELECT video, reps, count(*) AS sets FROM {_EXPECTED} GROUP BY video, reps")
+def rep_counts(spark, sf_dir):
+    """Repetitions of the sets found in every scenario; the expected ones were put in, none for a walker or a fidgeter."""
+    return scenario_sets(spark).groupBy("video", "reps").agg(F.count(F.lit(1)).alias("sets"))
 
 
 @query()
-def rep_counts(spark, sf_dir):
-    """Sets found in generated pose documents."""
-    return count_sets(explode_tracks(pose_documents(spark, SCENARIOS)))
+def rep_sets(spark, sf_dir):
+    """All that is known of each set: times of peak, rest, half way and completion, pace, joints, a rough label."""
+    return scenario_sets(spark)
 
 
 @query()
 def session_documents(spark, sf_dir):
     """The nested session document of each video."""
-    from kinetrace.sources.documents import session_document
-
-    found = count_sets(explode_tracks(pose_documents(spark, SCENARIOS))).withColumn("exercise", F.col("video"))
-    return session_document(found)
+    return session_document(scenario_sets(spark))

@@ -7,7 +7,6 @@ import numpy as np
 import pytest
 
 from kinetrace.operators import kernels as k
-from kinetrace.operators.reps import Params, Track, sets, stitch
 
 
 @pytest.mark.parametrize("seed", range(20))
@@ -22,17 +21,6 @@ def test_assignment_is_optimal(seed):
     assert sum(score[a, b] for a, b in found) == pytest.approx(best)
 
 
-def test_islands_and_closing():
-    rng = random.Random(2)
-    for _ in range(200):
-        mask = np.array([rng.random() < 0.5 for _ in range(rng.randint(0, 12))], bool)
-        found = k.islands(mask)
-        assert sum(b - a for a, b in found) == mask.sum() and all(mask[a:b].all() for a, b in found)
-        closed = k.close(mask, 2)
-        gaps = [b - a for a, b in k.islands(~closed) if a > 0 and b < len(mask)]
-        assert (closed | mask == closed).all() and all(g > 2 for g in gaps)
-
-
 def test_interpolation_stops_at_gaps():
     t = np.array([0.0, 1.0, 4.0])
     y = k.interpolate(np.array([-1, 0, 0.5, 1, 2, 4, 5]), t, t * 2, np.ones(3, bool), 2.0)
@@ -50,15 +38,25 @@ def test_savgol_keeps_polynomials():
 
 def test_peaks():
     x = np.array([0, 1, 3, 3, 3, 1, 0, 2, 0, 5, 0], float)
-    at, base = k.peaks(x, 1, 0.5)
-    assert at.tolist() == [3, 7, 9] and base.tolist()[0] == 0
+    at, base, height = k.peaks(x, 1, 0.5)
+    assert at.tolist() == [3, 7, 9] and base.tolist()[0] == 0 and height.tolist() == [3, 2, 5]
     assert k.peaks(x, 4, 0.5)[0].tolist() == [3, 9]
     assert k.peaks(x, 1, 2.5)[0].tolist() == [3, 9]
     assert k.peaks(np.zeros(5), 1, 0.1)[0].tolist() == []
 
 
-def test_even_run_and_thinning():
-    assert k.even_run(np.array([0, 5, 6, 7, 8, 20, 21])) == (1, 4)
+def test_periodicity_against_plain_sums():
+    rng = np.random.default_rng(5)
+    for n in (3, 20, 61):
+        x = rng.normal(size=n)
+        y = x - x.mean()
+        lags = range(max(1, int(0.7 * 9)), min(n - 1, int(1.3 * 9) + 1) + 1)
+        want = max([0.0, *(sum(y[i] * y[i + lag] for i in range(n - lag)) / sum(y * y) * n / (n - lag) for lag in lags)])
+        assert k.periodicity(x, 9.0) == pytest.approx(want)
+    assert k.periodicity(np.ones(50), 9.0) == 0.0
+
+
+def test_thinning():
     assert k.thin(np.array([0, 0.5, 1.0, 1.4, 2.1]), 1.0).tolist() == [True, False, True, False, True]
 
 
@@ -85,34 +83,3 @@ def test_rigid_and_consensus():
     b[:10] += 20
     theta, _, n = k.ransac_rigid(a, b)
     assert theta == pytest.approx(0.4) and n == 30
-
-
-def figure(reps, period, jitter=0.004, fps=30, walk=0.0, start=0.0):
-    rng = np.random.default_rng(3)
-    base = np.c_[np.linspace(-0.12, 0.12, 17), np.linspace(-0.95, -0.02, 17)] * 300 + [640, 600]
-    t = np.arange(0, 6 + reps * period, 1 / fps)
-    kp = np.empty((len(t), 17, 3))
-    for i, now in enumerate(t):
-        phase = (now - 3) / period
-        lift = (1 - np.cos(2 * np.pi * phase)) / 2 if 0 <= phase <= reps else 0
-        frame = base + rng.normal(0, jitter * 300, base.shape) + [walk * now, 0]
-        frame[[7, 8, 9, 10], 1] -= lift * np.array([40, 40, 110, 110])
-        kp[i] = np.c_[frame, np.full(17, 0.9)]
-    box = np.tile([580.0, 300, 700, 600], (len(t), 1)) + np.c_[walk * t, 0 * t, walk * t, 0 * t]
-    return Track(t + start, box, kp)
-
-
-@pytest.mark.parametrize("reps,period", [(12, 2.0), (8, 3.0), (6, 5.0), (15, 1.0)])
-def test_repetitions_are_counted(reps, period):
-    assert [len(s) for s in sets(figure(reps, period))] == [reps]
-
-
-def test_no_repetitions_where_there_are_none():
-    assert sets(figure(0, 2.0)) == [] and sets(figure(10, 2.0, walk=120.0)) == []
-
-
-def test_stitching():
-    a, b = figure(4, 2.0), figure(4, 2.0, start=15.0)
-    far = Track(b.t + 40, b.box, b.kp)
-    assert len(stitch([b, a])) == 1 and len(stitch([a, far])) == 2
-    assert stitch([Track(a.t[:10], a.box[:10], a.kp[:10])], Params()) == []
