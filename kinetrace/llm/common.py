@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -44,9 +45,13 @@ def shared_dir(spark: SparkSession) -> str:
 class Workspace:
     """Written intermediate tables below the shared folder; they cut lineage and survive lost executors."""
 
+    made: list[Workspace] | None = None  # those made inside ``dropping_workspaces``
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        if Workspace.made is not None:
+            Workspace.made.append(self)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -55,13 +60,24 @@ class Workspace:
         df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def drop(self, name: str) -> None:
-        """Deletes a table that nothing reads any more."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path(name))
+    def drop(self) -> None:
+        """Deletes all tables of this workspace; nothing may read them any more."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def dropping_workspaces() -> Iterator[None]:
+    """Deletes the workspaces made inside when it is left; their tables must have been used up by then."""
+    outer, Workspace.made = Workspace.made, []
+    try:
+        yield
+        for made in Workspace.made:
+            made.drop()
+    finally:
+        Workspace.made = outer
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -25,31 +25,38 @@ def vocabulary(name: str) -> str:
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents. Null and wordless texts have no shingles and link with nothing; equal texts are one group."""
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents. Null and empty texts score as a text without any feature; equal texts score alike."""
     return toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of all texts and whether they decode to the text. A null text counts as empty and has no pieces."""
     return piece_report(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages. A null or empty page has empty text; broken markup is read as far as it goes."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return extract_pages(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts stored as containers and read back, with codec, duration and keyframes. A null text counts as empty: one block of zeros."""
     return media_report(table(spark, sf_dir, "documents"))
 
 
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans and scores of personal data in all texts. Null and empty texts have none."""
     return personal_data_report(table(spark, sf_dir, "documents"))
 
 
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one more, read back from their formatted windows. A null text counts as empty; turns of one number go by role and text."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     spoken = "'</s>[INST] ok [/INST]' AS text"
     extra = spark.sql(f"SELECT -7L AS conv_id, 0L AS turn, 'user' AS role, {spoken} UNION ALL SELECT -7L, 1L, 'assistant', {spoken}")
@@ -57,16 +64,19 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written to a token file and read back. A null text counts as empty and has its end id only; rows of one id go by their text."""
     folder = Workspace(spark, "token-file").path("ids")
     write_token_file(table(spark, sf_dir, "documents"), folder, vocabulary("word_bpe_49k.json"))
     return read_token_file(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 4096. A null text counts as empty and has its end id only; repeated rows are packed like any others."""
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts of all documents. A null text counts as empty, and empty texts are equal; of rows of one text and id one stays."""
     return equal_texts(table(spark, sf_dir, "documents"))
 
 
