@@ -67,6 +67,19 @@ class Pair:
     near: bool = False
 
 
+def _rivals(score: np.ndarray) -> np.ndarray:
+    """For each cell the greatest other score of its row and its column."""
+
+    def others(x: np.ndarray) -> np.ndarray:  # by row: the greatest, or the second where the cell is the greatest itself
+        if x.shape[1] < 2:
+            return np.full(x.shape, -np.inf)
+        order = np.argsort(-x, axis=1, kind="stable")
+        first, second = (np.take_along_axis(x, order[:, i : i + 1], 1) for i in (0, 1))
+        return np.where(np.arange(x.shape[1]) == order[:, :1], second, first)
+
+    return np.maximum(others(score), others(score.T).T)
+
+
 @dataclass
 class Resolver:
     settings: Settings = Settings()
@@ -152,14 +165,14 @@ class Resolver:
                         pair = self.pairs.get((a, b) if a < b else (b, a))
                         if pair and pair.ticks * s.tick_s >= s.overlap_s - 1e-9:
                             score[m, n] = pair.score
+                lead = score - np.maximum(0.0, _rivals(score))
+                sure = (score >= s.link) & (lead >= s.margin)
                 for m, n in assign(score):
-                    key = tuple(sorted((left[m], right[n])))
-                    rivals = np.r_[np.delete(score[m], n), np.delete(score[:, n], m)]
-                    margin = score[m, n] - max(0.0, rivals.max(initial=0.0))
-                    if score[m, n] >= s.link and margin >= s.margin:
+                    if sure[m, n]:
+                        key = tuple(sorted((left[m], right[n])))
                         if key not in self.links:
                             self.events.append((tick, "cross_camera_link", *key))
-                        self.links[key] = float(min(score[m, n], margin + 4))
+                        self.links[key] = float(min(score[m, n], lead[m, n] + 4))
         for key in [k for k in self.links if k in self.pairs and self.pairs[k].score < s.revoke and (k[0] in active or k[1] in active)]:
             del self.links[key]
             self.events.append((tick, "link_revoked", *key))
@@ -207,23 +220,26 @@ class Resolver:
         apart = {frozenset(place[k] for k in pair) for pair in self.together}
         apart |= {frozenset((place[a], place[b])) for (a, b), p in self.pairs.items() if p.ticks >= 2 and (not p.near or p.distance / p.ticks > s.conflict_m)}
         roots = merged(len(names), [(c, place[a], place[b]) for (a, b), c in self.links.items()], apart)
-        clusters: dict[int, list[str]] = {}
+        members: dict[int, list[str]] = {}
         for name, root in zip(names, roots):
-            clusters.setdefault(root, []).append(name)
-        used: set[int] = set()
-        ids: dict[str, int] = {}
-        for members in sorted(clusters.values(), key=lambda m: (min(self.tracks[k].first for k in m), m)):
-            before = sorted({self.ids[k] for k in members if k in self.ids} - used)
-            if before:
-                mine = before[0]
-                self.events += [(tick, "identities_merged", mine, other) for other in before[1:] if other not in used]
+            members.setdefault(root, []).append(name)
+        begun = {root: min(self.tracks[k].first for k in mine) for root, mine in members.items()}
+        by_age = sorted(members, key=lambda root: (begun[root], members[root]))
+        holds = {root: sorted({self.ids[k] for k in members[root] if k in self.ids}) for root in by_age}
+        owner: dict[int, int] = {}  # identity -> the cluster that keeps it: the oldest that holds it and has none yet
+        for root in by_age:
+            free = [i for i in holds[root] if i not in owner]
+            if free:
+                owner[free[0]] = root
+        kept = {root: identity for identity, root in owner.items()}
+        for root in by_age:
+            if root not in kept:
+                kept[root], self.next_id = self.next_id, self.next_id + 1
+                self.events.append((tick, "identity_split" if holds[root] else "identity_created", kept[root]))
             else:
-                mine, self.next_id = self.next_id, self.next_id + 1
-                self.events.append((tick, "identity_split" if any(k in self.ids for k in members) else "identity_created", mine))
-            used.add(mine)
-            self.since.setdefault(mine, min(self.tracks[k].first for k in members))
-            ids |= dict.fromkeys(members, mine)
-        self.ids = ids
+                self.events += [(tick, "identities_merged", kept[root], other) for other in holds[root] if other not in owner]
+            self.since.setdefault(kept[root], begun[root])
+        self.ids = {k: kept[root] for root, mine in members.items() for k in mine}
 
     def _people(self, tick: int, rows) -> list[dict]:
         s = self.settings
