@@ -5,6 +5,8 @@ Observations of two cameras are made from events (see ``observations``), appeara
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -429,3 +431,36 @@ def resolve_site(rows: pd.DataFrame) -> pd.DataFrame:
         people += resolver.step(int(tick), list(at[["key", "camera", "x", "y", "sigma", "edge"]].itertuples(index=False, name=None)))
     people += resolver.finish()
     return pd.DataFrame(people, columns=["tick", "person", "x", "y", "cameras", "state", "confidence", "shown"]).assign(site=rows.site.iloc[0])[["site", "tick", "person", "x", "y", "cameras", "state", "confidence", "shown"]]
+
+
+def _walks() -> dict[str, tuple[list, tuple, int]]:
+    """Made-up recordings: tracks (camera, name, from s, to s, path, cut by the edge), the moments looked at, people expected there."""
+    line, still, apart = (lambda t: (1 + 0.5 * t, 2.0)), (lambda t: (4.0, 4.0)), (lambda t: (4.6, 4.0))
+    there, back = (lambda t: (0.6 * t, 3.0)), (lambda t: (7.2 - 0.6 * t, 3.6))
+    whole = lambda camera, name, path, edge=False: (camera, name, 0, 12, path, edge)
+    return {
+        "two cameras": ([whole("cam1", "a", line), whole("cam2", "b", line)], (5.0, 8.0), 1),
+        "hand-off": ([("cam1", "a", 0, 10, line, False), ("cam2", "b", 7, 18, line, False)], (5.0, 9.6, 14.0), 1),
+        "occlusion": ([("cam1", "a", 0, 10, still, False), ("cam1", "b", 12, 20, still, False)], (5.0, 18.0), 1),
+        "neighbours": ([whole("cam1", "a", still), whole("cam1", "b", apart), whole("cam2", "c", still), whole("cam2", "d", apart)], (8.0,), 2),
+        "teleport": ([("cam1", "a", 0, 5, lambda t: (0.0, 0.0), False), ("cam1", "b", 5.4, 12, lambda t: (13.0, 0.0), False)], (4.0, 10.0), 2),
+        "crossing": ([whole("cam1", "a", there), whole("cam1", "b", back), whole("cam2", "c", there), whole("cam2", "d", back)], (3.0, 10.0), 2),
+        "cut by the edge": ([whole("cam1", "a", still, True), whole("cam2", "b", still)], (8.0,), 2),
+    }
+
+
+_WALKS = _walks()
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{site}', {people}::BIGINT)" for site, (_, _, people) in _WALKS.items()) + ") e(site, people)")
+def identity_scenarios(spark, sf_dir):
+    """How many people the resolver sees at given moments of made-up recordings; the expected numbers were put in."""
+    tick, rows = 0.2, []
+    for site, (tracks, _, _) in _WALKS.items():
+        for n, (camera, name, t0, t1, path, edge) in enumerate(tracks):
+            for i in range(round(t0 / tick), round(t1 / tick)):
+                rows.append((site, i, f"{camera}:{name}", camera, *(c + 0.03 * math.sin(2.6 * i + n + k) for k, c in enumerate(path(i * tick))), 0.2, edge))
+    schema = "site string, tick long, key string, camera string, x double, y double, sigma double, edge boolean"
+    people = spark.createDataFrame(rows, schema).groupBy("site").applyInPandas(resolve_site, PEOPLE)
+    moments = spark.createDataFrame([(site, round(t / tick)) for site, (_, at, _) in _WALKS.items() for t in at], "site string, tick long")
+    return people.where("state <> 'exited'").join(moments, ["site", "tick"]).groupBy("site").agg(F.countDistinct("person").alias("people"))
