@@ -6,6 +6,7 @@ The muscle tables are long: one row for each exercise and muscle.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -204,44 +205,52 @@ def last_trained(spark, sf_dir):
     return days.where(F.col("load") >= TRAINED).groupBy("member", "muscle").agg(F.date_format(F.max("day"), "yyyyMMdd").alias("day"))
 
 
-def plan_session(rows: pd.DataFrame) -> list[str]:
-    """Greedy choice for one member from rows (exercise, muscle, weight, status, need), exercises in a fixed order.
+def plan_sessions(need: np.ndarray, ready: np.ndarray, tired: np.ndarray, primary: np.ndarray, secondary: np.ndarray) -> np.ndarray:
+    """Greedy choice for many members at once: the exercise of each pick, -1 for none.
 
-    The focus is the primary muscle most in need that is ready; picks maximise uncovered need.
+    need, ready, tired: members by muscles; primary, secondary: exercises by muscles.  The focus is the muscle most in
+    need that is ready, the first of equals; picks maximise the need that no pick before them covers.
     """
-    ready = rows.status == "ready"
-    score = rows.drop_duplicates("muscle").assign(s=lambda d: d.need.where(d.status == "ready", -1.0))
-    if score.s.max() <= 0:
-        return []
-    focus = score.loc[score.s.idxmax(), "muscle"]
-    blocked = rows[((rows.weight == 1) & ~ready) | (rows.status == "fatigued")].exercise.unique()
-    options = {e: g for e, g in rows[~rows.exercise.isin(blocked)].groupby("exercise", sort=False)}
-    picked: list[str] = []
-    covered: set[str] = set()
-    while options and len(picked) < MOST_EXERCISES:
-        gains = {}
-        for name, g in options.items():
-            main = g[g.weight == 1]
-            gain = (main.need * main.muscle.map(lambda m: COVERED if m in covered else 1.0)).sum()
-            gains[name] = gain + 0.05 * ((g.weight < 1) & (g.muscle == focus)).sum() - 0.1 * (main.muscle != focus).sum()
-        best = max(gains, key=gains.get)
-        if len(picked) >= LEAST_EXERCISES and focus in covered and gains[best] < LEAST_GAIN:
-            break
-        picked.append(best)
-        covered |= set(options.pop(best).query("weight == 1").muscle)
-    return picked
+    score = np.where(ready, need, -1.0)
+    focus = score.argmax(1)
+    waits = (primary @ ~ready.T > 0) | ((primary | secondary) @ tired.T > 0)  # exercises by members
+    open_ = ~waits.T & (score.max(1) > 0)[:, None]
+    fixed = 0.05 * secondary[:, focus].T - 0.1 * (primary.sum(1)[None] - primary[:, focus].T)
+    covered = np.zeros(need.shape, bool)
+    picks = np.full((len(need), MOST_EXERCISES), -1)
+    going, rows = np.ones(len(need), bool), np.arange(len(need))
+    for n in range(MOST_EXERCISES):
+        gain = np.where(open_, (need * np.where(covered, COVERED, 1.0)) @ primary.T + fixed, -np.inf)
+        best = gain.argmax(1)
+        most = gain[rows, best]
+        going &= np.isfinite(most)
+        if n >= LEAST_EXERCISES:
+            going &= ~(covered[rows, focus] & (most < LEAST_GAIN))
+        picks[going, n] = best[going]
+        covered[going] |= primary[best[going]]
+        open_[rows[going], best[going]] = False
+    return picks
 
 
 @query()
 def next_session(spark, sf_dir):
-    """Exercises for each member's next session; the choice is greedy, so it is made per member (a few dozen rows each)."""
-    r = recovery(hours_since_trained(spark, sf_dir)).join(F.broadcast(muscle_map(spark, sf_dir)), "muscle").select("member", F.col("name").alias("exercise"), "muscle", "weight", "status", "need")
-
-    def plan(rows: pd.DataFrame) -> pd.DataFrame:
-        picks = plan_session(rows.sort_values(["exercise", "weight", "muscle"], ascending=[True, False, True], ignore_index=True))
-        return pd.DataFrame({"member": [rows.member.iloc[0]], "n": [len(picks)], "exercises": [",".join(picks)]})
-
-    return r.groupBy("member").applyInPandas(plan, "member long, n int, exercises string")
+    """Exercises for each member's next session; members are planned in batches, as the table of exercises is the same for all."""
+    table = sorted((r.name, -r.weight, r.muscle) for r in muscle_map(spark, sf_dir).collect())  # a few rows per exercise
+    names = sorted({name for name, _, _ in table})
+    muscles = list(dict.fromkeys(muscle for _, _, muscle in table))
+    primary, secondary = (np.zeros((len(names), len(muscles)), bool) for _ in "ps")
+    for name, weight, muscle in table:
+        (primary if weight == -1 else secondary)[names.index(name), muscles.index(muscle)] = True
+
+    def plan(batches):
+        for rows in batches:
+            need, ready, tired = (np.stack([rows[f"{m}_{c}"] for m in muscles], 1) for c in ("need", "ready", "tired"))
+            picks = plan_sessions(need, ready, tired, primary, secondary)
+            yield pd.DataFrame({"member": rows.member, "n": (picks >= 0).sum(1).astype("int32"), "exercises": [",".join(names[i] for i in p if i >= 0) for p in picks.tolist()]})
+
+    r = recovery(hours_since_trained(spark, sf_dir))
+    wide = r.groupBy("member").pivot("muscle", muscles).agg(F.first("need").alias("need"), F.first(F.col("status") == "ready").alias("ready"), F.first(F.col("status") == "fatigued").alias("tired"))
+    return wide.mapInPandas(plan, "member long, n int, exercises string")
 
 
 @query(
