@@ -32,6 +32,8 @@ from .common import Workspace, arrow_slices
 from .tokens import tokenizer, with_end
 
 CAPACITY, END_ID = 4096, 1
+#: Counts of pieces by length and partition, three numbers each, that are broadcast at most; beyond, the pieces are joined with them.
+MOST_BASES = 1_000_000
 PIECES = "doc_id long, piece int, start long, length long, part int, rank long, ids array<int>"
 
 
@@ -150,13 +152,14 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, with_ids: bool = True) ->
     """
     spark = pieces.sparkSession
     counts = pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
+    few = counts.count() <= MOST_BASES  # then the pieces, which carry their ids, need not be shuffled
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     bases = counts.select("length", "part", F.coalesce(before, F.lit(0)).alias("before"))
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
     rows, _ = plan(histogram, capacity)
     rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
     shared = spark.sparkContext.broadcast(rows)
-    ranked = pieces.join(bases, ["length", "part"]).select(*[c for c in pieces.columns if c not in ("part", "rank")], (F.col("before") + F.col("rank")).alias("rank"))
+    ranked = pieces.join(bases.hint("broadcast" if few else "merge"), ["length", "part"]).select(*[c for c in pieces.columns if c not in ("part", "rank")], (F.col("before") + F.col("rank")).alias("rank"))
 
     dropped = ["rank"] if with_ids else ["rank", "ids"]
 

@@ -247,7 +247,9 @@ def test_token_file(spark, docs, nothing, rows):
     assert token_file.read_token_file(spark, empty).count() == 0
 
 
-def test_packing(docs, nothing, rows):
+@pytest.mark.parametrize("most_bases", [packing.MOST_BASES, 0])
+def test_packing(docs, nothing, rows, monkeypatch, most_bases):
+    monkeypatch.setattr(packing, "MOST_BASES", most_bases)
     tool = Tokenizer.from_file(vocabulary(WORD))
     got = packing.pack_documents(docs, vocabulary(WORD), capacity=64, with_ids=True).collect()
     want = defaultdict(int)
