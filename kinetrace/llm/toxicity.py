@@ -41,6 +41,8 @@ from .common import Workspace, arrow_slices, as_texts, free_name, slices
 
 MOST_ROWS, MOST_CELLS, MOST_FEATURES, LEAST_DOCS, LEAST_Z = 20_000, 8_000_000, 8_192, 4, 2.5
 BEGINNINGS = (3, 4, 5, 6, 7, 8)
+#: Bytes of text whose features are formed at once; every word has several, so it is less than elsewhere.
+SLICE = 1 << 20
 L2, COUNTERFACTUAL, STEPS, RATE, POWER = 1e-5, 5.0, 400, 0.1, 0.3
 #: Identity terms by group; terms of a group are swapped for each other.
 IDENTITY = (
@@ -111,7 +113,7 @@ class Model:
         out = np.full(len(texts), self.bias)
         if self.features:
             vocabulary, weights, terms = pa.array(self.features, pa.large_string()), np.array(self.weights), _terms(self.identity)
-            for a, b in slices(texts):
+            for a, b in slices(texts, SLICE):
                 rows, features, values = sparse_rows(texts.slice(a, b - a), vocabulary, terms)
                 out[a:b] += np.bincount(rows, weights[features] * values, b - a)
         return np.round(1 / (1 + np.exp(-np.clip(out, -30, 30))), 9)
@@ -162,7 +164,7 @@ def fit(rows: DataFrame, most_features: int = MOST_FEATURES, identity: tuple[str
     vocabulary = pa.array(names, pa.large_string())
 
     def vectors(batches):
-        for batch, texts in arrow_slices(batches, "text"):
+        for batch, texts in arrow_slices(batches, "text", SLICE):
             row, feature, value = sparse_rows(texts, vocabulary, terms)
             at = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
             lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(x)) for x in (feature, value)]
