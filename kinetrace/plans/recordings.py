@@ -5,13 +5,12 @@ Events stand in for observations (user = track, hours for seconds); boxes and he
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinetrace.functions import geometry as g
 from kinetrace.functions.scalars import half_up
-from kinetrace.operators import kernels
+from kinetrace.operators.matching import kept_apart
 from kinetrace.plans.registry import Registry
 from kinetrace.sources.tables import VISITS_SQL, load, visits
 
@@ -123,12 +122,7 @@ def standing_samples(rows: DataFrame, per_second: float = 2.0) -> DataFrame:
     good = rows.where((F.col("floor_method") == "ankles") & ~F.array_contains("quality_flags", "touches_frame_edge") & F.col("keypoints").isNotNull()).where(stands(F.col("keypoints")))
     eyes = F.array(*[(F.col("keypoints")[1][c] + F.col("keypoints")[2][c]) / 2 for c in (0, 1)])
     found = good.select("camera_id", "local_track_id", "t_local", "floor_point_px", eyes.alias("eyes"))
-
-    def thinned(track: pd.DataFrame) -> pd.DataFrame:
-        track = track.sort_values("t_local")
-        return track[kernels.thin(track.t_local.to_numpy(), 1 / per_second)]
-
-    return found.groupBy("camera_id", "local_track_id").applyInPandas(thinned, found.schema)
+    return kept_apart(found, ["camera_id", "local_track_id"], "t_local", 1 / per_second)
 
 
 _HEADS = """, q AS (SELECT *, list_filter(list_transform(range(5), lambda k: {'x': x1 + 10 + (id * (k + 2) % 20), 'y': y1 + 5 + (id * (k + 3) % 15), 'c': (id * (k + 3) % 10) / 10.0}), lambda p: p.c >= 0.3) AS p FROM o),

@@ -5,13 +5,12 @@ Events stand in for a one-dimensional track: member = track, value = position, t
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinetrace.functions.scalars import half_up
-from kinetrace.operators import kernels
+from kinetrace.operators.filters import on_regular_grid, polynomial_weights, rolling_mean, rolling_median, smoothed
+from kinetrace.operators.matching import kept_apart
 from kinetrace.operators.relational import closed_gaps, overlapping, runs, sessions
 from kinetrace.plans.registry import Registry
 from kinetrace.sources.tables import VISITS_SQL, visits
@@ -243,28 +242,42 @@ def idswitch_count(spark, sf_dir):
     return m.groupBy("conv_id").agg(F.count(F.lit(1)).alias("ticks"), F.count_if(F.col("role") != F.col("before")).alias("switches"), F.countDistinct("role").alias("identities"))
 
 
-@query()
+@query(
+    _WITH.replace("WITH ", "WITH RECURSIVE ", 1)
+    + """, n AS (SELECT track, id, t, row_number() OVER (PARTITION BY track ORDER BY t, id) AS i FROM o),
+    k AS (
+        SELECT track, i, t FROM n WHERE i = 1
+        UNION ALL SELECT k.track, (SELECT min(n.i) FROM n WHERE n.track = k.track AND n.t >= k.t + 6 - 1e-9) AS i, (SELECT min(n.t) FROM n WHERE n.track = k.track AND n.t >= k.t + 6 - 1e-9) AS t FROM k WHERE k.t IS NOT NULL)
+    SELECT n.track, n.id FROM n JOIN k ON n.track = k.track AND n.i = k.i"""
+)
 def thinned(spark, sf_dir):
-    """Rows at least six hours after the last kept one; greedy, so made per track on sorted arrays."""
+    """Rows at least six hours after the last kept one."""
+    return kept_apart(observations(spark, sf_dir).select("track", "id", "t"), ["track"], "t", 6.0, ["id"]).select("track", "id")
 
-    def keep(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["t", "id"])
-        return rows[kernels.thin(rows.t.to_numpy(), 6.0)][["track", "id"]]
 
-    return observations(spark, sf_dir).select("track", "id", "t").groupBy("track").applyInPandas(keep, "track long, id long")
+_WEIGHTS = {s: polynomial_weights(s, 2) for s in (3, 5, 7)}
+_FILTERS = """, g AS (SELECT track, t, x, lead(t) OVER w AS t2, lead(x) OVER w AS x2, min(t) OVER (PARTITION BY track) AS t0 FROM o WINDOW w AS (PARTITION BY track ORDER BY t, id)),
+    p AS (SELECT *, unnest(range(ceil((t - t0) / 3 - 1e-9)::BIGINT, CASE WHEN t2 IS NULL THEN floor((t - t0) / 3 + 1e-9)::BIGINT + 1 ELSE ceil((t2 - t0) / 3 - 1e-9)::BIGINT END)) AS i FROM g),
+    y AS (SELECT track, i, CASE WHEN t0 + i * 3 - t <= 1e-9 THEN x WHEN t2 - t <= 12 THEN x + (x2 - x) / (t2 - t) * (t0 + i * 3 - t) END AS y FROM p),
+    f AS (SELECT *, count(*) OVER (PARTITION BY track) AS n, max(CASE WHEN y IS NOT NULL THEN i END) OVER b AS i1, min(CASE WHEN y IS NOT NULL THEN i END) OVER a AS i2 FROM y
+        WINDOW b AS (PARTITION BY track ORDER BY i), a AS (PARTITION BY track ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+    z AS (SELECT f.track, f.i, f.n, CASE WHEN f.y IS NOT NULL THEN f.y WHEN f.i1 IS NULL THEN c.y WHEN f.i2 IS NULL THEN b.y ELSE b.y + (c.y - b.y) * ((f.i - f.i1) / (f.i2 - f.i1)::DOUBLE) END AS y
+        FROM f LEFT JOIN y b ON b.track = f.track AND b.i = f.i1 LEFT JOIN y c ON c.track = f.track AND c.i = f.i2),
+    l AS (SELECT track, any_value(n) AS n, list(y ORDER BY i) AS ys FROM z GROUP BY track),
+    s AS (SELECT track, n, i, ys[i + 1] AS x, CASE WHEN n < 3 THEN NULL WHEN n < 5 THEN 3 WHEN n < 7 THEN 5 ELSE 7 END AS size, ys FROM l, unnest(range(n)) u(i)),
+    q AS (SELECT *, greatest(0, least(i - size // 2, n - size)) AS start FROM s),
+    m AS (SELECT track, n, i, x, CASE WHEN size IS NULL THEN x ELSE list_sum(list_transform(range(size), lambda j: (CASE size WHEN 3 THEN %s WHEN 5 THEN %s ELSE %s END)[i - start + 1][j + 1] * ys[start + j + 1])) END AS smooth FROM q)""" % tuple(_WEIGHTS[s] for s in (3, 5, 7))
 
 
-@query()
+@query(
+    _WITH + _FILTERS + """, v AS (SELECT track, list(smooth ORDER BY i) AS ss FROM m GROUP BY track)
+    SELECT track, i, floor(x * 1e6 + 0.5) / 1e6 AS x, floor(smooth * 1e6 + 0.5) / 1e6 AS smooth,
+        floor((smooth - list_sort(list_transform(range(21), lambda j: ss[1 + greatest(0, least(n - 1, i + j - 10))]))[11]) * 1e6 + 0.5) / 1e6 AS flat,
+        floor(list_sum(list_transform(range(8), lambda j: ss[1 + greatest(0, least(n - 1, i + j - 4))])) / 8 * 1e6 + 0.5) / 1e6 AS mean FROM m JOIN v USING (track)"""
+)
 def resampled(spark, sf_dir):
-    """Each track on a three-hour grid: interpolated within gaps of twelve hours, smoothed, and its slow part removed."""
-
-    def resample(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["t", "id"])
-        t, x = rows.t.to_numpy(), rows.x.to_numpy()
-        grid = np.arange(t[0], t[-1] + 1e-9, 3.0)
-        y = kernels.fill_missing(kernels.interpolate(grid, t, x, np.isfinite(x), 12.0))
-        smooth = kernels.savgol(y, 7, 2)
-        flat = smooth - kernels.rolling_median(smooth, 21)
-        return pd.DataFrame({"track": rows.track.iloc[0], "i": np.arange(len(grid)), "x": np.round(y, 6), "smooth": np.round(smooth, 6), "flat": np.round(flat, 6)})
-
-    return observations(spark, sf_dir).groupBy("track").applyInPandas(resample, "track long, i long, x double, smooth double, flat double")
+    """Each track on a three-hour grid: interpolated within gaps of twelve hours, smoothed, its slow part removed, and its moving mean."""
+    grid = on_regular_grid(observations(spark, sf_dir), ["track"], "t", "x", 3.0, 12.0, ["id"])
+    rows = smoothed(grid, ["track"], "y", "smooth", 7)
+    rows = rolling_mean(rolling_median(rows, ["track"], "smooth", "slow", 21), ["track"], "smooth", "mean", 8)
+    return rows.select("track", "i", r6(F.col("y")).alias("x"), r6(F.col("smooth")).alias("smooth"), r6(F.col("smooth") - F.col("slow")).alias("flat"), r6(F.col("mean")).alias("mean"))
