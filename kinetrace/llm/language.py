@@ -216,11 +216,12 @@ def predictions(model: Model | None, texts: list[str]) -> tuple[list[str], np.nd
 def _sample(labelled: DataFrame, size: int) -> DataFrame:
     """lang, text of at most ``size`` rows of each language, those of the least hash of their id; one for each id and language.
 
-    Hashes are even, so rows behind twice the wanted share are left before any text is shuffled.
+    Hashes are even, so rows behind twice the wanted share are left before any text is shuffled.  The counts are
+    broadcast: they have a row for each language, as the model has.
     """
     place = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
     counts = labelled.groupBy("lang").agg(F.count_distinct("id").alias("n"))
-    near = labelled.join(counts, "lang").where(place * F.col("n") <= F.lit(1 << 40) * (2.0 * size + 100))
+    near = labelled.join(F.broadcast(counts), "lang").where(place * F.col("n") <= F.lit(1 << 40) * (2.0 * size + 100))
     single = near.groupBy("lang", "id").agg(F.min("text").alias("text"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(place, "id"))
     return single.withColumn("rank", rank).where(F.col("rank") <= size).select("lang", "text")
