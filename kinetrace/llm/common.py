@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Texts handled at once inside a task, in bytes; a longer single text is a slice of its own.
 SLICE_BYTES = 4 << 20
@@ -82,6 +83,18 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _hashable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return all(_hashable(f.dataType) for f in kind.fields)
+    return _hashable(kind.elementType) if isinstance(kind, T.ArrayType) else not isinstance(kind, (T.MapType, T.VariantType))
+
+
+def salt(rows: DataFrame, on: list[str], copies: Column) -> Column:
+    """A number below ``copies`` from the row's columns beside ``on``, so a row gets the same one whenever and wherever it is formed again."""
+    others = [rows[f.name] for f in rows.schema.fields if f.name not in on and _hashable(f.dataType)]
+    return F.pmod(F.xxhash64(*others), copies) if others else F.lit(0)
+
+
 def spread_join(rows: DataFrame, keys: DataFrame, on: list[str], count: str, how: str = "inner", least: int = 1000, total: int | None = None) -> DataFrame:
     """``rows`` joined with ``keys`` by the columns ``on``; a key of very many rows is dealt over many tasks.
 
@@ -89,7 +102,7 @@ def spread_join(rows: DataFrame, keys: DataFrame, on: list[str], count: str, how
     known), and come out the same each time it is computed; the result has all columns of both but not ``count``.  A key is hot if it has more than a quarter of an even task's share
     of all those rows, and more than ``least``, below which no task is worth sparing.  So at most 4 x shuffle partitions are hot, whatever the data, and only a hash and the number of
     copies of each is broadcast.  A hot key's row is copied once for each such share and its rows are dealt over the
-    copies.  All is a merge join, as neither side has a bound.
+    copies by a hash of their other columns: not by their place, which can change when a lost task is formed again.  All is a merge join, as neither side has a bound.
     """
     parts = partitions(rows.sparkSession)
     total = keys.agg(F.sum(count)).first()[0] or 0 if total is None else total
@@ -102,7 +115,7 @@ def spread_join(rows: DataFrame, keys: DataFrame, on: list[str], count: str, how
         return rows.join(keys.drop(count).hint("merge"), on, how)
     # equal hashes of different keys only make a further key hot, on both sides
     known = rows.join(F.broadcast(hot), F.xxhash64(*[rows[c] for c in on]) == F.col("_h"), "left")
-    dealt = known.withColumn("_salt", F.when(F.col("_n").isNotNull(), F.pmod(F.monotonically_increasing_id(), F.col("_n"))).otherwise(F.lit(0)).cast("int")).drop("_h", "_n")
+    dealt = known.withColumn("_salt", F.when(F.col("_n").isNotNull(), salt(rows, on, F.col("_n"))).otherwise(F.lit(0)).cast("int")).drop("_h", "_n")
     spread = keys.join(F.broadcast(hot), F.xxhash64(*[keys[c] for c in on]) == F.col("_h"), "left")
     spread = spread.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_n") - 1, F.lit(0))))).drop("_h", "_n", count)
     return dealt.join(spread.hint("merge"), [*on, "_salt"], how).drop("_salt")

@@ -263,3 +263,12 @@ def test_language_held_out_accuracy(spark):
     got = queries()["op13_language_id"](spark, "/root/testdata/sf0.01").where("held_out").join(docs.select("doc_id", "lang"), "doc_id")
     right, every = got.agg(F.count_if(F.col("lang") == F.col("lang_pred")), F.count(F.lit(1))).first()
     assert every > 200 and right / every > 0.98
+
+
+def test_salts_do_not_depend_on_where_rows_are(spark):
+    """The same rows in other partitions and another order get the same salts, and they are spread evenly."""
+    from kinetrace.llm.common import salt
+
+    rows = spark.range(3000).select("id", F.lit(7).alias("k"), F.array("id").alias("a"), F.create_map(F.lit("m"), F.col("id")).alias("m"), F.struct("id").alias("s"))
+    found = [{r["id"]: r.salt for r in some.select("id", salt(some, ["k"], F.lit(6)).alias("salt")).collect()} for some in (rows, rows.repartition(7, "id"), rows.orderBy(F.desc("id")).coalesce(2))]
+    assert found[0] == found[1] == found[2] and min(Counter(found[0].values()).values()) > 400 and set(found[0].values()) == set(range(6))
