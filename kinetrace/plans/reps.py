@@ -1,8 +1,13 @@
-"""Repetitions counted from made-up pose tracks, with the counts that were put into them."""
+"""Repetitions counted from pose tracks that are formed from the suppliers.
+
+A supplier stands for a person in a video, two of them for a video.  The row says how the person is built and what they
+do; the figure is a chain of limbs whose joints turn, so every position follows from lengths and angles.  How many
+repetitions were put in is known from the row, so SQL can say what the counter has to find.
+"""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,158 +16,128 @@ from pyspark.sql import functions as F
 
 from kinetrace.operators.reps import count_sets
 from kinetrace.plans.registry import Registry
-from kinetrace.sources.documents import TRACKS, explode_tracks, session_document
+from kinetrace.sources.documents import session_document
+from kinetrace.sources.tables import load
 
 query = Registry()
-FPS = 30
-#: A standing figure in body heights from the feet, y down: half width and height of each pair of joints (nose, eyes, ears, shoulders, ...).
-_HALF = (0.0, 0.02, 0.04, 0.11, 0.14, 0.14, 0.08, 0.08, 0.08)
-_TALL = (0.92, 0.94, 0.93, 0.81, 0.63, 0.46, 0.50, 0.27, 0.03)
-_SIDE = np.array([0, *[-1, 1] * 8])
-_PAIR = np.array([0, *np.repeat(np.arange(1, 9), 2)])
-STAND = np.c_[_SIDE * np.array(_HALF)[_PAIR], -np.array(_TALL)[_PAIR]]
-NOSE, EYES, EARS, SHOULDERS, ELBOWS, WRISTS, HIPS, KNEES, ANKLES = range(9)
-UPPER = (NOSE, EYES, EARS, SHOULDERS, ELBOWS, WRISTS, HIPS)
-#: Where pairs of joints are at rest and at the top of a repetition, relative to standing: outward and down.
-MOVES = {
-    "curl": ({}, {WRISTS: (0.0, -0.28)}),
-    "press": ({ELBOWS: (0.06, -0.09), WRISTS: (0.04, -0.40)}, {ELBOWS: (0.01, -0.34), WRISTS: (-0.04, -0.66)}),
-    "squat": ({}, {**{j: (0.0, 0.2) for j in UPPER}, KNEES: (0.03, 0.05)}),
-    "raise": ({}, {WRISTS: (0.31, -0.34), ELBOWS: (0.16, -0.17)}),
-    "dip": ({}, {**{j: (0.0, 0.25) for j in range(9) if j != WRISTS}, ELBOWS: (0.06, 0.25)}),
-    "reach": ({}, {**{j: (0.0, -0.03) for j in UPPER}, ELBOWS: (0.0, -0.15), WRISTS: (0.0, -0.15)}),
-    "rise": ({}, {j: (0.0, -0.15) for j in UPPER}),
-    "fidget": ({}, {WRISTS: (0.0, -0.22)}),
-}
-
-
-@dataclass(frozen=True)
-class Figure:
-    """A person of a made-up video: sets of (move, repetitions, seconds each, pause before), other moves (move, begin, seconds)."""
-
-    sets: tuple = ()
-    other: tuple = ()
-    height: float = 300.0
-    noise: float = 0.012
-    dropout: float = 0.05
-    hidden: tuple = ()
-    walk: float = 0.0
-    at: tuple = (800.0, 900.0)
-    lead: float = 8.0
-    pause: tuple = (0.2, 0.8)
-    after: tuple = ()  # other moves, counted from the end of the sets
-
-
-@dataclass(frozen=True)
-class Scenario:
-    figures: tuple
-    reps: tuple
-    seconds: float = 0.0
-    seed: int = field(default=0)
-
-
-def _simple(*sets, **more) -> Scenario:
-    return Scenario((Figure(sets=sets, **more),), tuple(s[1] for s in sets))
-
-
-#: Every scenario with the repetitions of its sets.
-SCENARIOS = {
-    "curls": _simple(("curl", 12, 2.0, 0)),
-    "presses": _simple(("press", 8, 3.0, 0)),
-    "squats": _simple(("squat", 10, 2.5, 0)),
-    "raises": _simple(("raise", 15, 1.8, 0)),
-    "dips": _simple(("dip", 10, 3.0, 0)),
-    "heavy jitter": _simple(("curl", 10, 2.2, 0), noise=0.025),
-    "small figure": _simple(("curl", 10, 2.2, 0), noise=0.02, height=60.0),
-    "one joint in five unseen": _simple(("press", 8, 3.0, 0), dropout=0.2),
-    "hidden for a moment": _simple(("squat", 10, 2.5, 0), hidden=(15.0, 15.6)),
-    "slow": _simple(("squat", 6, 5.0, 0)),
-    "fast": _simple(("curl", 15, 1.0, 0)),
-    "no pauses": _simple(("press", 10, 2.2, 0), height=280.0, pause=(0.0, 0.05)),
-    "bar taken and put back": _simple(("squat", 8, 3.0, 0), height=280.0, lead=9.0, other=(("reach", 5.5, 2.5),), after=(("reach", 0.8, 2.7),)),
-    "walker": Scenario((Figure(height=250.0, walk=175.0, at=(100.0, 700.0)),), (), seconds=14.0),
-    "fidgeter": Scenario((Figure(height=280.0, noise=0.015, other=(("fidget", 3, 2), ("fidget", 9.5, 1.5), ("fidget", 12, 2.5), ("fidget", 22, 1), ("fidget", 31, 3))),), (), seconds=40.0),
-    "two sets": _simple(("curl", 10, 2.0, 0), ("press", 8, 3.0, 60.0), height=260.0),
-    "uneven tail": _simple(("curl", 10, 1.8, 0), height=280.0, lead=4.0, pause=(0.1, 0.3), after=(("rise", 1.0, 2.5), ("rise", 6.0, 3.5), ("rise", 10.5, 1.2))),
-    "crowd": Scenario((
-        Figure(sets=(("squat", 8, 3.0, 0),), height=220.0, at=(500.0, 700.0), lead=5.0), Figure(sets=(("curl", 12, 1.8, 0),), height=240.0, at=(1300.0, 750.0), lead=12.0), Figure(height=300.0, walk=-150.0, at=(1900.0, 900.0)),
-    ), (8, 12)),
-}
-
-
-def _offset(place: dict) -> np.ndarray:
-    out = np.zeros((17, 2))
-    for pair, (outward, down) in place.items():
-        rows = _PAIR == pair
-        out[rows] = np.c_[_SIDE[rows] * outward, np.full(rows.sum(), down)]
+FPS = 15
+#: Lengths of limbs and half widths of the frame, as shares of the body's height.
+SHANK, THIGH, TRUNK, UPPER_ARM, FOREARM, HEAD = 0.25, 0.24, 0.30, 0.17, 0.15, 0.12
+ANKLE_HEIGHT, HIP_HALF, SHOULDER_HALF = 0.04, 0.07, 0.115
+#: Angles in radians at rest and at the turn: of the knees, of the upper arms from hanging, and of the elbows.
+EXERCISES = [
+    {"knee": (0.1, 1.9)},
+    {"elbow": (0.2, 2.5)},
+    {"arm": (1.0, 2.8), "elbow": (2.0, 0.2)},
+    {"arm": (0.15, 1.55)},
+]
+LEAD, PAUSE, BREAK = 3.0, 0.3, 10.0
+
+_PEOPLE = """SELECT s_suppkey AS k, 'v' || lpad((s_suppkey // 2)::VARCHAR, 9, '0') AS video, 4 + s_suppkey % 7 AS reps,
+    s_suppkey % 11 = 5 AS passes, CASE WHEN s_suppkey % 13 = 4 THEN 3 + s_suppkey % 4 END AS more FROM supplier"""
+
+
+def people(spark, sf_dir) -> DataFrame:
+    """k, video, exercise, reps of the first and second set, whether the person only passes, pace in s, height in pixels, whether the track breaks."""
+    k = F.col("s_suppkey").cast("long")
+    return load(spark, sf_dir, "supplier").select(
+        k.alias("k"), F.concat(F.lit("v"), F.lpad(F.floor(k / 2).cast("string"), 9, "0")).alias("video"), (k % 4).cast("int").alias("exercise"), (4 + k % 7).cast("int").alias("reps"),
+        F.when(k % 13 == 4, 3 + k % 4).otherwise(0).cast("int").alias("more"), (k % 11 == 5).alias("passes"), (1.7 + k % 5 * 0.3).alias("pace"),
+        (220 + F.col("s_nationkey") * 7 % 110).cast("double").alias("height"), (k % 9 == 7).alias("breaks"),
+    )
+
+
+def effort(t: np.ndarray, sets: list[int], pace: float) -> tuple[np.ndarray, float]:
+    """How far into a repetition the person is at each moment, 0 at rest and 1 at the turn, and when the last set ends."""
+    begins, now = [], LEAD
+    for n in sets:
+        begins += [now + i * (pace + PAUSE) for i in range(n)]
+        now += n * (pace + PAUSE) + BREAK
+    into = t - np.array(begins)[np.maximum(np.searchsorted(begins, t, "right") - 1, 0)] if begins else np.full(len(t), -1.0)
+    return np.where((into >= 0) & (into < pace), np.sin(np.pi * np.clip(into, 0, pace) / pace) ** 2, 0.0), now - (BREAK if sets else 0)
+
+
+def figure(angles: dict[str, np.ndarray], stride: np.ndarray) -> np.ndarray:
+    """Positions (moments, 17 joints, right and up) of a body of height 1 that stands at 0; ``stride`` swings the legs and arms apart."""
+    knee, arm, elbow = (angles[c] for c in ("knee", "arm", "elbow"))
+    hip = ANKLE_HEIGHT + (SHANK + THIGH) * np.cos(knee / 2)
+    shoulder = hip + TRUNK
+    out = np.zeros((len(knee), 17, 2))
+
+    def put(joint: int, x, y) -> None:
+        out[:, joint, 0], out[:, joint, 1] = x, y
+
+    put(0, 0, shoulder + 0.75 * HEAD)
+    for side, sign in ((0, -1), (1, 1)):
+        put(1 + side, sign * 0.018, shoulder + 0.85 * HEAD)
+        put(3 + side, sign * 0.04, shoulder + 0.8 * HEAD)
+        put(5 + side, sign * SHOULDER_HALF, shoulder)
+        elbow_x, elbow_y = sign * (SHOULDER_HALF + UPPER_ARM * np.sin(arm)), shoulder - UPPER_ARM * np.cos(arm)
+        put(7 + side, elbow_x - sign * 0.04 * stride, elbow_y)
+        bent = arm + elbow  # from hanging; the forearm turns toward the viewer, so little of its turn is seen sideways
+        put(9 + side, elbow_x + sign * FOREARM * (np.sin(arm) * np.cos(elbow) + 0.2 * np.sin(elbow)) - sign * 0.08 * stride, elbow_y - FOREARM * np.cos(bent))
+        put(11 + side, sign * HIP_HALF, hip)
+        put(13 + side, sign * (HIP_HALF + 0.04 * np.sin(knee / 2)) + sign * 0.06 * stride, ANKLE_HEIGHT + SHANK * np.cos(knee / 2))
+        put(15 + side, sign * HIP_HALF + sign * 0.11 * stride, ANKLE_HEIGHT)
     return out
 
 
-def _figure(f: Figure, rng: np.random.Generator, seconds: float) -> tuple[list, float]:
-    """Boxes and keypoints of a figure by frame (None where it is hidden), and when its sets have ended."""
-    schedule, now = [], f.lead
-    for move, reps, period, before in f.sets:
-        now += before
-        rest, top = map(_offset, MOVES[move])
-        for _ in range(reps):
-            length = period * rng.uniform(0.8, 1.2)
-            schedule.append((now, now + length, rest, top))
-            now += length + rng.uniform(*f.pause)
-    for move, begin, length in (*f.other, *((m, now + b, n) for m, b, n in f.after)):
-        schedule.append((begin, begin + length, *map(_offset, MOVES[move])))
-    total = max(seconds, now + f.lead, *(end + 4 for _, end, *_ in schedule or [(0, 0)]))
-    frames = []
-    for i in range(int(total * FPS)):
-        t = i / FPS
-        busy = [s for s in schedule if s[0] <= t < s[1]]
-        begun = [s for s in schedule if s[0] <= t] or schedule
-        offset = begun[-1][2] if begun else np.zeros((17, 2))
-        for begin, end, rest, top in busy:
-            offset = rest + (1 - np.cos(2 * np.pi * (t - begin) / (end - begin))) / 2 * (top - rest)
-        if f.walk:
-            swing = np.sin(2 * np.pi * t)
-            offset = offset + np.outer(_SIDE * swing * np.array([0, 0, 0, 0, 0, 0.06, 0, 0.06, 0.12])[_PAIR], [1, 0])
-        kp = (STAND + offset) * f.height + [f.at[0] + f.walk * t, f.at[1]] + rng.normal(0, f.noise * f.height, (17, 2))
-        sure = np.where(rng.random(17) < f.dropout, 0.1, rng.uniform(0.6, 0.95, 17))
-        box = [*(kp.min(0) - 0.05 * f.height), *(kp.max(0) + 0.03 * f.height)]
-        frames.append(None if f.hidden and f.hidden[0] <= t < f.hidden[1] else (box, np.c_[kp, sure].tolist()))
-    return frames, total
-
-
-def pose_documents(spark, names: list[str]) -> DataFrame:
-    """The pose documents of the named scenarios, a row each."""
-
-    def build(batches):
-        for rows in batches:
-            for name in rows.video:
-                scenario, rng = SCENARIOS[name], np.random.default_rng(list(SCENARIOS).index(name))
-                figures = [_figure(f, rng, scenario.seconds)[0] for f in scenario.figures]
-                frames = [{"i": i, "t": i / FPS, "people": [{"id": n, "box": f[i][0], "score": 0.9, "kp": f[i][1]} for n, f in enumerate(figures, 1) if i < len(f) and f[i]]} for i in range(max(map(len, figures)))]
-                yield pd.DataFrame({"video": [name], "width": [1920], "height": [1080], "fps": [float(FPS)], "frames": [frames]})
-
-    return spark.createDataFrame([(n,) for n in names], "video string").repartition(len(names), "video").mapInPandas(build, TRACKS)
-
-
-def scenario_sets(spark) -> DataFrame:
-    return count_sets(explode_tracks(pose_documents(spark, list(SCENARIOS))))
-
-
-_EXPECTED = "(VALUES " + ", ".join(f"('{name}', {reps})" for name, s in SCENARIOS.items() for reps in s.reps) + ") e(video, reps)"
-
-
-@query(f"SELECT video, reps, count(*) AS sets FROM {_EXPECTED} GROUP BY video, reps")
+def detections_of(person) -> pd.DataFrame:
+    """video, track, t, box, kp of one person."""
+    rng = np.random.default_rng(int(person.k))
+    sets = [] if person.passes else [n for n in (person.reps, person.more) if n]
+    _, end = effort(np.zeros(0), sets, person.pace)
+    t = np.arange(int((end + LEAD + (8 if person.passes else 0)) * FPS)) / FPS
+    share, _ = effort(t, sets, person.pace)
+    rest = {"knee": 0.1, "arm": 0.15, "elbow": 0.2}
+    turn = EXERCISES[person.exercise]
+    angles = {c: turn.get(c, (a, a))[0] + (turn.get(c, (a, a))[1] - turn.get(c, (a, a))[0]) * share for c, a in rest.items()}
+    speed = 170.0 if person.passes else 0.0
+    at = figure(angles, np.sin(2 * np.pi * 0.9 * t) if person.passes else np.zeros(len(t))) * [1, -1] * person.height
+    foot = np.array([480.0 + 960 * (person.k % 2), 900.0])
+    at = at + foot + np.c_[speed * t, np.zeros(len(t))][:, None, :] + rng.normal(0, 0.008 * person.height, at.shape)
+    sure = np.where(rng.random(at.shape[:2]) < 0.04, 0.15, rng.uniform(0.65, 0.95, at.shape[:2]))
+    margin = 0.04 * person.height
+    box = np.c_[at.min(1) - margin, at.max(1) + margin]
+    middle = t[len(t) // 2]
+    track = person.k * 2 + (t >= middle) * bool(person.breaks)
+    seen = ~((t >= middle - 0.4) & (t < middle)) if person.breaks else np.ones(len(t), bool)
+    kp = np.concatenate([at, sure[..., None]], 2)
+    return pd.DataFrame({"video": person.video, "track": track[seen], "t": t[seen], "box": list(box[seen]), "kp": [x.tolist() for x in kp[seen]]})
+
+
+def detections(spark, sf_dir) -> DataFrame:
+    """Pose detections of all videos."""
+
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for person in batch.itertuples(index=False):
+                yield detections_of(person)
+
+    rows = people(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "k")
+    return rows.mapInPandas(build, "video string, track long, t double, box array<double>, kp array<array<double>>")
+
+
+def sets_found(spark, sf_dir) -> DataFrame:
+    return count_sets(detections(spark, sf_dir))
+
+
+@query(
+    f"""WITH p AS ({_PEOPLE}), s AS (SELECT video, reps FROM p WHERE NOT passes UNION ALL SELECT video, more FROM p WHERE NOT passes AND more IS NOT NULL)
+    SELECT video, reps::INT AS reps, count(*) AS sets FROM s GROUP BY video, reps"""
+)
 def rep_counts(spark, sf_dir):
-    """Repetitions of the sets found in every scenario; the expected ones were put in, none for a walker or a fidgeter."""
-    return scenario_sets(spark).groupBy("video", "reps").agg(F.count(F.lit(1)).alias("sets"))
+    """Repetitions of the sets found in every video; none for those who only pass."""
+    return sets_found(spark, sf_dir).groupBy("video", "reps").agg(F.count(F.lit(1)).alias("sets"))
 
 
 @query()
 def rep_sets(spark, sf_dir):
     """All that is known of each set: times of peak, rest, half way and completion, pace, joints, a rough label."""
-    return scenario_sets(spark)
+    return sets_found(spark, sf_dir)
 
 
 @query()
 def session_documents(spark, sf_dir):
     """The nested session document of each video."""
-    return session_document(scenario_sets(spark))
+    return session_document(sets_found(spark, sf_dir))
