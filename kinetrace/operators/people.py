@@ -1,9 +1,10 @@
 """People of a site from the tracks of several cameras, as joins, windows and rounds of joins.
 
-Rows are observations: site, tick, key (of the track), camera, x, y, sigma, edge (cut by the picture's edge).
+Rows are observations: site, tick, key (of the track), camera, x, y, sigma, edge (cut by the picture's edge) and, if there
+is such a column, look, a vector of the person's appearance (null where none was taken).
 
 1. Evidence.  Pairs of tracks of two cameras that ever come within the gate, found by cells of place in each tick, get a
-   log likelihood ratio for each common tick, added up over time.
+   log likelihood ratio for each common tick, added up over time, and once the likeness of their looks.
 2. Links.  In each tick a pair is confirmed if its score and its lead over the other pairs of either track suffice and it
    is part of the best one-to-one assignment; only a tick's pairs that compete with others go through that kernel.  A link
    holds from its confirmation until its score falls below the floor.
@@ -11,8 +12,8 @@ Rows are observations: site, tick, key (of the track), camera, x, y, sigma, edge
    (``matching.merged``), for all stretches of time at once.  A cluster is the person of its oldest track, so numbers are
    stable: an older cluster that joins takes the younger one in, a part that splits off is the person of its own oldest track.
 4. Re-acquisition.  A track that starts anew is compared with the people that this camera has lost; who they are depends
-   on earlier re-acquisitions, so 3 and 4 are repeated until nothing changes: each repetition settles at least the next
-   decision of every site.
+   on earlier re-acquisitions, so 3 and 4 are repeated until nothing changes.  Such a link holds from the tick after its
+   decision, so decisions depend on those of earlier ticks only, and each repetition settles at least the next one of a site.
 5. World.  The people of a tick are those known ``lag_s`` later: positions weighted by certainty, people out of sight for
    some seconds, lifecycle and confidence.
 
@@ -29,6 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinetrace.functions import geometry as g
+from kinetrace.functions.scalars import ramp
 from kinetrace.operators import kernels
 from kinetrace.operators.identity import Settings
 from kinetrace.operators.matching import Rounds, merged
@@ -36,13 +38,27 @@ from kinetrace.operators.matching import Rounds, merged
 FOREVER = 1 << 60
 #: Fixed values of the re-acquisition score: spread where another camera sees the person, growth and greatest spread of a lost one, reach of a step, evidence limit, and the gap beyond which place alone is not enough.
 LIVE_SIGMA, LOST_SIGMA, SIGMA_PER_S, MOST_SIGMA, STEP_M, LIMIT, ALONE_S = 0.6, 0.5, 0.7, 6.0, 0.8, 4.0, 5.0
+#: Evidence of the cosine of two looks, how many rows of a track must have one, likeness that bridges a longer gap and unlikeness that none does, and what place must give a link.
+LOOKS = [(0.0, -2.0), (0.3, -1.0), (0.5, 0.0), (0.7, 1.0), (1.0, 2.0)]
+LEAST_LOOKS, LIKE, UNLIKE, LEAST_PLACE = 3, 0.5, -0.5, 3.0
+
+
+def with_looks(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("look", F.col("look") if "look" in rows.columns else F.lit(None).cast("array<double>"))
+
+
+def likeness(a: Column, b: Column) -> Column:
+    """Evidence of two looks; null without both."""
+    alike = g.cosine(a, b)
+    return F.when(alike.isNotNull(), ramp(alike, LOOKS))
 
 
 def tracks(rows: DataFrame) -> DataFrame:
-    """site, key, camera, begin, end, ticks, x0, y0, x1, y1, edge (share of rows), number (by begin, then key)."""
+    """site, key, camera, begin, end, ticks, x0, y0, x1, y1, edge (share of rows), look (the first), number (by begin, then key)."""
     at = lambda f, c: f(c, "tick")
-    found = rows.groupBy("site", "key").agg(
-        F.min("camera").alias("camera"), F.min("tick").alias("begin"), F.max("tick").alias("end"), F.count(F.lit(1)).alias("ticks"), F.avg(F.col("edge").cast("int")).alias("edge"),
+    look = F.when(F.count("look") >= LEAST_LOOKS, F.min_by("look", F.when(F.col("look").isNotNull(), F.col("tick"))))
+    found = with_looks(rows).groupBy("site", "key").agg(
+        F.min("camera").alias("camera"), F.min("tick").alias("begin"), F.max("tick").alias("end"), F.count(F.lit(1)).alias("ticks"), F.avg(F.col("edge").cast("int")).alias("edge"), look.alias("look"),
         *[at(f, c).alias(f"{c}{n}") for n, f in ((0, F.min_by), (1, F.max_by)) for c in "xy"],
     )
     return found.withColumn("number", F.row_number().over(Window.partitionBy("site").orderBy("begin", "key")).cast("long"))
@@ -59,16 +75,19 @@ def near_pairs(rows: DataFrame, s: Settings) -> DataFrame:
     return pairs.select("site", F.col("key_a").alias("a"), F.col("key_b").alias("b")).distinct()
 
 
-def evidence(rows: DataFrame, near: DataFrame, s: Settings) -> DataFrame:
-    """site, tick, a, b, ca, cb, d, score and n so far: every common tick of the near pairs."""
+def evidence(rows: DataFrame, near: DataFrame, who: DataFrame, s: Settings) -> DataFrame:
+    """site, tick, a, b, ca, cb, d, and so far place (evidence of it), score and n: every common tick of the near pairs."""
+    for n in "ab":
+        near = near.join(who.select("site", F.col("key").alias(n), F.col("look").alias(f"look_{n}")), ["site", n])
+    near = near.select("site", "a", "b", F.coalesce(likeness(F.col("look_a"), F.col("look_b")), F.lit(0.0)).alias("alike"))
     side = lambda n: rows.select("site", "tick", F.col("key").alias(n), *[F.col(c).alias(f"{c}_{n}") for c in ("camera", "x", "y", "sigma", "edge")])
     both = near.join(side("a"), ["site", "a"]).join(side("b"), ["site", "b", "tick"])
     d, v = F.hypot(F.col("x_a") - F.col("x_b"), F.col("y_a") - F.col("y_b")), F.col("sigma_a") * F.col("sigma_a") + F.col("sigma_b") * F.col("sigma_b")
     llr = g.geometry_evidence(d, v, F.lit(True), F.col("edge_a") | F.col("edge_b"), s.gate_m, s.competitor_m)
     w = Window.partitionBy("site", "a", "b").orderBy("tick")
+    place = F.sum(llr).over(w) * (s.tick_s / s.tau_s)
     return both.select(
-        "site", "tick", "a", "b", F.col("camera_a").alias("ca"), F.col("camera_b").alias("cb"), d.alias("d"),
-        (F.sum(llr).over(w) * (s.tick_s / s.tau_s)).alias("score"), F.row_number().over(w).alias("n"),
+        "site", "tick", "a", "b", F.col("camera_a").alias("ca"), F.col("camera_b").alias("cb"), d.alias("d"), place.alias("place"), (place + F.col("alike")).alias("score"), F.row_number().over(w).alias("n"),
     )
 
 
@@ -82,7 +101,7 @@ def leads(seen: DataFrame, s: Settings) -> DataFrame:
 
     (row, more), (column, more_too) = others("a", "cb"), others("b", "ca")
     rival = F.greatest(F.lit(0.0), row, column)
-    return ready.withColumns({"lead": F.col("score") - rival, "rivalled": more | more_too}).withColumn("sure", (F.col("score") >= s.link) & (F.col("lead") >= s.margin))
+    return ready.withColumns({"lead": F.col("score") - rival, "rivalled": more | more_too}).withColumn("sure", (F.col("score") >= s.link) & (F.col("place") >= LEAST_PLACE) & (F.col("lead") >= s.margin))
 
 
 def _assigned(cells: pd.DataFrame) -> pd.DataFrame:
@@ -146,7 +165,7 @@ def apart(groups: DataFrame, who: DataFrame, seen: DataFrame, s: Settings) -> Da
 def reacquired(rows: DataFrame, who: DataFrame, known: DataFrame, s: Settings) -> DataFrame:
     """site, key, tick, previous, outcome, strength: what each newly started track is taken for."""
     delay, lost = round(2.0 / s.tick_s), round(s.lost_s / s.tick_s)
-    asks = who.select("site", F.col("key").alias("t"), F.col("camera").alias("camera_t"), F.col("begin").alias("begin_t"), F.col("end").alias("end_t"), "x0", "y0", F.col("edge").alias("edge_t"), F.least(F.col("begin") + delay, "end").alias("tick"))
+    asks = who.select("site", F.col("key").alias("t"), F.col("camera").alias("camera_t"), F.col("begin").alias("begin_t"), F.col("end").alias("end_t"), "x0", "y0", F.col("edge").alias("edge_t"), F.col("look").alias("look_t"), F.least(F.col("begin") + delay, "end").alias("tick"))
     whose = known.select("site", F.col("key").alias("t"), "since", "until", F.col("person").alias("me"), F.col("oldest").alias("my_oldest"))
     asks = asks.join(whose, ["site", "t"]).where((F.col("since") <= F.col("tick")) & (F.col("tick") < F.col("until")) & (F.col("my_oldest") >= F.col("begin_t") - 1)).drop("since", "until", "my_oldest")
     cell = lambda c: F.floor(c / lost)
@@ -157,16 +176,16 @@ def reacquired(rows: DataFrame, who: DataFrame, known: DataFrame, s: Settings) -
     met = met.drop("cell", "end_o", "begin_o").join(at("o"), ["site", "o"]).where((F.col("since") <= F.col("tick")) & (F.col("tick") < F.col("until")) & (F.col("person") != F.col("me")))
     met = met.drop("o", "since", "until").distinct()
     members = met.join(at("m"), ["site", "person"]).where((F.col("since") <= F.col("tick")) & (F.col("tick") < F.col("until"))).drop("since", "until")
-    members = members.join(who.select("site", F.col("key").alias("m"), "camera", "begin", "end", "x1", "y1"), ["site", "m"]).where(F.col("begin") <= F.col("tick"))
+    members = members.join(who.select("site", F.col("key").alias("m"), "camera", "begin", "end", "x1", "y1", "look"), ["site", "m"]).where(F.col("begin") <= F.col("tick"))
     here = rows.select("site", F.col("key").alias("m"), F.col("tick").alias("begin_t"), F.col("x").alias("lx"), F.col("y").alias("ly"))
     members = members.join(here, ["site", "m", "begin_t"], "left")
     same = F.col("camera") == F.col("camera_t")
     live = ~same & F.col("lx").isNotNull()
     people = members.groupBy("site", "t", "person").agg(
-        *[F.first(c).alias(c) for c in ("tick", "begin_t", "x0", "y0", "edge_t")],
+        *[F.first(c).alias(c) for c in ("tick", "begin_t", "x0", "y0", "edge_t", "look_t")],
         F.bool_or(same & (F.least("end", "end_t") - F.greatest("begin", "begin_t") >= 2)).alias("clash"), F.bool_or(same).alias("was_here"), F.bool_or(live).alias("live"),
         F.max("end").alias("last"), F.max_by(F.struct("x1", "y1", "m"), F.struct("end", "m")).alias("lost_at"),
-        F.max_by("m", F.when(same, F.struct("end", "m"))).alias("here"), F.min_by(F.struct("lx", "ly"), F.when(live, F.col("m"))).alias("seen_at"),
+        F.max_by(F.struct("m", "look"), F.when(same, F.struct("end", "m"))).alias("here"), F.max_by("look", F.struct("end", "m")).alias("last_look"), F.min_by(F.struct("lx", "ly"), F.when(live, F.col("m"))).alias("seen_at"),
     )
     people = people.where(~F.col("clash") & F.when(F.col("live"), F.col("was_here") & (F.col("edge_t") <= 0.5)).otherwise(F.col("last") <= F.col("begin_t") + 1))
     gap = F.when(F.col("live"), s.tick_s).otherwise(F.greatest((F.col("begin_t") - F.col("last")) * s.tick_s, F.lit(s.tick_s)))
@@ -176,29 +195,31 @@ def reacquired(rows: DataFrame, who: DataFrame, known: DataFrame, s: Settings) -
     spread = F.when(F.col("live"), LIVE_SIGMA).otherwise(F.least(LOST_SIGMA + SIGMA_PER_S * F.col("gap"), F.lit(MOST_SIGMA)))
     people = people.where(reach).withColumn("spread", spread)
     score = -F.col("d") * F.col("d") / (2 * F.col("spread") * F.col("spread")) - F.log(2 * math.pi * F.col("spread") * F.col("spread")) + math.log(s.room_m2)
-    people = people.withColumn("score", F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), score)))
+    alike = likeness(F.col("look_t"), F.coalesce("here.look", F.when(F.col("here").isNull(), F.col("last_look"))))
+    people = people.withColumn("alike", alike).where(F.coalesce(F.col("alike") >= UNLIKE, F.lit(True)))
+    people = people.withColumn("score", F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), score)) + F.coalesce("alike", F.lit(0.0)))
     w = Window.partitionBy("site", "t").orderBy(F.desc("score"), "person")
     best = people.withColumns({"rank": F.row_number().over(w), "second": F.lead("score").over(w)}).where("rank = 1")
     need, margin = s.need + s.need_per_s * F.col("gap"), F.col("score") - F.greatest(F.lit(0.0), F.coalesce("second", F.lit(0.0)))
-    taken = (F.col("score") >= need) & (margin >= s.margin) & (F.col("live") | (F.col("gap") <= ALONE_S))
+    taken = (F.col("score") >= need) & (margin >= s.margin) & (F.col("live") | (F.col("gap") <= ALONE_S) | F.coalesce(F.col("alike") >= LIKE, F.lit(False)))
     outcome = F.when(taken, "reacquired").when(F.col("score") >= s.pending, "ambiguous")
-    previous = F.when(F.col("live"), F.col("here")).otherwise(F.col("lost_at.m"))
+    previous = F.when(F.col("live"), F.col("here.m")).otherwise(F.col("lost_at.m"))
     return best.select("site", F.col("t").alias("key"), "tick", previous.alias("previous"), outcome.alias("outcome"), F.least(F.col("score") + 4 - need, margin + 4).alias("strength")).where("outcome is not null")
 
 
 def resolve(rows: DataFrame, s: Settings = Settings(), log=None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Tracks, timeline, links of two cameras, and decisions on newly started tracks; see the module. ``log`` gets the number of repetitions."""
     keep = Rounds(rows.sparkSession, "people").keep
-    rows = keep(rows.select("site", "tick", "key", "camera", "x", "y", "sigma", "edge"), "rows")
+    rows = keep(with_looks(rows).select("site", "tick", "key", "camera", "x", "y", "sigma", "edge", "look"), "rows")
     who = keep(tracks(rows), "tracks")
-    seen = keep(evidence(rows, near_pairs(rows, s), s), "evidence")
+    seen = keep(evidence(rows, near_pairs(rows, s), who, s), "evidence")
     cross = keep(cross_links(seen, s), "cross")
     decided, n = None, 0
     while True:
         links = cross
         if decided is not None:
             again = decided.where("outcome = 'reacquired'")
-            links = cross.unionByName(again.select("site", F.col("previous").alias("a"), F.col("key").alias("b"), F.col("tick").alias("begin"), F.lit(FOREVER).alias("until"), "strength"))
+            links = cross.unionByName(again.select("site", F.col("previous").alias("a"), F.col("key").alias("b"), (F.col("tick") + 1).alias("begin"), F.lit(FOREVER).alias("until"), "strength"))
         known = keep(timeline(links, who, seen, s, keep), "timeline")
         now = keep(reacquired(rows, who, known, s), "decided")
         same = [x.select("site", "key", "previous", "outcome") for x in (now, decided)] if decided is not None else [now.select("key"), now.select("key").limit(0)]
@@ -240,9 +261,14 @@ def world(rows: DataFrame, s: Settings = Settings(), log=None) -> DataFrame:
     return people.select("site", "tick", "person", F.coalesce("fx", "last.x").alias("x"), F.coalesce("fy", "last.y").alias("y"), "cameras", "state", "confidence", shown.alias("shown"))
 
 
-def audit(cross: DataFrame, decided: DataFrame) -> DataFrame:
-    """site, tick, type, first, second: links made and revoked, tracks re-acquired or unclear."""
+def audit(known: DataFrame, cross: DataFrame, decided: DataFrame) -> DataFrame:
+    """site, tick, type, first, second: links made, revoked and blocked by a constraint, tracks re-acquired or unclear."""
     made = cross.select("site", F.col("begin").alias("tick"), F.lit("cross_camera_link").alias("type"), F.col("a").alias("first"), F.col("b").alias("second"))
     ended = cross.where(F.col("until") < FOREVER).select("site", F.col("until").alias("tick"), F.lit("link_revoked").alias("type"), F.col("a").alias("first"), F.col("b").alias("second"))
     again = decided.select("site", "tick", F.when(F.col("outcome") == "reacquired", "reacquired").otherwise("ambiguous_reacquisition").alias("type"), F.col("key").alias("first"), F.col("previous").alias("second"))
-    return made.unionByName(ended).unionByName(again)
+    whose = lambda side: known.select("site", F.col("key").alias(side), F.col("since").alias("s"), F.col("until").alias("u"), F.col("person").alias(f"person_{side}"))
+    tied = made
+    for side in ("first", "second"):
+        tied = tied.join(whose(side), ["site", side]).where((F.col("s") <= F.col("tick")) & (F.col("tick") < F.col("u"))).drop("s", "u")
+    blocked = tied.where("person_first <> person_second").select("site", "tick", F.lit("link_blocked").alias("type"), "first", "second")
+    return made.unionByName(ended).unionByName(blocked).unionByName(again)

@@ -5,8 +5,6 @@ Observations of two cameras are made from events (see ``observations``), appeara
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -14,8 +12,10 @@ from pyspark.sql import functions as F
 
 from kinetrace.functions import geometry as g
 from kinetrace.functions.scalars import clock, half_up, ramp
-from kinetrace.operators import kernels
-from kinetrace.operators.identity import Resolver
+from kinetrace.operators import kernels, people
+from kinetrace.operators.identity import Settings
+from kinetrace.operators.matching import Rounds, merged
+from kinetrace.operators.people import leads
 from kinetrace.operators.relational import mutual, nearest, top
 from kinetrace.plans.registry import Registry
 from kinetrace.sources.tables import load
@@ -24,7 +24,7 @@ query = Registry()
 GATE, TICK = 2.5, 3600
 #: Camera to floor matrices, row-major.
 MATRICES = {"cam1": (0.02, 0.001, 0.5, 0.0005, 0.03, 1.0, 0.00001, 0.0001, 1.0), "cam2": (0.018, -0.002, 1.0, 0.001, 0.028, 0.7, -0.00001, 0.0002, 1.0)}
-SIMILARITY_KNOTS = [(0.0, -2.0), (0.3, -1.0), (0.5, 0.0), (0.7, 1.0), (1.0, 2.0)]
+SIMILARITY_KNOTS = people.LOOKS
 
 _OBS = """WITH o AS (SELECT event_id AS id, strftime(ts, '%Y-%m-%d') AS site, 'cam' || (1 + event_id % 2) AS camera, user_id % 40 AS track, (epoch_us(ts) // 3600000000) AS tick, user_id * 4 + value / 10 AS px, 100 + value AS py,
         0.2 + (event_id % 7) / 10.0 AS sigma, event_type AS kind, event_id % 5 = 0 AS edge FROM events),
@@ -219,12 +219,12 @@ def merge_chain_root(spark, sf_dir):
 
 
 @query(
-    _OBS + """, w AS (SELECT DISTINCT tick FROM p WHERE camera = 'cam2' AND track = 3), l AS (SELECT id, tick FROM p WHERE camera = 'cam1' AND track = 3)
-    SELECT id, (SELECT arg_min(tick, abs(w.tick - l.tick) * 10 - (w.tick > l.tick)::INT) FROM w WHERE abs(w.tick - l.tick) <= 4) AS near FROM l"""
+    _OBS + """, w AS (SELECT DISTINCT track, tick FROM p WHERE camera = 'cam2'), l AS (SELECT id, tick, track FROM p WHERE camera = 'cam1')
+    SELECT id, (SELECT arg_min(tick, abs(w.tick - l.tick) * 10 - (w.tick > l.tick)::INT) FROM w WHERE w.track = l.track AND abs(w.tick - l.tick) <= 4) AS near FROM l"""
 )
 def asof_with_tolerance(spark, sf_dir):
     """Nearest tick of the other camera within four, the later on ties, null beyond."""
-    o = observations(spark, sf_dir).where("track = 3")
+    o = observations(spark, sf_dir)
     right = o.where("camera = 'cam2'").select("tick", "track").distinct().withColumn("near", F.col("tick"))
     left = o.where("camera = 'cam1'").select("id", "tick", "track")
     return nearest(left, right, ["track"], "tick", ["near"], within=4, cell=64).select("id", "near")
@@ -271,16 +271,34 @@ def site_scores(at: DataFrame, value: Column) -> DataFrame:
     return evidence(at).withColumn("site", F.date_format(F.timestamp_seconds(F.col("tick") * 3600), "yyyy-MM-dd")).groupBy("site", "a", "b").agg(value.alias("score"))
 
 
-@query()
-def optimal_assignment(spark, sf_dir):
-    """One-to-one links of the two cameras' tracks that maximise the evidence, for each site: a group is one recording's matrix."""
+def best_links(scores: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, a, b, score: the one-to-one links of greatest total score among those of ``scores`` (keys, a, b, score) with a positive one.
+
+    Links without evidence for them never add to a total, so tracks that no chain of positive links joins cannot affect each
+    other: a group of the kernel is such a chain, found by rounds of joins, not a whole recording.
+    """
+    kept = Rounds(scores.sparkSession, "assignment").keep(scores.where("score > 0").select(*keys, "a", "b", "score"), "scores")
+    side = lambda c: F.concat(F.lit(f"{c}:"), F.col(c).cast("string"))
+    edges = kept.select(*keys, side("a").alias("a"), side("b").alias("b"), "score")
+    nodes = edges.select(*keys, F.explode(F.array("a", "b")).alias("item")).distinct()
+    chains = merged(nodes, edges, edges.drop("score").limit(0), keys).select(*keys, F.col("item").alias("_a"), F.col("root").alias("chain"))
+    linked = kept.withColumn("_a", side("a")).join(chains, [*keys, "_a"]).drop("_a")
+
+    names = kept.columns
 
     def links(rows: pd.DataFrame) -> pd.DataFrame:
         matrix = rows.pivot(index="a", columns="b", values="score").sort_index().sort_index(axis=1)
-        found = [(rows.site.iloc[0], int(matrix.index[i]), int(matrix.columns[j]), matrix.iat[i, j]) for i, j in kernels.assign(matrix.fillna(-1000.0).to_numpy())]
-        return pd.DataFrame(found, columns=["site", "a", "b", "score"]).round({"score": 5})
+        found = [(matrix.index[i], matrix.columns[j]) for i, j in kernels.assign(matrix.fillna(0.0).to_numpy()) if matrix.iat[i, j] > 0]
+        return rows.merge(pd.DataFrame(found, columns=["a", "b"]))[names]
+
+    return linked.groupBy(*keys, "chain").applyInPandas(links, kept.schema)
 
-    return site_scores(site_ticks(spark, sf_dir), F.sum("llr")).groupBy("site").applyInPandas(links, "site string, a long, b long, score double")
+
+@query()
+def optimal_assignment(spark, sf_dir):
+    """One-to-one links of the two cameras' tracks that maximise the evidence, for each site."""
+    found = best_links(site_scores(site_ticks(spark, sf_dir), F.sum("llr")), ["site"])
+    return found.select("site", "a", "b", F.round("score", 5).alias("score"))
 
 
 _KINDS = "click error purchase signup view".split()
@@ -311,23 +329,36 @@ def idf1(spark, sf_dir):
     return counts.groupBy("camera").applyInPandas(score, "camera string, idtp long, idf1 double")
 
 
-@query()
+@query(
+    _OBS.replace("WITH o AS", "WITH RECURSIVE o AS") + _TICKS + """, d AS (SELECT *, strftime(make_timestamp(tick * 3600000000), '%Y-%m-%d') AS site FROM k),
+    t AS (SELECT site, camera, track, row_number() OVER (PARTITION BY site ORDER BY camera, track) - 1 AS item FROM (SELECT DISTINCT site, camera, track FROM d)),
+    s AS (SELECT strftime(make_timestamp(tick * 3600000000), '%Y-%m-%d') AS site, a, b, floor(avg(llr) * 1e9 + 0.5) / 1e9 AS score FROM e GROUP BY ALL HAVING avg(llr) > -4),
+    l AS (SELECT s.site, x.item AS a, y.item AS b, row_number() OVER (PARTITION BY s.site ORDER BY score DESC, x.item, y.item) AS step FROM s
+        JOIN t x ON x.site = s.site AND x.camera = 'cam1' AND x.track = s.a JOIN t y ON y.site = s.site AND y.camera = 'cam2' AND y.track = s.b),
+    w AS (SELECT DISTINCT m.site, x.item AS a, y.item AS b FROM d m JOIN d n ON m.site = n.site AND m.camera = n.camera AND m.tick = n.tick AND m.track < n.track
+        JOIN t x ON x.site = m.site AND x.camera = m.camera AND x.track = m.track JOIN t y ON y.site = n.site AND y.camera = n.camera AND y.track = n.track),
+    z AS (SELECT t.site, count(*) AS n, (SELECT coalesce(list({'a': a, 'b': b}), []) FROM w WHERE w.site = t.site) AS walls FROM t GROUP BY t.site),
+    r AS (
+        SELECT site, 0::BIGINT AS step, range(n) AS roots FROM z
+        UNION ALL
+        SELECT site, step, CASE WHEN ra = rb OR len(list_filter(walls, lambda p: (roots[p.a + 1] = ra AND roots[p.b + 1] = rb) OR (roots[p.a + 1] = rb AND roots[p.b + 1] = ra))) > 0 THEN roots
+            ELSE list_transform(roots, lambda x: CASE WHEN x = greatest(ra, rb) THEN least(ra, rb) ELSE x END) END
+        FROM (SELECT r.site, l.step, r.roots, r.roots[l.a + 1] AS ra, r.roots[l.b + 1] AS rb, z.walls FROM r JOIN l ON l.site = r.site AND l.step = r.step + 1 JOIN z ON z.site = r.site)),
+    f AS (SELECT site, arg_max(roots, step) AS roots FROM r GROUP BY site)
+    SELECT t.site, t.camera, t.track, f.roots[t.item + 1] AS identity FROM t JOIN f ON f.site = t.site"""
+)
 def identity_clusters(spark, sf_dir):
-    """Tracks of a site merged by falling evidence, unless two of one camera would meet in a tick."""
+    """Tracks of a site merged by falling evidence, unless two of one camera would meet in a tick; in rounds of joins."""
     at = site_ticks(spark, sf_dir)
-    scores = site_scores(at, F.avg("llr")).where("score > -4")
-    seen = at.select("site", "camera", "track", "tick")
-
-    def cluster(rows: pd.DataFrame, seen: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(set(zip(seen.camera, seen.track)))
-        place = {n: i for i, n in enumerate(names)}
-        links = [(s, place["cam1", a], place["cam2", b]) for a, b, s in zip(rows.a, rows.b, rows.score)]
-        apart = {frozenset((place[c, x], place[c, y])) for (c, _), at in seen.groupby(["camera", "tick"]) for i, x in enumerate(at.track) for y in at.track.iloc[i + 1 :]}
-        roots = kernels.merged(len(names), links, apart)
-        return pd.DataFrame({"site": seen.site.iloc[0], "camera": [c for c, _ in names], "track": [t for _, t in names], "identity": roots})
-
-    grouped = scores.groupBy("site").cogroup(seen.groupBy("site"))
-    return grouped.applyInPandas(cluster, "site string, camera string, track long, identity long")
+    names = at.select("site", "camera", "track").distinct().withColumn("item", (F.row_number().over(Window.partitionBy("site").orderBy("camera", "track")) - 1).cast("long"))
+    names = Rounds(spark, "clusters").keep(names, "names")
+    number = lambda camera, side: names.where(F.col("camera") == camera).select("site", F.col("track").alias(side), F.col("item").alias(f"_{side}"))
+    scores = site_scores(at, F.avg("llr")).where("score > -4").join(number("cam1", "a"), ["site", "a"]).join(number("cam2", "b"), ["site", "b"])
+    links = scores.select("site", F.col("_a").alias("a"), F.col("_b").alias("b"), half_up(F.col("score"), 9).alias("score"))
+    seen = at.join(names, ["site", "camera", "track"]).select("site", "camera", "tick", "item")
+    meeting = seen.withColumnRenamed("item", "a").join(seen.withColumnRenamed("item", "b"), ["site", "camera", "tick"]).where("a < b").select("site", "a", "b").distinct()
+    roots = merged(names, links, meeting, ["site"])
+    return names.join(roots, ["site", "item"]).select("site", "camera", "track", F.col("root").alias("identity"))
 
 
 #: Landmarks clicked for one camera.
@@ -379,6 +410,7 @@ def aligned(pairs: DataFrame, candidates: int = CANDIDATES, inlier: float = INLI
     maps = maps.select("part", "candidate", "c", "s", (F.col("m_bx") - mx).alias("dx"), (F.col("m_by") - my).alias("dy"))
     x, y = moved(F.col("c"), F.col("s"), F.col("ax"), F.col("ay"))
     near = F.hypot(x + F.col("dx") - F.col("bx"), y + F.col("dy") - F.col("by")) < inlier
+    maps = F.broadcast(maps)  # at most ``candidates`` rows of a part, and parts are few
     votes = pairs.join(maps, "part").where(near).groupBy("part", "candidate").agg(F.count(F.lit(1)).alias("n"))
     best = votes.groupBy("part").agg(F.max_by("candidate", F.struct("n", -F.col("candidate"))).alias("candidate"))
     agreeing = pairs.join(maps.join(best, ["part", "candidate"]), "part").where(near)
@@ -413,54 +445,40 @@ def camera_alignment(spark, sf_dir):
     return found.select("part", *[r6(F.col(c)).alias(c) for c in ("theta", "dx", "dy")], "inliers")
 
 
+def recordings(spark, sf_dir) -> DataFrame:
+    """site, tick, key, camera, x, y, sigma, edge: one row of each track and tick."""
+    rows = _floor(spark, sf_dir).groupBy("site", "tick", "camera", "track").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.min("sigma").alias("sigma"), F.bool_and("edge").alias("edge"))
+    return rows.select("site", "tick", F.concat_ws(":", "camera", F.col("track").cast("string")).alias("key"), "camera", "x", "y", "sigma", "edge")
+
+
+@query(
+    _OBS + """, r AS (SELECT site, tick, camera || ':' || track AS key, camera, avg(x) AS x, avg(y) AS y, min(sigma) AS sigma, bool_and(edge) AS edge FROM p GROUP BY site, tick, camera, track),
+    c AS (SELECT a.site, a.tick, a.key AS a, b.key AS b, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d, a.sigma * a.sigma + b.sigma * b.sigma AS v, a.edge OR b.edge AS blind
+        FROM r a JOIN r b ON a.site = b.site AND a.tick = b.tick AND a.camera < b.camera),
+    n AS (SELECT site, a, b FROM c GROUP BY site, a, b HAVING min(d) <= 2.5),
+    e AS (SELECT c.*, CASE WHEN blind THEN least(h, 0) ELSE h END AS llr FROM (
+        SELECT *, CASE WHEN d > 2.5 THEN -5 ELSE greatest(-4, least(2.5, -(d * d) / (2 * v) - ln(2 * pi() * v) + ln(pi() * 2.25))) END AS h FROM c JOIN n USING (site, a, b)) c),
+    u AS (SELECT *, sum(llr) OVER w * 0.2 AS score, row_number() OVER w AS overlap FROM e WINDOW w AS (PARTITION BY site, a, b ORDER BY tick)),
+    q AS (SELECT * FROM u WHERE overlap * 0.2 >= 0.8 - 1e-9),
+    x AS (SELECT q.*, (SELECT max(o.score) FROM q o WHERE o.site = q.site AND o.tick = q.tick AND (o.a = q.a) <> (o.b = q.b)) AS rival FROM q)
+    SELECT site, tick, a, b, overlap, floor(score * 1e6 + 0.5) / 1e6 AS score, floor((score - greatest(0, coalesce(rival, 0))) * 1e6 + 0.5) / 1e6 AS lead,
+        score >= 4 AND score - greatest(0, coalesce(rival, 0)) >= 2 AS sure FROM x"""
+)
+def link_evidence(spark, sf_dir):
+    """Evidence so far of every pair of tracks that ever come near, at each common tick after a short overlap, and its lead over the pairs that compete."""
+    rows, s = recordings(spark, sf_dir), Settings()
+    found = leads(people.evidence(rows, people.near_pairs(rows, s), people.tracks(rows), s), s)
+    return found.select("site", "tick", "a", "b", F.col("n").alias("overlap"), r6(F.col("score")).alias("score"), r6(F.col("lead")).alias("lead"), "sure")
+
+
 @query()
 def identity_world(spark, sf_dir):
-    """People of each tick of a site, resolved with a lag; a group is one site's recording of a day."""
-    rows = _floor(spark, sf_dir).groupBy("site", "tick", "camera", "track").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.min("sigma").alias("sigma"), F.bool_and("edge").alias("edge"))
-    rows = rows.select("site", "tick", F.concat_ws(":", "camera", F.col("track").cast("string")).alias("key"), "camera", "x", "y", "sigma", "edge")
-    return rows.groupBy("site").applyInPandas(resolve_site, PEOPLE)
-
-
-PEOPLE = "site string, tick long, person long, x double, y double, cameras string, state string, confidence double, shown string"
-
-
-def resolve_site(rows: pd.DataFrame) -> pd.DataFrame:
-    """All people of one site's rows (site, tick, key, camera, x, y, sigma, edge)."""
-    resolver, people = Resolver(), []
-    for tick, at in rows.sort_values(["tick", "key"]).groupby("tick"):
-        people += resolver.step(int(tick), list(at[["key", "camera", "x", "y", "sigma", "edge"]].itertuples(index=False, name=None)))
-    people += resolver.finish()
-    return pd.DataFrame(people, columns=["tick", "person", "x", "y", "cameras", "state", "confidence", "shown"]).assign(site=rows.site.iloc[0])[["site", "tick", "person", "x", "y", "cameras", "state", "confidence", "shown"]]
-
-
-def _walks() -> dict[str, tuple[list, tuple, int]]:
-    """Made-up recordings: tracks (camera, name, from s, to s, path, cut by the edge), the moments looked at, people expected there."""
-    line, still, apart = (lambda t: (1 + 0.5 * t, 2.0)), (lambda t: (4.0, 4.0)), (lambda t: (4.6, 4.0))
-    there, back = (lambda t: (0.6 * t, 3.0)), (lambda t: (7.2 - 0.6 * t, 3.6))
-    whole = lambda camera, name, path, edge=False: (camera, name, 0, 12, path, edge)
-    return {
-        "two cameras": ([whole("cam1", "a", line), whole("cam2", "b", line)], (5.0, 8.0), 1),
-        "hand-off": ([("cam1", "a", 0, 10, line, False), ("cam2", "b", 7, 18, line, False)], (5.0, 9.6, 14.0), 1),
-        "occlusion": ([("cam1", "a", 0, 10, still, False), ("cam1", "b", 12, 20, still, False)], (5.0, 18.0), 1),
-        "neighbours": ([whole("cam1", "a", still), whole("cam1", "b", apart), whole("cam2", "c", still), whole("cam2", "d", apart)], (8.0,), 2),
-        "teleport": ([("cam1", "a", 0, 5, lambda t: (0.0, 0.0), False), ("cam1", "b", 5.4, 12, lambda t: (13.0, 0.0), False)], (4.0, 10.0), 2),
-        "crossing": ([whole("cam1", "a", there), whole("cam1", "b", back), whole("cam2", "c", there), whole("cam2", "d", back)], (3.0, 10.0), 2),
-        "cut by the edge": ([whole("cam1", "a", still, True), whole("cam2", "b", still)], (8.0,), 2),
-    }
-
-
-_WALKS = _walks()
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{site}', {people}::BIGINT)" for site, (_, _, people) in _WALKS.items()) + ") e(site, people)")
-def identity_scenarios(spark, sf_dir):
-    """How many people the resolver sees at given moments of made-up recordings; the expected numbers were put in."""
-    tick, rows = 0.2, []
-    for site, (tracks, _, _) in _WALKS.items():
-        for n, (camera, name, t0, t1, path, edge) in enumerate(tracks):
-            for i in range(round(t0 / tick), round(t1 / tick)):
-                rows.append((site, i, f"{camera}:{name}", camera, *(c + 0.03 * math.sin(2.6 * i + n + k) for k, c in enumerate(path(i * tick))), 0.2, edge))
-    schema = "site string, tick long, key string, camera string, x double, y double, sigma double, edge boolean"
-    people = spark.createDataFrame(rows, schema).groupBy("site").applyInPandas(resolve_site, PEOPLE)
-    moments = spark.createDataFrame([(site, round(t / tick)) for site, (_, at, _) in _WALKS.items() for t in at], "site string, tick long")
-    return people.where("state <> 'exited'").join(moments, ["site", "tick"]).groupBy("site").agg(F.countDistinct("person").alias("people"))
+    """People of each tick of a site, as known some seconds later."""
+    return people.world(recordings(spark, sf_dir))
+
+
+@query()
+def identity_events(spark, sf_dir):
+    """Audit of a site: links made, revoked and blocked, tracks taken for a person who was lost, unclear ones."""
+    _, known, cross, decided = people.resolve(recordings(spark, sf_dir))
+    return people.audit(known, cross, decided)

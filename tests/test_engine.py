@@ -140,7 +140,7 @@ def test_stream_counts_as_the_table(spark, tmp_path):
 
 
 def test_stream_of_identities_as_the_table(spark, tmp_path):
-    from kinetrace.plans.world import resolve_site
+    from kinetrace.operators.people import world
     from kinetrace.streaming.stateful import resolve_identities
 
     rows = [("s", t, f"cam{c}:{k}", f"cam{c}", 1 + 0.1 * t + k * 5, 2.0, 0.2, False) for t in range(80) for c in (1, 2) for k in range(2)]
@@ -150,8 +150,7 @@ def test_stream_of_identities_as_the_table(spark, tmp_path):
         mine = [r_ for i, r_ in enumerate(rows) if 4 * ends[part] - (part > 0) <= i < 4 * ends[part + 1] - (part < 3)]
         mine += [("s", None, None, None, None, None, None, None)] * (part == 3)  # the end of the recording
         spark.createDataFrame(mine, schema).coalesce(1).write.parquet(str(tmp_path / f"in{part}"))
-    want = resolve_site(pd.DataFrame(rows, columns=schema.replace(" string", "").replace(" long", "").replace(" double", "").replace(" boolean", "").split(", ")))
-    want = {(x.tick, x.person, x.cameras) for x in want.itertuples()}
+    want = {(x.tick, x.person, x.cameras) for x in world(spark.createDataFrame(rows, schema)).collect()}
     for emit in ("people", "events"):
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(str(tmp_path / "in*"))
         found = resolve_identities(stream, emit)
