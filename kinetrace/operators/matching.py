@@ -77,7 +77,7 @@ def merged(items: DataFrame, links: DataFrame, apart: DataFrame, keys: list[str]
 
         again = lambda rows, *more: rows.select(*keys, F.least("lo", "hi").alias("lo"), F.greatest("lo", "hi").alias("hi"), *more)
         roots = rounds.keep(moved(roots, "root").select(*keys, "item", "root"), "roots")
-        live = rounds.keep(again(moved(moved(best, "lo"), "hi"), "order"), "links")
+        live = again(moved(moved(best, "lo"), "hi"), "order")  # from written tables, so it need not be one
         walls = rounds.keep(again(moved(moved(walls, "lo"), "hi")).distinct(), "apart")
         n += 1
 

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-SUBJECTS = ("gym", "waitlist", "members", "sequences", "world", "views", "recordings", "reps", "streams")
+SUBJECTS = ("gym", "waitlist", "members", "sequences", "world", "cameras", "views", "recordings", "reps", "streams")
 
 
 def registries() -> list:

@@ -344,12 +344,13 @@ def pricing_tier(spark, sf_dir):
 
 
 @query(
-    f"""{_WITH} SELECT hour, label, color FROM (SELECT unnest(range(24))::INT AS hour) h, LATERAL (SELECT CASE WHEN hour % 12 = 0 THEN '12' ELSE (hour % 12)::VARCHAR END || CASE WHEN hour < 12 THEN 'am' ELSE 'pm' END AS label,
+    f"""{_WITH} SELECT hour, label, color, visits FROM (SELECT (floor(t) % 24)::INT AS hour, count(*) AS visits FROM visits GROUP BY ALL) h, LATERAL (SELECT CASE WHEN hour % 12 = 0 THEN '12' ELSE (hour % 12)::VARCHAR END || CASE WHEN hour < 12 THEN 'am' ELSE 'pm' END AS label,
     floor(CASE WHEN hour / 24.0 <= 0 THEN 90 WHEN hour / 24.0 <= 0.5 THEN 90 + hour / 24.0 * 220 WHEN hour / 24.0 <= 0.85 THEN 200 + (hour / 24.0 - 0.5) * 50 / 0.35 ELSE 250 + (hour / 24.0 - 0.85) * 5 / 0.15 END + 0.5)::BIGINT AS color)"""
 )
 def hour_labels(spark, sf_dir):
-    """Labels and colours of the hours."""
-    return numbers(spark, 24, "hour").select("hour", hour_label(F.col("hour")).alias("label"), half_up(ramp(F.col("hour") / 24.0, OCCUPANCY_KNOTS)).alias("color"))
+    """Visits that begin in each hour of the day, with the hour's label and colour."""
+    hours = visits(spark, sf_dir).groupBy((F.floor("t") % 24).cast("int").alias("hour")).agg(F.count(F.lit(1)).alias("visits"))
+    return hours.select("hour", "visits", hour_label(F.col("hour")).alias("label"), half_up(ramp(F.col("hour") / 24.0, OCCUPANCY_KNOTS)).alias("color"))
 
 
 @query(

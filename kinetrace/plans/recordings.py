@@ -20,13 +20,14 @@ SEGMENT, MOMENT, STEP = (100.0, 130.0), 400.0, 2.5
 PALETTE = 8
 
 _OBS = f"""WITH {VISITS_SQL}, o AS (SELECT visit AS id, 'cam' || (1 + visit % 2) AS camera, member AS track, t, zone AS kind, sets, duration,
-    (visit * 37 % 500)::DOUBLE AS x1, (visit * 53 % 300)::DOUBLE AS y1, (visit * 37 % 500 + 40 + visit % 80)::DOUBLE AS x2, (visit * 53 % 300 + 80 + visit % 150)::DOUBLE AS y2 FROM visits)"""
+    px::DOUBLE AS x1, py::DOUBLE AS y1, (px + 40 + visit % 80)::DOUBLE AS x2, (py + 80 + visit % 150)::DOUBLE AS y2 FROM (
+        SELECT *, CASE WHEN member % 4 = 0 THEN member * 37 % 500 + visit % 9 ELSE visit * 37 % 500 END AS px, CASE WHEN member % 4 = 0 THEN member * 53 % 300 + visit % 7 ELSE visit * 53 % 300 END AS py FROM visits))"""
 
 
 def observations(spark, sf_dir) -> DataFrame:
-    """id, camera, track, t, kind, sets, duration and the box."""
-    v, k = visits(spark, sf_dir), F.col("visit")
-    x, y = (k * 37 % 500), (k * 53 % 300)
+    """id, camera, track, t, kind, sets, duration and the box; every fourth person stays in place."""
+    v, k, m = visits(spark, sf_dir), F.col("visit"), F.col("member")
+    x, y = (F.when(m % 4 == 0, m * f % n + k % j).otherwise(k * f % n) for f, n, j in ((37, 500, 9), (53, 300, 7)))
     box = [c.cast("double").alias(n) for n, c in zip(("x1", "y1", "x2", "y2"), (x, y, x + 40 + k % 80, y + 80 + k % 150))]
     return v.select(k.alias("id"), F.concat(F.lit("cam"), (1 + k % 2).cast("string")).alias("camera"), F.col("member").alias("track"), "t", F.col("zone").alias("kind"), "sets", "duration", *box)
 
@@ -156,7 +157,7 @@ def head_regions(spark, sf_dir):
 
 
 #: A track must be there for so long, and its head box may wander by this share of its width.
-PRESENT, WANDER, ROOM = 20.0, 2.0, 0.25
+PRESENT, WANDER, ROOM = 20.0, 0.35, 0.25
 
 
 @query(
