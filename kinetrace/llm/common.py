@@ -95,24 +95,29 @@ def salt(rows: DataFrame, on: list[str], copies: Column) -> Column:
     return F.pmod(F.xxhash64(*others), copies) if others else F.lit(0)
 
 
-def spread_join(rows: DataFrame, keys: DataFrame, on: list[str], count: str, how: str = "inner", least: int = 1000, total: int | None = None) -> DataFrame:
+def spread_join(rows: DataFrame, keys: DataFrame, on: list[str], count: str, how: str = "inner", least: int = 1000, total: int | None = None, counts: DataFrame | None = None) -> DataFrame:
     """``rows`` joined with ``keys`` by the columns ``on``; a key of very many rows is dealt over many tasks.
 
     ``keys`` must have one row for each key, whose column ``count`` says how many rows have it (``total``: their sum, if
-    known), and come out the same each time it is computed; the result has all columns of both but not ``count``.  A key is hot if it has more than a quarter of an even task's share
+    known; ``counts``: a table of keys and counts, if it is cheaper to form than ``keys``), and come out the same each time it
+    is computed; the result has all columns of both but not ``count``.  A key is hot if it has more than a quarter of an even task's share
     of all those rows, and more than ``least``, below which no task is worth sparing.  So at most 4 x shuffle partitions are hot, whatever the data, and only a hash and the number of
-    copies of each is broadcast.  A hot key's row is copied once for each such share and its rows are dealt over the
+    copies of each goes to the driver, once, and is broadcast.  A hot key's row is copied once for each such share and its rows are dealt over the
     copies by a hash of their other columns: not by their place, which can change when a lost task is formed again.  All is a merge join, as neither side has a bound.
     """
-    parts = partitions(rows.sparkSession)
-    total = keys.agg(F.sum(count)).first()[0] or 0 if total is None else total
+    spark = rows.sparkSession
+    counts = keys if counts is None else counts
+    parts = partitions(spark)
+    total = counts.agg(F.sum(count)).first()[0] or 0 if total is None else total
     if total <= least:
         return rows.join(keys.drop(count).hint("merge"), on, how)
     share = max(least, -(-total // (4 * parts)))
     copies = F.ceil(F.col(count) / share).cast("int")
-    hot = keys.where(F.col(count) > share).select(F.xxhash64(*on).alias("_h"), copies.alias("_n")).groupBy("_h").agg(F.max("_n").alias("_n"))
-    if hot.isEmpty():
+    hot = counts.where(F.col(count) > share).select(F.xxhash64(*on).alias("_h"), copies.alias("_n")).groupBy("_h").agg(F.max("_n").alias("_n"))
+    found = hot.collect()  # at most one for each share
+    if not found:
         return rows.join(keys.drop(count).hint("merge"), on, how)
+    hot = spark.createDataFrame(pa.table({"_h": pa.array([r[0] for r in found], pa.int64()), "_n": pa.array([r[1] for r in found], pa.int32())}))
     # equal hashes of different keys only make a further key hot, on both sides
     known = rows.join(F.broadcast(hot), F.xxhash64(*[rows[c] for c in on]) == F.col("_h"), "left")
     dealt = known.withColumn("_salt", F.when(F.col("_n").isNotNull(), salt(rows, on, F.col("_n"))).otherwise(F.lit(0)).cast("int")).drop("_h", "_n")

@@ -145,7 +145,7 @@ def _compared(pairs: DataFrame, sets: DataFrame, spread: tuple[str, ...] = ("a",
             found = found.join(sets.select(F.col("node").alias(end), F.col("shingles").alias(f"s{end}")), end)
             continue
         degree = pairs.groupBy(end).agg(F.count(F.lit(1)).alias("degree"))
-        found = spread_join(found, sets.select(F.col("node").alias(end), F.col("shingles").alias(f"s{end}")).join(degree, end), [end], "degree", total=total)
+        found = spread_join(found, sets.select(F.col("node").alias(end), F.col("shingles").alias(f"s{end}")).join(degree, end), [end], "degree", total=total, counts=degree)
     common = F.size(F.array_intersect("sa", "sb")).cast("long")
     found = found.select("a", "b", common.alias("common"), (F.size("sa") + F.size("sb")).cast("long").alias("both"))
     return found.select("a", "b", "common", (F.col("both") - F.col("common")).alias("total"))
