@@ -1,9 +1,11 @@
 """Robust least squares for all cameras and starts at once, and the pinhole camera above a floor.
 
-``least_squares`` is Gauss-Newton with damping: an iteration is one join of rows with the present parameters and one
-aggregate that sums the normal equations of every (key, start); what comes out, a row each, gets its next step from a
-small linear solve.  Residuals are column expressions, their derivatives differences of them; the soft-L1 loss is a
-weight of each residual.  Rows are never gathered, and after a few iterations only the best starts of a key go on.
+``least_squares`` is Gauss-Newton with damping: an iteration joins the rows with the present parameters, each task adds up
+its part of the normal equations of every (key, start), and one aggregate sums the parts; what comes out, a row each, gets
+its next step from a small linear solve.  Derivatives are differences of the residuals; the soft-L1 loss is a weight of each
+residual.  Rows are never gathered, and after a few iterations only the best starts of a key go on.
+
+``ground`` and ``pixel`` work on columns and, inside tasks, on numpy arrays.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinetrace.operators.matching import Rounds
@@ -34,53 +36,69 @@ class Problem:
 
 @dataclass(frozen=True)
 class Block:
-    """Rows (key, ...) and the residuals of one of them, given the parameters; ``uses`` are the parameters that matter."""
+    """Rows (key, numbers ...) and their residuals, given the parameters and the columns by name, as arrays; ``uses`` are the parameters that matter."""
 
     rows: DataFrame
-    residuals: Callable[[list[Column]], list[Column]]
+    residuals: Callable[[list, dict], list]
     uses: tuple[int, ...]
 
 
 CAMERA = Problem((400.0, 0.05, -0.3, 1.5), (3000.0, 1.4, 0.3, 30.0), (0.5, 1e-4, 1e-4, 1e-3))
 PAIR = Problem(CAMERA.low * 2 + (-10.0, -200.0, -200.0), CAMERA.high * 2 + (10.0, 200.0, 200.0), CAMERA.step * 2 + (1e-4, 1e-3, 1e-3))
+#: Greatest relative change of a parameter at which an iteration ends.
+TOLERANCE = 3e-5
 #: Starts of a camera: focal length, pitch, height.
 STARTS = [(f, pitch, 0.0, h) for f in (800.0, 1000.0, 1300.0) for pitch in (0.35, 0.6, 0.85) for h in (4.0, 7.0)]
 
 
-def ground(p: list[Column], x: Column, y: Column, cx: Column, cy: Column) -> tuple[Column, Column]:
+def _divisor(value, m):
+    return value if m is np else F.nullif(value, F.lit(0.0))
+
+
+def ground(p: list, x, y, cx, cy, m=F) -> tuple:
     """Floor point under a pixel; p are focal length, pitch, roll and height, the camera stands at (0, 0) and looks along +y."""
     f, pitch, roll, height = p
     u, v = (x - cx) / f, (y - cy) / f
-    u, v = F.cos(roll) * u + F.sin(roll) * v, F.cos(roll) * v - F.sin(roll) * u
-    far = height / F.nullif(v * F.cos(pitch) + F.sin(pitch), F.lit(0.0))
-    return far * u, far * (F.cos(pitch) - v * F.sin(pitch))
+    u, v = m.cos(roll) * u + m.sin(roll) * v, m.cos(roll) * v - m.sin(roll) * u
+    far = height / _divisor(v * m.cos(pitch) + m.sin(pitch), m)
+    return far * u, far * (m.cos(pitch) - v * m.sin(pitch))
 
 
-def pixel(p: list[Column], x: Column, y: Column, z: Column, cx: Column, cy: Column) -> tuple[Column, Column]:
+def pixel(p: list, x, y, z, cx, cy, m=F) -> tuple:
     """Pixel of the point (x, y, z)."""
     f, pitch, roll, height = p
-    depth = F.nullif(F.cos(pitch) * y - F.sin(pitch) * (z - height), F.lit(0.0))
-    u, v = x / depth, -(F.sin(pitch) * y + F.cos(pitch) * (z - height)) / depth
-    return f * (F.cos(roll) * u - F.sin(roll) * v) + cx, f * (F.sin(roll) * u + F.cos(roll) * v) + cy
+    depth = _divisor(m.cos(pitch) * y - m.sin(pitch) * (z - height), m)
+    u, v = x / depth, -(m.sin(pitch) * y + m.cos(pitch) * (z - height)) / depth
+    return f * (m.cos(roll) * u - m.sin(roll) * v) + cx, f * (m.sin(roll) * u + m.cos(roll) * v) + cy
 
 
 def _sums(block: Block, state: DataFrame, problem: Problem) -> DataFrame:
-    """key, start, a (upper triangle by rows), g, cost, n of one block."""
-    m = len(problem.step)
-    p = [F.col("q")[i] for i in range(m)]
-    at = block.residuals(p)
-    moved = {j: block.residuals([x + problem.step[j] if i == j else x for i, x in enumerate(p)]) for j in block.uses}
-    known = lambda r: F.coalesce(F.nanvl(r, F.lit(1e6)), F.lit(1e6))  # noqa: E731  a point beyond the horizon
-    rows = block.rows.join(state.select("key", "start", "q"), "key")
-    rows = rows.select("key", "start", *[known(r).alias(f"r{k}") for k, r in enumerate(at)], *[known(r).alias(f"m{j}_{k}") for j, rs in moved.items() for k, r in enumerate(rs)])
-    several = range(len(at))
-    z = [F.col(f"r{k}") / problem.scale * (F.col(f"r{k}") / problem.scale) for k in several]
-    rows = rows.select("key", "start", *[F.col(f"r{k}") for k in several], *[(1 / F.sqrt(1 + z[k])).alias(f"w{k}") for k in several], sum((F.sqrt(1 + z[k]) - 1 for k in several), F.lit(0.0)).alias("loss"), *[((F.col(f"m{j}_{k}") - F.col(f"r{k}")) / problem.step[j]).alias(f"j{j}_{k}") for j in block.uses for k in several])
-    term = lambda a, b: F.sum(sum((F.col(f"w{k}") * F.col(a.format(k)) * F.col(b.format(k)) for k in several), F.lit(0.0)))
-    used = set(block.uses)
-    a = [term(f"j{i}_{{}}", f"j{j}_{{}}") if {i, j} <= used else F.lit(0.0) for i in range(m) for j in range(i, m)]
-    g = [term(f"j{i}_{{}}", "r{}") if i in used else F.lit(0.0) for i in range(m)]
-    return rows.groupBy("key", "start").agg(F.array(*a).alias("a"), F.array(*g).alias("g"), (2 * problem.scale**2 * F.sum("loss")).alias("cost"))
+    """key, start, a (upper triangle by rows), g, cost: parts of the normal equations of one block."""
+    uses, residuals, m, upper = block.uses, block.residuals, len(problem.step), np.triu_indices(len(problem.step))
+    names = [c for c in block.rows.columns if c != "key"]
+
+    def at(p: np.ndarray, columns: dict) -> np.ndarray:
+        with np.errstate(all="ignore"):
+            return np.nan_to_num(np.stack(residuals(list(p), columns)), nan=1e6, posinf=1e6, neginf=-1e6)  # a point beyond the horizon
+
+    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = []
+            for (key, start), mine in rows.groupby(["key", "start"], sort=False):
+                q, columns = np.asarray(mine.q.iloc[0], float), {c: mine[c].to_numpy(float) for c in names}
+                r = at(q, columns)
+                jacobian = np.zeros((m, *r.shape))
+                for j in uses:
+                    moved = q.copy()
+                    moved[j] += problem.step[j]
+                    jacobian[j] = (at(moved, columns) - r) / problem.step[j]
+                size = np.sqrt(1 + (r / problem.scale) ** 2)
+                weighted = jacobian / size
+                out.append((key, start, np.einsum("ikn,jkn->ij", weighted, jacobian)[upper].tolist(), np.einsum("ikn,kn->i", weighted, r).tolist(), float(2 * problem.scale**2 * (size - 1).sum())))
+            yield pd.DataFrame(out, columns=["key", "start", "a", "g", "cost"])
+
+    kind = block.rows.schema["key"].dataType.simpleString()
+    return block.rows.join(state.select("key", "start", "q"), "key").mapInPandas(parts, f"key {kind}, start int, a array<double>, g array<double>, cost double")
 
 
 def _stepped(problem: Problem):
@@ -120,9 +138,8 @@ def least_squares(problem: Problem, starts: DataFrame, blocks: list[Block], most
         sums = _sums(blocks[0], state, problem)
         for block in blocks[1:]:
             sums = sums.unionByName(_sums(block, state, problem))
-        if len(blocks) > 1:
-            total = lambda c, k: F.array(*[F.sum(F.col(c)[i]) for i in range(k)]).alias(c)
-            sums = sums.groupBy("key", "start").agg(total("a", m * (m + 1) // 2), total("g", m), F.sum("cost").alias("cost"))
+        total = lambda c, k: F.array(*[F.sum(F.col(c)[i]) for i in range(k)]).alias(c)
+        sums = sums.groupBy("key", "start").agg(total("a", m * (m + 1) // 2), total("g", m), F.sum("cost").alias("cost"))
         sums = sums.select("key", "start", F.col("a").alias("new_a"), F.col("g").alias("new_g"), F.col("cost").alias("new_cost"))
         state = rounds.keep(state.drop("moved").join(sums, ["key", "start"]).mapInPandas(_stepped(problem), schema), "state")
         if n == screen:
@@ -131,26 +148,28 @@ def least_squares(problem: Problem, starts: DataFrame, blocks: list[Block], most
         moved = state.agg(F.max("moved")).first()[0]
         if log:
             log(n, moved)
-        if moved is None or moved < 1e-7:
+        if moved is None or moved < TOLERANCE:
             break
     return state.groupBy("key").agg(F.min_by("p", F.struct("cost", "start")).alias("p"), F.min("cost").alias("cost"))
 
 
-def _eyes(p: list[Column]) -> list[Column]:
-    x, y = ground(p, F.col("fx"), F.col("fy"), F.col("cx"), F.col("cy"))
-    u, v = pixel(p, x, y, F.lit(EYE), F.col("cx"), F.col("cy"))
-    return [u - F.col("ex"), v - F.col("ey")]
+def _eyes(p: list, rows: dict) -> list:
+    x, y = ground(p, rows["fx"], rows["fy"], rows["cx"], rows["cy"], np)
+    u, v = pixel(p, x, y, EYE, rows["cx"], rows["cy"], np)
+    return [u - rows["ex"], v - rows["ey"]]
 
 
-def _prior(f: Column, width: Column, n: Column) -> Column:
-    return (f - FOCAL * width) / (FOCAL_SPREAD * width) * PRIOR_PX * F.sqrt(F.greatest(F.lit(1.0), n / 20.0))
+def _prior(f: float, rows: dict) -> list:
+    """How far a focal length is from the usual one, once for a camera, heavier for more samples."""
+    width = 2 * rows["cx"]
+    return [(f - FOCAL * width) / (FOCAL_SPREAD * width) * PRIOR_PX * np.sqrt(np.maximum(1.0, rows["n"] / 20.0))]
 
 
 def self_calibrate(samples: DataFrame, log=None) -> DataFrame:
     """key, p (focal length, pitch, roll, height), cost of each camera (key) from standing people: foot (fx, fy), eyes (ex, ey), picture centre (cx, cy)."""
     sizes = samples.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("cx").alias("cx"))
     starts = sizes.select("key", F.posexplode(F.array(*[F.array(*map(F.lit, s)) for s in STARTS])).alias("start", "p"))
-    prior = Block(sizes, lambda p: [_prior(p[0], 2 * F.col("cx"), F.col("n"))], (0,))
+    prior = Block(sizes, lambda p, rows: _prior(p[0], rows), (0,))
     return least_squares(CAMERA, starts, [Block(samples, _eyes, (0, 1, 2, 3)), prior], log=log)
 
 
@@ -161,16 +180,16 @@ def joint_refine(starts: DataFrame, eyes: dict[str, DataFrame], met: DataFrame,
     seen by both at one time, with the centres (acx, acy, bcx, bcy).
     """
 
-    def apart(p: list[Column]) -> list[Column]:
-        ax, ay = ground(p[:4], *[F.col(c) for c in ("ax", "ay", "acx", "acy")])
-        bx, by = ground(p[4:8], *[F.col(c) for c in ("bx", "by", "bcx", "bcy")])
-        c, s = F.cos(p[8]), F.sin(p[8])
+    def apart(p: list, rows: dict) -> list:
+        ax, ay = ground(p[:4], *[rows[c] for c in ("ax", "ay", "acx", "acy")], np)
+        bx, by = ground(p[4:8], *[rows[c] for c in ("bx", "by", "bcx", "bcy")], np)
+        c, s = np.cos(p[8]), np.sin(p[8])
         return [(ax - c * bx + s * by - p[9]) * PX_PER_M, (ay - s * bx - c * by - p[10]) * PX_PER_M]
 
     blocks = [Block(met, apart, tuple(range(11)))]
     for side, first in (("a", 0), ("b", 4)):
         rows = eyes[side]
         sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("cx").alias("cx"))
-        blocks.append(Block(rows, lambda p, i=first: _eyes(p[i : i + 4]), tuple(range(first, first + 4))))
-        blocks.append(Block(sizes, lambda p, i=first: [_prior(p[i], 2 * F.col("cx"), F.col("n"))], (first,)))
+        blocks.append(Block(rows, lambda p, r, i=first: _eyes(p[i : i + 4], r), tuple(range(first, first + 4))))
+        blocks.append(Block(sizes, lambda p, r, i=first: _prior(p[i], r), (first,)))
     return least_squares(PAIR, starts, blocks, log=log)

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from kinetrace.functions.scalars import html_escaped, pair_key, percent_change, pretty
 from kinetrace.operators.relational import upsert
 from kinetrace.plans.registry import Registry
+from kinetrace.sources.keyed import KeyedTable
 from kinetrace.sources.tables import load
+from kinetrace.sources.work import new_folder
 
 query = Registry()
 SMALL_GROUP, PAGE, SUGGESTIONS = 3, 2000, 6
@@ -115,7 +117,25 @@ def suggest_prefix(spark, sf_dir):
 )
 def upsert_signup(spark, sf_dir):
     """New sign-ups merged by (email, key): the first confirmation stays, name and consent are replaced, the token if a mail goes out."""
-    s = signups(spark, sf_dir)
+    old, new = _batch(signups(spark, sf_dir))
+    return _signed(upsert(old, new, ["email", "gym_key"], "created_at", _merge()))
+
+
+def _merge() -> dict:
+    return {
+        "name": F.col("new.name"),
+        "share": F.col("new.share"),
+        "confirmed_at": F.coalesce(F.col("old.confirmed_at"), F.col("new.confirmed_at")),
+        "token_hash": F.when(F.col("new.mailed"), F.col("new.token_hash")).otherwise(F.coalesce(F.col("old.token_hash"), F.col("new.token_hash"))),
+    }
+
+
+def _signed(rows: DataFrame) -> DataFrame:
+    return rows.select("email", "gym_key", "name", "share", F.col("confirmed_at").isNotNull().alias("confirmed"), "token_hash")
+
+
+def _batch(s: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The sign-ups there are, and a batch of repeated and fresh ones."""
     again = s.where("id % 5 = 0").select(
         "email", "gym_key", F.concat(F.lit("new "), "name").alias("name"), (~F.col("share")).alias("share"), F.lit(None).cast("timestamp").alias("confirmed_at"),
         F.concat(F.lit("tok"), F.col("id").cast("string")).alias("token_hash"), (F.col("id") % 2 == 0).alias("mailed"), "created_at",
@@ -124,15 +144,28 @@ def upsert_signup(spark, sf_dir):
         F.concat(F.lit("x"), "email").alias("email"), "gym_key", "name", "share", F.lit(None).cast("timestamp").alias("confirmed_at"),
         F.concat(F.lit("tok"), F.col("id").cast("string")).alias("token_hash"), F.lit(True).alias("mailed"), "created_at",
     )
-    merge = {
-        "name": F.col("new.name"),
-        "share": F.col("new.share"),
-        "confirmed_at": F.coalesce(F.col("old.confirmed_at"), F.col("new.confirmed_at")),
-        "token_hash": F.when(F.col("new.mailed"), F.col("new.token_hash")).otherwise(F.coalesce(F.col("old.token_hash"), F.col("new.token_hash"))),
-    }
-    old = s.select("email", "gym_key", "name", "share", "confirmed_at", "token_hash")
-    merged = upsert(old, again.unionByName(fresh), ["email", "gym_key"], "created_at", merge)
-    return merged.select("email", "gym_key", "name", "share", F.col("confirmed_at").isNotNull().alias("confirmed"), "token_hash")
+    return s.select("email", "gym_key", "name", "share", "confirmed_at", "token_hash"), again.unionByName(fresh)
+
+
+_KEYED_SQL = """, n AS (SELECT id, email, gym_key, 'new ' || name AS name, NOT share AS share, 'tok' || id AS token_hash, id % 2 = 0 AS mailed FROM s WHERE id % 5 = 0
+        UNION ALL SELECT -id, 'x' || email, gym_key, name, share, 'tok' || id, true FROM s WHERE id % 50 = 0),
+    m AS (SELECT coalesce(s.email, n.email) AS email, coalesce(s.gym_key, n.gym_key) AS gym_key, coalesce(n.name, s.name) AS name, coalesce(n.share, s.share) AS share, s.id AS id,
+        (s.confirmed_at IS NOT NULL) AS confirmed, CASE WHEN s.id IS NULL THEN n.token_hash WHEN n.id IS NULL THEN s.token_hash WHEN n.mailed THEN n.token_hash ELSE coalesce(s.token_hash, n.token_hash) END AS token_hash
+        FROM s FULL JOIN n ON s.email = n.email AND s.gym_key = n.gym_key)"""
+
+
+@query(_SQL + _KEYED_SQL + " SELECT email, gym_key, name, share, confirmed OR coalesce(id % 8 = 3, false) AS confirmed, token_hash FROM m WHERE NOT coalesce(id % 13 = 0, false)")
+def keyed_changes(spark, sf_dir):
+    """Sign-ups in a table by key, after a batch was merged in, some were confirmed and some deleted; each change rewrites the buckets it touches."""
+    s = signups(spark, sf_dir)
+    old, new = _batch(s)
+    signed = KeyedTable(spark, new_folder(spark, "signups"), ["email", "gym_key"], int(spark.conf.get("spark.sql.shuffle.partitions")))
+    signed.create(old)
+    signed.upsert(new, "created_at", _merge())
+    at = F.coalesce("confirmed_at", F.lit("2024-03-01").cast("timestamp"))
+    signed.update(s.where("id % 8 = 3").select("email", "gym_key"), {"confirmed_at": at})
+    signed.delete(s.where("id % 13 = 0").select("email", "gym_key"))
+    return _signed(signed.read())
 
 
 @query(

@@ -152,14 +152,14 @@ def most_similar(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     dealt = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     v = vectors.where("e is not null").select("vec_id", "label", "e", dealt(cells).alias("cell"), every(blocks).alias("block"))
-    q = queries.where("e is not null").select("vec_id", "label", "e", dealt(blocks).alias("block"), every(cells).alias("cell"))
+    q = queries.where("e is not null").select(F.col("vec_id").alias("own"), F.col("label").alias("name"), F.col("e").alias("asked"), dealt(blocks).alias("block"), every(cells).alias("cell"))
 
     def best(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if v.empty or q.empty:
             return pd.DataFrame(columns=["a", "b", "la", "lb", "s"])
         order = np.argsort(v.vec_id.to_numpy(), kind="stable")
-        right, left = np.stack(v.e.to_numpy()[order]), np.stack(q.e.to_numpy())
-        ids, own = v.vec_id.to_numpy()[order], q.vec_id.to_numpy()
+        right, left = np.stack(v.e.to_numpy()[order]), np.stack(q.asked.to_numpy())
+        ids, own = v.vec_id.to_numpy()[order], q.own.to_numpy()
         with np.errstate(invalid="ignore", divide="ignore"):
             right, left = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (right, left))
         found = []
@@ -170,7 +170,7 @@ def most_similar(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             at = np.repeat(some, near.shape[1])
             found.append((own[at], ids[near.ravel()], at, order[near.ravel()], np.take_along_axis(s, near, 1).ravel()))
         a, b, at, place, s = (np.concatenate(c) for c in zip(*found, strict=True))
-        out = pd.DataFrame({"a": a, "b": b, "la": q.label.to_numpy()[at], "lb": v.label.to_numpy()[place], "s": s})
+        out = pd.DataFrame({"a": a, "b": b, "la": q["name"].to_numpy()[at], "lb": v.label.to_numpy()[place], "s": s})
         return out[np.isfinite(out.s)]
 
     kind = dict(vectors.dtypes)
