@@ -504,14 +504,22 @@ def link_evidence(spark, sf_dir):
     return found.select("site", "tick", "a", "b", F.col("n").alias("overlap"), r6(F.col("score")).alias("score"), r6(F.col("lead")).alias("lead"), "sure")
 
 
+#: Ticks between observations of two hours: an hour of the events stands for five seconds of a recording.
+HOUR_TICKS = 25
+
+
+def _recorded(spark, sf_dir) -> DataFrame:
+    return recordings(spark, sf_dir).withColumn("tick", F.col("tick") * HOUR_TICKS)
+
+
 @query()
 def identity_world(spark, sf_dir):
     """People of each tick of a site, as known some seconds later."""
-    return people.world(recordings(spark, sf_dir))
+    return people.world(_recorded(spark, sf_dir))
 
 
 @query()
 def identity_events(spark, sf_dir):
     """Audit of a site: links made, revoked and blocked, tracks taken for a person who was lost, unclear ones."""
-    _, known, cross, decided = people.resolve(recordings(spark, sf_dir))
+    _, known, cross, decided = people.resolve(_recorded(spark, sf_dir))
     return people.audit(known, cross, decided)
