@@ -410,7 +410,8 @@ def homography_check(spark, sf_dir):
         report = kernels.fit_report(kernels.homography(px, world), px, world)
         return pd.DataFrame({"camera": [points.camera.iloc[0]], "rmse": [round(report["rmse"], 4)], "worst": [round(report["max"], 4)], "grade": [report["grade"]]})
 
-    return clicks.select("*", (x + off).alias("x"), y.alias("y")).groupBy("camera").applyInPandas(fit, "camera long, rmse double, worst double, grade string")
+    rows = clicks.select("*", (x + off).alias("x"), y.alias("y")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "camera")  # few bytes, much work: dealt to all tasks
+    return rows.groupBy("camera").applyInPandas(fit, "camera long, rmse double, worst double, grade string")
 
 
 #: Candidate maps of an alignment, two pairs of points each; an inlier is nearer than this, in metres.
