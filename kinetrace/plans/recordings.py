@@ -288,20 +288,37 @@ DRAW_STEP, DRAW_MASKS, WORD = 0x6D2B79F5, (1, 61), 1 << 32
 STYLES = (("regular", 0.45), ("casual", 0.35), ("keen", 0.2))
 
 
-def draw(seed: int, i: Column) -> Column:
-    """The i-th draw, from 0, of a seeded generator: uniform in [0, 1), the same wherever the row is computed."""
+def _mixing(seed: int, i: Column, kept) -> Column:
+    """The i-th draw of a seeded generator; ``kept`` gets each intermediate value and its name, and says how it is referred to."""
     low = lambda x: x.bitwiseAND(F.lit(WORD - 1))
     shifted = lambda x, n: x.bitwiseXOR(F.shiftright(x, n))
 
     def product(x: Column, y: Column) -> Column:  # the lower word, in parts that cannot overflow
         return low(x * y.bitwiseAND(F.lit(0xFFFF)) + F.shiftleft(low(x * F.shiftright(y, 16)).bitwiseAND(F.lit(0xFFFF)), 16))
 
-    a = low(F.lit(seed).cast("long") + (i.cast("long") + 1) * DRAW_STEP)
-    b = product(shifted(a, 15), a.bitwiseOR(F.lit(DRAW_MASKS[0])))
-    c = b.bitwiseXOR(low(b + product(shifted(b, 7), b.bitwiseOR(F.lit(DRAW_MASKS[1])))))
+    a = kept(low(F.lit(seed).cast("long") + (i.cast("long") + 1) * DRAW_STEP), "_a")
+    b = kept(product(kept(shifted(a, 15), "_a15"), a.bitwiseOR(F.lit(DRAW_MASKS[0]))), "_b")
+    c = kept(b.bitwiseXOR(low(b + product(kept(shifted(b, 7), "_b7"), b.bitwiseOR(F.lit(DRAW_MASKS[1]))))), "_c")
     return shifted(c, 14) / F.lit(float(WORD))
 
 
+def draw(seed: int, i: Column) -> Column:
+    """The i-th draw, from 0, of a seeded generator: uniform in [0, 1), the same wherever the row is computed."""
+    return _mixing(seed, i, lambda value, name: value)
+
+
+def drawn(rows: DataFrame, seed: int, i: Column, name: str = "u") -> DataFrame:
+    """Adds the i-th draw of each row; every intermediate value is a column, so it is computed once and not wherever it is used."""
+    out = [rows]
+
+    def kept(value: Column, column: str) -> Column:
+        out[0] = out[0].withColumn(column, value)
+        return F.col(column)
+
+    u = _mixing(seed, i, kept)
+    return out[0].withColumn(name, u).select(*rows.columns, name)
+
+
 def _draw_sql(seed: int, i: str, rows: str, carried: str) -> str:
     return f"""(SELECT {carried}, xor(c, c >> 14) / {float(WORD)} AS u FROM (SELECT *, xor(b, (b + ((xor(b, b >> 7)::HUGEINT * (b | {DRAW_MASKS[1]})) % {WORD})::BIGINT) % {WORD}) AS c FROM (
         SELECT *, ((xor(a, a >> 15)::HUGEINT * (a | {DRAW_MASKS[0]})) % {WORD})::BIGINT AS b FROM (SELECT *, ({seed} + ({i} + 1)::HUGEINT * {DRAW_STEP}) % {WORD} AS a0, a0::BIGINT AS a FROM {rows}))))"""
@@ -322,15 +339,19 @@ DAYS, DRAWS, STOP = 182, 512, 0.01
 )
 def members_and_visits(spark, sf_dir):
     """Made-up members: when they join, how they train, and how often they come until they stop; a draw depends on seed and place only."""
-    member = F.col("c_custkey").alias("member")
-    at = lambda i: draw(42, F.col("member") * DRAWS + i)
-    m = load(spark, sf_dir, "customer").select(member)
-    style = F.when(at(1) < STYLES[0][1], STYLES[0][0]).when(at(1) < STYLES[0][1] + STYLES[1][1], STYLES[1][0]).otherwise(STYLES[2][0])
-    weeks = F.filter(F.sequence(F.lit(0), F.lit(DAYS // 7 - 1)), lambda w: draw(42, F.col("member") * DRAWS + 2 + w) < STOP)
-    m = m.select("member", F.floor(at(0) * (DAYS // 2)).cast("int").alias("join_day"), style.alias("style"), F.coalesce(F.get(weeks, 0) * 7, F.lit(DAYS)).alias("stops"))
+    at = lambda rows, place, name="u": drawn(rows, 42, F.col("member") * DRAWS + place, name)
+    days = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    m = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("member"))
+    m = m.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "member")  # few bytes, much work: dealt to all tasks
+    weeks = at(m.select("member", days(DAYS // 7, "week")), 2 + F.col("week"))
+    m = weeks.groupBy("member").agg(F.coalesce(F.min(F.when(F.col("u") < STOP, F.col("week"))) * 7, F.lit(DAYS)).alias("stops"))
+    m = at(at(m, 0, "joins"), 1, "kind")
+    style = F.when(F.col("kind") < STYLES[0][1], STYLES[0][0]).when(F.col("kind") < STYLES[0][1] + STYLES[1][1], STYLES[1][0]).otherwise(STYLES[2][0])
+    m = m.select("member", F.floor(F.col("joins") * (DAYS // 2)).cast("int").alias("join_day"), style.alias("style"), "stops")
     rate = F.when(F.col("style") == "keen", 0.6).when(F.col("style") == "regular", 0.35).otherwise(0.12)
-    days = F.filter(F.sequence(F.lit(0), F.lit(DAYS - 1)), lambda d: (d >= F.col("join_day")) & (d < F.col("stops")) & (draw(42, F.col("member") * DRAWS + 64 + d) < rate))
-    return m.select("member", "join_day", "style", F.size(days).cast("long").alias("visits"))
+    came = at(m.select("*", days(DAYS, "day")), 64 + F.col("day"))
+    visits = F.count_if((F.col("day") >= F.col("join_day")) & (F.col("day") < F.col("stops")) & (F.col("u") < rate))
+    return came.groupBy("member", "join_day", "style").agg(visits.alias("visits"))
 
 
-__all__ = ["camera_pose", "camera_range", "draw", "head_boxes", "query", "standing_samples", "stands", "with_identity"]
+__all__ = ["camera_pose", "camera_range", "draw", "drawn", "head_boxes", "query", "standing_samples", "stands", "with_identity"]
