@@ -11,7 +11,7 @@ residual.  Rows are never gathered, and after a few iterations only the best sta
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -45,6 +45,8 @@ class Block:
 
 CAMERA = Problem((400.0, 0.05, -0.3, 1.5), (3000.0, 1.4, 0.3, 30.0), (0.5, 1e-4, 1e-4, 1e-3))
 PAIR = Problem(CAMERA.low * 2 + (-10.0, -200.0, -200.0), CAMERA.high * 2 + (10.0, 200.0, 200.0), CAMERA.step * 2 + (1e-4, 1e-3, 1e-3))
+#: Rows of a key that go through a step together.
+PACK = 2000
 #: Greatest relative change of a parameter at which an iteration ends.
 TOLERANCE = 3e-5
 #: Starts of a camera: focal length, pitch, height.
@@ -72,10 +74,19 @@ def pixel(p: list, x, y, z, cx, cy, m=F) -> tuple:
     return f * (m.cos(roll) * u - m.sin(roll) * v) + cx, f * (m.sin(roll) * u + m.cos(roll) * v) + cy
 
 
+def _packed(rows: DataFrame) -> DataFrame:
+    """key, _pack and the other columns as arrays: rows of a key put together, about ``PACK`` of them, so that parameters go along once for all of these."""
+    names = [c for c in rows.columns if c != "key"]
+    sizes = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / PACK).alias("_packs"))
+    dealt = rows.join(F.broadcast(sizes), "key").withColumn("_pack", F.pmod(F.xxhash64(*names), F.col("_packs")))
+    packs = dealt.groupBy("key", "_pack").agg(F.collect_list(F.struct(*names)).alias("_rows"))
+    return packs.select("key", "_pack", *[F.col(f"_rows.{c}").alias(c) for c in names])
+
+
 def _sums(block: Block, state: DataFrame, problem: Problem) -> DataFrame:
     """key, start, a (upper triangle by rows), g, cost: parts of the normal equations of one block."""
     uses, residuals, m, upper = block.uses, block.residuals, len(problem.step), np.triu_indices(len(problem.step))
-    names = [c for c in block.rows.columns if c != "key"]
+    names = [c for c in block.rows.columns if c not in ("key", "_pack")]
 
     def at(p: np.ndarray, columns: dict) -> np.ndarray:
         with np.errstate(all="ignore"):
@@ -84,8 +95,8 @@ def _sums(block: Block, state: DataFrame, problem: Problem) -> DataFrame:
     def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             out = []
-            for (key, start), mine in rows.groupby(["key", "start"], sort=False):
-                q, columns = np.asarray(mine.q.iloc[0], float), {c: mine[c].to_numpy(float) for c in names}
+            for pack in rows.to_dict("records"):
+                key, start, q, columns = pack["key"], pack["start"], np.asarray(pack["q"], float), {c: np.asarray(pack[c], float) for c in names}
                 r = at(q, columns)
                 jacobian = np.zeros((m, *r.shape))
                 for j in uses:
@@ -94,11 +105,12 @@ def _sums(block: Block, state: DataFrame, problem: Problem) -> DataFrame:
                     jacobian[j] = (at(moved, columns) - r) / problem.step[j]
                 size = np.sqrt(1 + (r / problem.scale) ** 2)
                 weighted = jacobian / size
-                out.append((key, start, np.einsum("ikn,jkn->ij", weighted, jacobian)[upper].tolist(), np.einsum("ikn,kn->i", weighted, r).tolist(), float(2 * problem.scale**2 * (size - 1).sum())))
+                out.append((key, start, (weighted.reshape(m, -1) @ jacobian.reshape(m, -1).T)[upper].tolist(), (weighted.reshape(m, -1) @ r.ravel()).tolist(), float(2 * problem.scale**2 * (size - 1).sum())))
             yield pd.DataFrame(out, columns=["key", "start", "a", "g", "cost"])
 
     kind = block.rows.schema["key"].dataType.simpleString()
-    return block.rows.join(state.select("key", "start", "q"), "key").mapInPandas(parts, f"key {kind}, start int, a array<double>, g array<double>, cost double")
+    few = F.broadcast(state.select("key", "start", "q"))  # a row for each start of each key
+    return block.rows.join(few, "key").mapInPandas(parts, f"key {kind}, start int, a array<double>, g array<double>, cost double")
 
 
 def _stepped(problem: Problem):
@@ -134,6 +146,7 @@ def least_squares(problem: Problem, starts: DataFrame, blocks: list[Block], most
     zeros = lambda n: F.array_repeat(F.lit(0.0), n)
     state = starts.select("key", F.col("start").cast("int").alias("start"), "p", F.col("p").alias("q"), zeros(m * (m + 1) // 2).alias("a"), zeros(m).alias("g"), F.lit(float("inf")).alias("cost"), F.lit(0.01).alias("damp"), F.lit(1.0).alias("moved"))
     state = rounds.keep(state, "state")
+    blocks = [replace(block, rows=rounds.keep(_packed(block.rows), "rows")) for block in blocks]
     for n in range(most):
         sums = _sums(blocks[0], state, problem)
         for block in blocks[1:]:
