@@ -18,6 +18,8 @@ from kinetrace.sources.tables import load
 query = Registry()
 MUSCLES = ("chest", "back", "shoulders", "biceps", "triceps", "quads", "hamstrings", "glutes", "calves", "abs")
 READY, RECOVERING, TRAINED, UNTRAINED_HOURS, OVERDUE_HOURS = 85, 45, 0.25, 672, 168
+#: Line items of one task.
+TASK_ROWS = 1_000_000
 MOST_EXERCISES, LEAST_EXERCISES, LEAST_GAIN, COVERED = 4, 3, 0.5, 0.25
 
 #: Exercises (type of part) with their muscles; 1 is primary, 0.5 secondary.  The n-th type takes three muscles from the n-th on.
@@ -35,11 +37,14 @@ def muscle_map(spark, sf_dir) -> DataFrame:
 
 
 def sets(spark, sf_dir) -> DataFrame:
-    """member, workout, day, exercise, n, reps."""
+    """member, workout, day, exercise, n, reps; rows lie by workout, in more parts for more rows, so what a task sorts and adds up stays as large as it is."""
     lines = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity")
-    named = lines.join(load(spark, sf_dir, "part").select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = lines.count() // TASK_ROWS + 1
+    dealt = lambda rows, key: rows.repartition(parts, key) if parts > usual else rows
+    named = dealt(lines, "l_partkey").join(dealt(load(spark, sf_dir, "part").select("p_partkey", "p_type"), "p_partkey"), F.col("l_partkey") == F.col("p_partkey"))
     orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    joined = named.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    joined = dealt(named, "l_orderkey").join(dealt(orders, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     return joined.select(F.col("o_custkey").alias("member"), F.col("o_orderkey").alias("workout"), F.col("o_orderdate").alias("day"), F.col("p_type").alias("exercise"), F.col("l_linenumber").alias("n"), F.col("l_quantity").cast("int").alias("reps"))
 
 
