@@ -119,7 +119,8 @@ def kept_apart(rows: DataFrame, keys: list[str], at: str, least: float, tie: lis
 
     Each row points to the first row that could follow it, found by one sort of rows and shifted rows.  The chain from
     the first row is marked by doubling: what is reached in fewer than 2^k hops and one jump of 2^k gives what is reached in
-    fewer than 2^(k+1).  No Python, and no key is held whole.
+    fewer than 2^(k+1).  No Python, and no key is held whole.  The tables shrink well when written, so their files say
+    little of their size: joins are by sorting, never by a copy through the driver.
     """
     spark = rows.sparkSession
     rounds = Rounds(spark, "thinned")
@@ -135,8 +136,8 @@ def kept_apart(rows: DataFrame, keys: list[str], at: str, least: float, tie: lis
     jumps = rounds.keep(jumps, "jumps")
     reached = rounds.keep(numbered.where("_i = 1").select(*keys, "_i"), "reached")
     while not jumps.isEmpty():
-        more = reached.join(jumps, [*keys, "_i"]).select(*keys, F.col("_to").alias("_i"))
+        more = reached.join(jumps.hint("merge"), [*keys, "_i"]).select(*keys, F.col("_to").alias("_i"))
         reached = rounds.keep(reached.unionByName(more), "reached")
         onward = jumps.select(*keys, F.col("_i").alias("_to"), F.col("_to").alias("_next"))
-        jumps = rounds.keep(jumps.join(onward, [*keys, "_to"]).select(*keys, "_i", F.col("_next").alias("_to")), "jumps")
-    return numbered.join(reached, [*keys, "_i"], "left_semi").select(*rows.columns)
+        jumps = rounds.keep(jumps.join(onward.hint("merge"), [*keys, "_to"]).select(*keys, "_i", F.col("_next").alias("_to")), "jumps")
+    return numbered.join(reached.hint("merge"), [*keys, "_i"], "left_semi").select(*rows.columns)
