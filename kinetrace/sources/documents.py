@@ -60,10 +60,9 @@ def write_by_camera(rows: DataFrame, path: str) -> None:
 def session_document(sets: DataFrame) -> DataFrame:
     """One JSON document per video from sets (video, person, exercise, start_s, end_s, reps): people with their sets and totals."""
     one = F.struct("start_s", "end_s", "exercise", "reps")
-    by_exercise = sets.groupBy("video", "person", "exercise").agg(F.sum("reps").alias("n"))
-    totals = by_exercise.groupBy("video", "person").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("exercise", "n")))).alias("exercises"))
-    people = sets.groupBy("video", "person").agg(F.sum("reps").alias("total_reps"), F.min("start_s").alias("first_s"), F.array_sort(F.collect_list(one)).alias("sets"))
-    rows = people.join(totals, ["video", "person"])
+    by_exercise = sets.groupBy("video", "person", "exercise").agg(F.sum("reps").alias("n"), F.collect_list(one).alias("sets"))
+    exercises, own = F.array_sort(F.collect_list(F.struct("exercise", "n"))), F.array_sort(F.flatten(F.collect_list("sets")))
+    rows = by_exercise.groupBy("video", "person").agg(F.sum("n").alias("total_reps"), F.map_from_entries(exercises).alias("exercises"), own.alias("sets"))
     person = F.struct("person", "total_reps", F.map_entries("exercises").alias("exercises"), "sets")  # maps have no order
     people = F.transform(F.array_sort(F.collect_list(person)), lambda p: F.struct(p["person"].alias("person"), p["total_reps"].alias("total_reps"), F.map_from_entries(p["exercises"]).alias("exercises"), p["sets"].alias("sets")))
     return rows.groupBy("video").agg(F.to_json(F.struct(people.alias("people"))).alias("document"))
